@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave import config as C
-from ringweave.functions.normalize import entity_columns, normalize_ip, typed_node_id
+from ringweave.functions.normalize import normalize_ip, typed_node_id, with_entities
 
 
 def normalize_event_entities(events: DataFrame) -> DataFrame:
     """Events plus the five normalized entities; a bad phone stays for audit."""
-    entities = entity_columns()
-    return events.select(
+    return with_entities(events).select(
         "*",
-        *[c.alias(f"{kind}_entity") for kind, c in entities.items()],
         normalize_ip(F.col("ip")).alias("ip_entity"),
-        F.when(entities["phone"].isNull(), F.col("phone")).alias("unnormalized_phone"),
+        F.when(F.col("phone_entity").isNull(), F.col("phone")).alias("unnormalized_phone"),
     )
 
 
+def graph_entities(events: DataFrame) -> DataFrame:
+    """The entities that link; addresses never do."""
+    return with_entities(events).select("event_id", "customer_id", *[f"{k}_entity" for k in C.ENTITY_TYPES])
+
+
 def timeline(events: DataFrame, rank: str | None = None) -> DataFrame:
     """Events in their total order, with graph-ready columns.
 
@@ -28,22 +31,37 @@ def timeline(events: DataFrame, rank: str | None = None) -> DataFrame:
     the time an event becomes visible; with a rank, history (rank 0) is older
     than everything. Stage the result: ``ord`` must not be computed twice.
     """
-    real = F.unix_micros("ts")
-    epoch_rank = F.col(rank) if rank else F.lit(1)
-    kinds = entity_columns()
-    prepared = events.select(
+    epoch_rank = F.col(rank).cast("int") if rank else F.lit(1)
+    placed = (
+        events.select(
+            "event_id",
+            "customer_id",
+            "merchant_id",
+            F.col("amount_paise").cast("long").alias("amount_paise"),
+            F.unix_micros("ts").alias("ts_us"),
+            epoch_rank.alias("epoch_rank"),
+            "upi_vpa",
+            "phone",
+            "device_id",
+            "email",
+            "prior_outcome",
+        )
+        .orderBy("epoch_rank", "ts_us", "event_id")
+        .withColumn("ord", F.monotonically_increasing_id())
+    )
+    return with_entities(placed).select(
         "event_id",
         "customer_id",
         "merchant_id",
-        F.col("amount_paise").cast("long").alias("amount_paise"),
-        real.alias("ts_us"),
-        epoch_rank.cast("int").alias("epoch_rank"),
-        F.when(epoch_rank == 0, F.lit(C.BEFORE_ALL)).otherwise(real).alias("vts"),
+        "amount_paise",
+        "ts_us",
+        "epoch_rank",
+        F.when(F.col("epoch_rank") == 0, F.lit(C.BEFORE_ALL)).otherwise(F.col("ts_us")).alias("vts"),
         F.coalesce(F.col("prior_outcome").isin(*C.FRAUD_OUTCOMES), F.lit(False)).alias("fraud_outcome"),
-        *[F.when(c.isNotNull(), typed_node_id(k, c)).alias(k) for k, c in kinds.items()],
+        *[F.when(F.col(f"{k}_entity").isNotNull(), typed_node_id(k, F.col(f"{k}_entity"))).alias(k) for k in C.ENTITY_TYPES],
         typed_node_id("merchant", F.col("merchant_id")).alias("merchant"),
+        "ord",
     )
-    return prepared.orderBy("epoch_rank", "ts_us", "event_id").withColumn("ord", F.monotonically_increasing_id())
 
 
 def explode_entities(tl: DataFrame, merchants: bool = True) -> DataFrame:

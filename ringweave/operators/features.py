@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ringweave import config as C
 from ringweave.functions.scoring import clip01, half_even
+from ringweave.operators.links import fraud_times
 from ringweave.operators.scan import running
 
 COUNTERS = (
@@ -157,12 +158,15 @@ def burn_rotate_steps(
 ) -> DataFrame:
     """A fraud customer's handle last used within 48 h of its fraud, while the
     cluster holds a handle first seen after that fraud."""
-    fraud = customers.where("fraud_us > 0").select("customer_id", "fraud_us", "fraud_vts", "fraud_ord")
-    uses = tl.where(F.col("upi").isNotNull()).join(fraud, "customer_id")
+    fraud = fraud_times(customers)
+    uses = tl.where(F.col("upi").isNotNull()).select("customer_id", "upi", "ts_us", "vts", "ord").join(fraud, "customer_id")
     close = F.col("ts_us").between(F.col("fraud_us"), F.col("fraud_us") + C.BURN_ROTATE_US)
     past = F.col("ts_us") > F.col("fraud_us") + C.BURN_ROTATE_US
+    ends = F.least(
+        F.coalesce(F.when(F.col("p_ord").isNotNull(), _pos("p_vts", "p_ord")), _const(*NEVER)), _pos("to_vts", "to_ord")
+    )
     abandoned = (
-        uses.groupBy("customer_id", "upi", "fraud_us", "fraud_vts", "fraud_ord")
+        uses.groupBy("customer_id", "upi", *fraud.columns[1:])
         .agg(
             F.min(F.when(close, F.col("vts"))).alias("u_vts"),
             F.min(F.when(close, F.col("ord"))).alias("u_ord"),
@@ -173,8 +177,8 @@ def burn_rotate_steps(
         .select(
             F.col("customer_id").alias("member_id"),
             "fraud_us",
-            F.greatest(_pos("u_vts", "u_ord"), _pos("fraud_vts", "fraud_ord")).alias("from_pos"),
-            F.coalesce(F.when(F.col("p_ord").isNotNull(), _pos("p_vts", "p_ord")), _const(*NEVER)).alias("to_pos"),
+            F.greatest(_pos("u_vts", "u_ord"), _pos("from_vts", "from_ord")).alias("from_pos"),
+            ends.alias("to_pos"),
         )
     )
     burned = people.join(abandoned, "member_id").select(
@@ -195,10 +199,10 @@ def burn_rotate_steps(
         .distinct()
         .join(handles, "customer_id")
         .where("born_us > fraud_us")
-        .groupBy("customer_id", "member_id", "h_out")
+        .groupBy("customer_id", "member_id", "fraud_us", "h_out")
         .agg(F.min("h_in").alias("h_in"))
     )
-    both = burned.join(rotated, ["customer_id", "member_id"])
+    both = burned.join(rotated, ["customer_id", "member_id", "fraud_us"])
     return _interval_steps(
         both, F.lit(KIND["n_burn_rotate"]), F.greatest("a", "h_in"), F.least("b", "h_out")
     )

@@ -18,8 +18,9 @@ from ringweave.session import stage
 class LinkGraph:
     """Staged tables over one set of events; each is computed on first use.
 
-    ``rank`` names a 0/1 column: rows of rank 0 are history that all rows of
-    rank 1 see, whatever their times; only rank 1 is scored.
+    ``rank`` names an integer column: rows of rank 0 or less are history, in
+    rank order, that all rows of rank 1 see whatever their times; only rank 1
+    is scored.
     """
 
     def __init__(
@@ -204,3 +205,28 @@ def score_frame(
         .withColumn("verdict", S.band_column(F.col("score"), thresholds))
         .withColumn("reason_codes", S.reason_code_column())
     )
+
+
+def degrade_verdict(events: DataFrame, scored: DataFrame) -> DataFrame:
+    """One verdict per event; an event without features degrades to REVIEW."""
+    kept = ["score", "verdict", "reason_codes"]
+    joined = events.select("event_id", "customer_id", "merchant_id").join(
+        scored.select("event_id", *kept, F.lit(True).alias("_ok")), "event_id", "left"
+    )
+    lost = F.col("_ok").isNull()
+    return joined.select(
+        "event_id",
+        "customer_id",
+        "merchant_id",
+        F.when(lost, F.lit(0).cast("long")).otherwise(F.col("score")).alias("score"),
+        F.when(lost, "REVIEW").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(lost, F.array(F.lit(C.DEGRADED_CODE))).otherwise(F.col("reason_codes")).alias("reason_codes"),
+        F.when(lost, "customer not in graph").alias("degradation_note"),
+        lost.alias("degraded"),
+    )
+
+
+def score_overlay(history: DataFrame, overlay: DataFrame, **options) -> LinkGraph:
+    """Score ``overlay`` in time order on top of a full ``history``."""
+    ranked = history.withColumn("epoch_rank_in", F.lit(0)).unionByName(overlay.withColumn("epoch_rank_in", F.lit(1)))
+    return LinkGraph(ranked, rank="epoch_rank_in", **options)

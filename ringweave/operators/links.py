@@ -28,8 +28,8 @@ def timeline(events: DataFrame, rank: str | None = None) -> DataFrame:
 
     ``ord`` grows along (rank, time, event id): a range sort gives every
     partition an increasing id block, so no global window is needed.  ``vts`` is
-    the time an event becomes visible; with a rank, history (rank 0) is older
-    than everything. Stage the result: ``ord`` must not be computed twice.
+    the time an event becomes visible; with a rank, history (rank <= 0) is older
+    than everything scored (rank 1). Stage the result: ``ord`` must not be computed twice.
     """
     epoch_rank = F.col(rank).cast("int") if rank else F.lit(1)
     placed = (
@@ -56,7 +56,7 @@ def timeline(events: DataFrame, rank: str | None = None) -> DataFrame:
         "amount_paise",
         "ts_us",
         "epoch_rank",
-        F.when(F.col("epoch_rank") == 0, F.lit(C.BEFORE_ALL)).otherwise(F.col("ts_us")).alias("vts"),
+        F.when(F.col("epoch_rank") <= 0, F.lit(C.BEFORE_ALL)).otherwise(F.col("ts_us")).alias("vts"),
         F.coalesce(F.col("prior_outcome").isin(*C.FRAUD_OUTCOMES), F.lit(False)).alias("fraud_outcome"),
         *[F.when(F.col(f"{k}_entity").isNotNull(), typed_node_id(k, F.col(f"{k}_entity"))).alias(k) for k in C.ENTITY_TYPES],
         typed_node_id("merchant", F.col("merchant_id")).alias("merchant"),
@@ -93,7 +93,7 @@ def build_links(tl: DataFrame) -> DataFrame:
 
 def customer_stats(tl: DataFrame) -> DataFrame:
     """Customer nodes with amounts and their confirmed-fraud state."""
-    fraud = F.col("fraud_outcome")
+    fraud, history = F.col("fraud_outcome"), F.col("epoch_rank") <= 0
     return tl.groupBy("customer_id").agg(
         F.min("ord").alias("first_ord"),
         F.min("vts").alias("first_vts"),
@@ -103,7 +103,40 @@ def customer_stats(tl: DataFrame) -> DataFrame:
         F.sum("amount_paise").alias("amount_sum"),
         F.min(F.when(fraud, F.col("ord"))).alias("fraud_ord"),
         F.min(F.when(fraud, F.col("vts"))).alias("fraud_vts"),
-        F.min_by("ts_us", F.when(fraud, F.col("ord"))).alias("fraud_us"),
+        F.min(F.when(fraud, F.col("ts_us"))).alias("fraud_us"),
+        # the same, split into history and scored events
+        F.min(F.when(fraud & history, F.col("ord"))).alias("old_fraud_ord"),
+        F.min(F.when(fraud & history, F.col("ts_us"))).alias("old_fraud_us"),
+        F.min(F.when(fraud & ~history, F.col("ord"))).alias("new_fraud_ord"),
+        F.min(F.when(fraud & ~history, F.col("ts_us"))).alias("new_fraud_us"),
+    )
+
+
+def fraud_times(customers: DataFrame) -> DataFrame:
+    """(customer_id, fraud_us, from/to position): the earliest fraud time known
+    at each moment. History counts as one step; scored events come in time
+    order, so only their first fraud can still lower it."""
+    old, new = F.col("old_fraud_us"), F.col("new_fraud_us")
+    lowers = F.coalesce(new < old, new.isNotNull())
+    first = F.struct(
+        old.alias("fraud_us"),
+        F.lit(C.BEFORE_ALL).alias("from_vts"),
+        F.col("old_fraud_ord").alias("from_ord"),
+        F.when(lowers, new).otherwise(F.lit(C.FOREVER)).alias("to_vts"),
+        F.when(lowers, F.col("new_fraud_ord")).otherwise(F.lit(C.FOREVER)).alias("to_ord"),
+    )
+    second = F.struct(
+        new.alias("fraud_us"),
+        new.alias("from_vts"),
+        F.col("new_fraud_ord").alias("from_ord"),
+        F.lit(C.FOREVER).alias("to_vts"),
+        F.lit(C.FOREVER).alias("to_ord"),
+    )
+    versions = F.array_compact(F.array(F.when(old.isNotNull(), first), F.when(lowers, second)))
+    return (
+        customers.where("fraud_us is not null")
+        .select("customer_id", F.inline(versions).alias("fraud_us", "from_vts", "from_ord", "to_vts", "to_ord"))
+        .where("fraud_us > 0")
     )
 
 

@@ -11,7 +11,6 @@ from ringweave.functions.normalize import mask_phone, node_type, node_value
 from ringweave.functions.scoring import half_even
 from ringweave.operators.cluster import _rank
 
-_one = F.lit(1)
 
 
 def customer_node(customer: Column) -> Column:
@@ -90,7 +89,7 @@ def node_lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def graph_size(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("ntype").agg(F.count(_one).alias("nodes"))
+    return nodes.groupBy("ntype").agg(F.count("*").alias("nodes"))
 
 
 # --- clusters ---------------------------------------------------------------
@@ -149,7 +148,7 @@ def cluster_members_r(links: DataFrame, radius: int, stage, cap: int = C.CLUSTER
             .select("customer_id", "to", "ntype", "k.reach", "k.tie", (F.col("to") if hop % 2 else customer_node(F.col("to"))).alias("node"))
         )
         fresh = reached.join(kept.select("customer_id", "node"), ["customer_id", "node"], "left_anti")
-        room = kept.groupBy("customer_id").agg((F.lit(cap) - F.count(_one)).alias("room"))
+        room = kept.groupBy("customer_id").agg((F.lit(cap) - F.count("*")).alias("room"))
         w = Window.partitionBy("customer_id").orderBy("reach", "tie", "node")
         added = stage(
             fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).join(room, "customer_id").where("_n <= room").drop("_n", "room"),

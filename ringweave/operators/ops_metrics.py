@@ -9,12 +9,11 @@ from ringweave import config as C
 from ringweave.functions.scoring import half_even
 from ringweave.operators.reports import value_at_rank
 
-_one = F.lit(1)
 
 
 def verdict_band_counters(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy(F.lower("verdict").alias("band")).agg(
-        F.count(_one).alias("verdicts"), F.count_if(F.col("degraded")).alias("degraded")
+        F.count("*").alias("verdicts"), F.count_if(F.col("degraded")).alias("degraded")
     )
 
 
@@ -39,7 +38,7 @@ def score_drift(scores: DataFrame, order: list[str], recent: int = C.RECENT_WIND
     Both windows are small by definition (top-k by order); drift is 0 until the
     baseline window is full.
     """
-    first = scores.orderBy(*order).limit(baseline).agg(F.avg("score").alias("base_mean"), F.count(_one).alias("base_n"))
+    first = scores.orderBy(*order).limit(baseline).agg(F.avg("score").alias("base_mean"), F.count("*").alias("base_n"))
     last = scores.orderBy(*[F.desc(c) for c in order]).limit(recent).agg(F.avg("score").alias("recent_mean"))
     return first.join(F.broadcast(last)).select(
         half_even(F.col("recent_mean"), 4).alias("score_mean_recent"),
@@ -50,7 +49,7 @@ def score_drift(scores: DataFrame, order: list[str], recent: int = C.RECENT_WIND
 def steady_samples(samples: DataFrame, order: list[str], warmup: int = C.LATENCY_WARMUP) -> DataFrame:
     """Samples after the warm-up; all of them when there are no more."""
     lead = samples.orderBy(*order).limit(warmup + 1).select(F.struct(*order).alias("o"))
-    cut = lead.agg(F.count(_one).alias("n"), F.max("o").alias("o"))
+    cut = lead.agg(F.count("*").alias("n"), F.max("o").alias("o"))
     return (
         samples.join(F.broadcast(cut))
         .where((F.col("n") <= warmup) | (F.struct(*order) >= F.col("o")))
@@ -68,8 +67,8 @@ def latency_summary(samples: DataFrame, micros: str, order: list[str], wall_seco
     ``micros`` is a whole number of microseconds; percentiles are read off
     value counts, so no task sorts all samples.
     """
-    total = samples.agg(F.count(_one).alias("events"), wall_seconds.alias("wall"))
-    counts = stage(steady_samples(samples, order).groupBy(micros).agg(F.count(_one).alias("n")), "latency_counts")
+    total = samples.agg(F.count("*").alias("events"), wall_seconds.alias("wall"))
+    counts = stage(steady_samples(samples, order).groupBy(micros).agg(F.count("*").alias("n")), "latency_counts")
     out = total.select("events", half_even(F.col("events") / F.col("wall"), 1).alias("throughput_events_per_sec"))
     for name, q in (("p50", 0.50), ("p95", 0.95), ("p99", 0.99)):
         nearest = lambda n, q=q: F.greatest(F.ceil(n * F.lit(q)) - 1, F.lit(0))
@@ -82,7 +81,7 @@ def latency_summary(samples: DataFrame, micros: str, order: list[str], wall_seco
 
 def latency_eval_percentiles(samples: DataFrame, micros: str, stage) -> DataFrame:
     """Median and the index rule sorted[int(.95 n)], in milliseconds."""
-    counts = stage(samples.groupBy(micros).agg(F.count(_one).alias("n")), "latency_counts")
+    counts = stage(samples.groupBy(micros).agg(F.count("*").alias("n")), "latency_counts")
     lower = _exact_rank(counts, micros, lambda n: F.floor((n - 1) / 2), "lo")
     upper = _exact_rank(counts, micros, lambda n: F.floor(n / 2), "hi")
     p95 = _exact_rank(counts, micros, lambda n: F.floor(n * F.lit(0.95)), "p95")
@@ -96,7 +95,7 @@ def latency_eval_percentiles(samples: DataFrame, micros: str, stage) -> DataFram
 
 
 def narrative_status_counts(log: DataFrame) -> DataFrame:
-    return log.groupBy("explanation_status").agg(F.count(_one).alias("verdicts"))
+    return log.groupBy("explanation_status").agg(F.count("*").alias("verdicts"))
 
 
 def skipped_share(log: DataFrame) -> DataFrame:
@@ -104,7 +103,7 @@ def skipped_share(log: DataFrame) -> DataFrame:
     flagged = log.where(F.col("verdict") != "ALLOW")
     skipped = F.count_if(F.col("explanation_status") == "SKIPPED")
     return flagged.agg(
-        F.count(_one).alias("flagged"), skipped.alias("skipped"), half_even(skipped / F.count(_one), 4).alias("skipped_share")
+        F.count("*").alias("flagged"), skipped.alias("skipped"), half_even(skipped / F.count("*"), 4).alias("skipped_share")
     )
 
 
@@ -128,5 +127,5 @@ def llm_cost_estimate(calls: DataFrame) -> DataFrame:
 
 def llm_cost_rollup(costed: DataFrame, *keys: str) -> DataFrame:
     return costed.groupBy(*keys).agg(
-        F.count(_one).alias("calls"), half_even(F.sum("cost_estimate_usd"), 4).alias("total_estimate_usd")
+        F.count("*").alias("calls"), half_even(F.sum("cost_estimate_usd"), 4).alias("total_estimate_usd")
     )

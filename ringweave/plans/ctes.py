@@ -122,7 +122,7 @@ CTES["step3"] = """
   join elnk b on b.node = a.node and b.fl <= s.rn union select event_id, rn, c2 from step2
 """
 CTES["cnode"] = "select distinct s.event_id, s.rn, l.ntype, l.node from step1 s join lnk l on l.c = s.c2 and l.fl <= s.rn"
-CTES["fraudster"] = "select customer_id c, min(rn) fs, min(ts) fraud_ts from ev where fraud group by 1"
+CTES["fraudster"] = "select customer_id c, min(rn) fs from ev where fraud group by 1"
 # counts of an entity as stored at each of its touches
 CTES["snap"] = """
   select t.node, t.ntype, t.event_id, t.rn, count(distinct b.node) merchant_count, count(distinct a.c) linked_identity_count
@@ -154,13 +154,18 @@ CTES["f4"] = """
   select s.event_id, count(distinct e.merchant_id) v from step1 s
   join ev e on e.customer_id = s.c2 and e.rn <= s.rn and e.ts >= s.ts - 259200 group by 1
 """
+# earliest fraud time known by each event for each fraud customer in its cluster
+CTES["burnt"] = """
+  select s.event_id, s.rn, s.c2, min(x.ts) fraud_ts from step1 s
+  join ev x on x.customer_id = s.c2 and x.fraud and x.rn <= s.rn group by all having min(x.ts) > 0
+"""
 CTES["f5"] = """
   select e.event_id, cast(coalesce(max(hit), 0) as bigint) v from ev e left join (
-    select s.event_id, 1 hit from step1 s join fraudster f on f.c = s.c2 and f.fs <= s.rn and f.fraud_ts > 0
-    where exists (select 1 from touch t where t.c = s.c2 and t.ntype = 'upi' and t.rn <= s.rn group by t.node
+    select f.event_id, 1 hit from burnt f
+    where exists (select 1 from touch t where t.c = f.c2 and t.ntype = 'upi' and t.rn <= f.rn group by t.node
                   having max(t.ts) between f.fraud_ts and f.fraud_ts + 172800)
-      and exists (select 1 from cnode n join (select node, min(ts) born from touch group by 1) b on b.node = n.node
-                  where n.event_id = s.event_id and n.ntype = 'upi' and b.born > f.fraud_ts)
+      and exists (select 1 from cnode n join (select node, arg_min(ts, rn) born from touch group by 1) b on b.node = n.node
+                  where n.event_id = f.event_id and n.ntype = 'upi' and b.born > f.fraud_ts)
   ) h on h.event_id = e.event_id group by 1
 """
 CTES["f6"] = """
@@ -171,7 +176,7 @@ CTES["f6"] = """
 """
 CTES["f7"] = """
   select s.event_id, round_even(avg((s.ts - b.born <= 604800)::int), 6) v from step1 s
-  join (select customer_id c, min(ts) born from ev group by 1) b on b.c = s.c2 group by 1
+  join (select customer_id c, arg_min(ts, rn) born from ev group by 1) b on b.c = s.c2 group by 1
 """
 CTES["raw"] = """
   select e.event_id, e.customer_id, e.merchant_id, e.amount_paise, e.ts, e.rn, f1.v device_identity_ratio, f2.v cross_merchant_fanout, f3.v taint,
@@ -217,6 +222,60 @@ CTES["outc"] = """
 """
 
 
+# --- final graph ---
+CTES["fcl"] = "select distinct a.c, b.c c2 from elnk a join elnk b on b.node = a.node union select customer_id, customer_id from ev"
+CTES["fnode"] = """
+  select distinct f.c, l.ntype, l.node from fcl f join lnk l on l.c = f.c2
+  union select c, 'customer', 'customer:' || c2 from fcl
+"""
+CTES["snaplast"] = """
+  select node, ntype, arg_max(merchant_count, rn) merchant_count, arg_max(linked_identity_count, rn) linked_identity_count from snap group by all
+"""
+CTES["spread"] = """
+  select 'customer:' || c node, 0 hop from fraudster
+  union select case when s.node = 'customer:' || l.c then l.node else 'customer:' || l.c end, s.hop + 1
+  from spread s join elnk l on (s.node = 'customer:' || l.c or s.node = l.node) where s.hop < 3
+"""
+CTES["tlevel"] = """
+  select node, case min(hop) when 0 then 1.0 when 1 then 0.6 when 2 then 0.36 else 0.216 end::double fraud_taint from spread group by 1
+"""
+CTES["ikeys"] = """
+  select event_id, customer_id c, 'customer:' || customer_id key from pay
+  union all select event_id, customer_id, 'vpa:' || upi_vpa from pay where upi_vpa <> ''
+  union all select event_id, customer_id, 'phone:' || phone from pay where phone <> ''
+  union all select event_id, customer_id, 'device:' || device_id from pay where device_id <> ''
+  union all select event_id, customer_id, 'email:' || email from pay where email <> ''
+"""
+CTES["ckey"] = "select distinct c, key from ikeys"
+CTES["creach"] = """
+  select distinct c, c r from ckey
+  union select x.c, b.c from creach x join ckey a on a.c = x.r join ckey b on b.key = a.key
+"""
+CTES["comp"] = "select c customer_id, min(r) component from creach group by 1"
+CTES["csize"] = """
+  select component, count(*) n, arg_min(is_fraud, rn) is_fraud, min(rn) first_rn from ev join comp using (customer_id)
+  join lab using (event_id) group by 1
+"""
+CTES["corder"] = """
+  select *, row_number() over (partition by is_fraud order by n desc, first_rn) i, sum(n) over (partition by is_fraud) p from csize
+"""
+# component after component to the split with the largest deficit
+CTES["deal"] = """
+  select is_fraud, 0::bigint i, null::varchar component, null::varchar split, 0::bigint a, 0::bigint b, 0::bigint d from (select distinct is_fraud from corder)
+  union all
+  select is_fraud, i, component, split, a + case split when 'train' then n else 0 end, b + case split when 'calibration' then n else 0 end,
+    d + case split when 'test' then n else 0 end from (
+    select o.is_fraud, o.i, o.component, o.n, x.a, x.b, x.d,
+      case when 0.6::double * o.p - x.a >= 0.2::double * o.p - x.b and 0.6::double * o.p - x.a >= 0.2::double * o.p - x.d then 'train'
+           when 0.2::double * o.p - x.b >= 0.2::double * o.p - x.d then 'calibration' else 'test' end split
+    from deal x join corder o on o.is_fraud = x.is_fraud and o.i = x.i + 1)
+"""
+CTES["splitlab"] = """
+  select l.*, d.split, e.customer_id from lab l join ev e using (event_id) join comp c on c.customer_id = e.customer_id
+  join deal d on d.component = c.component
+"""
+
+
 def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     """Prepend every CTE that ``body`` needs, in definition order."""
     pool = {**CTES, **(extra or {})}
@@ -232,5 +291,6 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not needed:
         return body
-    parts = ",\n".join(f"{n} as materialized ({pool[n]})" for n in pool if n in needed)
+    recursive = {"spread", "creach", "deal", "kdeal"}
+    parts = ",\n".join(f"{n} as {'' if n in recursive else 'materialized '}({pool[n]})" for n in pool if n in needed)
     return f"with recursive {parts}\n{body}"

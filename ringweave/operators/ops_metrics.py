@@ -61,7 +61,7 @@ def _exact_rank(counts: DataFrame, value: str, rank, name: str) -> DataFrame:
     return value_at_rank(counts, value, rank).withColumnRenamed(value, name)
 
 
-def latency_summary(samples: DataFrame, micros: str, order: list[str], wall_seconds: Column, stage) -> DataFrame:
+def latency_summary(samples: DataFrame, micros: str, order: list[str], wall_seconds: Column, stage, digits: int = 2) -> DataFrame:
     """Throughput and nearest-rank percentiles (ms) of the steady samples.
 
     ``micros`` is a whole number of microseconds; percentiles are read off
@@ -75,7 +75,7 @@ def latency_summary(samples: DataFrame, micros: str, order: list[str], wall_seco
         out = out.join(F.broadcast(_exact_rank(counts, micros, nearest, name)))
     out = out.join(F.broadcast(counts.agg(F.max(micros).alias("max"))))
     return out.select(
-        "events", "throughput_events_per_sec", *[half_even(F.col(c) / 1000, 2).alias(f"{c}_ms") for c in ("p50", "p95", "p99", "max")]
+        "events", "throughput_events_per_sec", *[half_even(F.col(c) / 1000, digits).alias(f"{c}_ms") for c in ("p50", "p95", "p99", "max")]
     )
 
 

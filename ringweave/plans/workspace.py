@@ -25,7 +25,7 @@ class Workspace:
         return P.read_table(self.spark, self.sf_dir, name)
 
     def folder(self, name: str) -> str:
-        return f"{shared_root(self.spark)}/{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:12]}"
+        return f"{shared_root(self.spark)}/{self.spark.sparkContext.applicationId}/{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:12]}"
 
     @cached_property
     def payments(self) -> DataFrame:

@@ -33,8 +33,11 @@ def own_nodes(links: DataFrame, cap: int = C.CLUSTER_CAP) -> DataFrame:
     return _rank(picked, "customer_id", ["fl_ord", "node"], "hop1_idx", cap)
 
 
-def neighbour_customers(links: DataFrame, own: DataFrame, cap: int = C.CLUSTER_CAP) -> DataFrame:
-    """Hop 2: customers sharing an entity, with the moment they came in reach."""
+def neighbour_customers(links: DataFrame, centers: DataFrame, cap: int = C.CLUSTER_CAP) -> DataFrame:
+    """Hop 2: customers sharing an entity, with the moment they came in reach.
+
+    ``centers`` are the own nodes of the customers asked for.
+    """
     entity_links = links.where(F.col("ntype") != "merchant").select("customer_id", "node", "fl_ord", "fl_vts")
     first_users = _rank(entity_links, "node", ["fl_ord"], "_p", cap + 1).select(
         "node",
@@ -42,7 +45,7 @@ def neighbour_customers(links: DataFrame, own: DataFrame, cap: int = C.CLUSTER_C
         F.col("fl_ord").alias("o_ord"),
         F.col("fl_vts").alias("o_vts"),
     )
-    mine = own.where((F.col("ntype") != "merchant") & (F.col("hop1_idx") < cap))
+    mine = centers.where((F.col("ntype") != "merchant") & (F.col("hop1_idx") < cap))
     pairs = (
         mine.join(first_users, "node")
         .where("customer_id <> other_id")
@@ -61,20 +64,20 @@ def neighbour_customers(links: DataFrame, own: DataFrame, cap: int = C.CLUSTER_C
     return _rank(pairs, "customer_id", ["join_ord", "o_ord"], "hop2_idx", cap)
 
 
-def reachable_nodes(own: DataFrame, pairs: DataFrame, cap: int = C.CLUSTER_CAP) -> DataFrame:
+def reachable_nodes(own: DataFrame, centers: DataFrame, pairs: DataFrame, cap: int = C.CLUSTER_CAP) -> DataFrame:
     """Hop 1 and hop 3 nodes per customer: own arrival and arrival via others.
 
     Once hops 0-2 alone exceed the cap nothing at hop 3 can be kept or change
     the truncation flag, so later hop-3 arrivals are not produced.
     """
     sizes = (
-        own.groupBy("customer_id")
+        centers.groupBy("customer_id")
         .agg(F.max("hop1_idx").alias("n1"))
         .join(pairs.groupBy("customer_id").agg(F.max("hop2_idx").alias("n2")), "customer_id")
         .where(F.col("n1") + F.col("n2") >= cap)
         .select("customer_id")
     )
-    arrivals = own.select("customer_id", F.col("fl_ord").alias("a_ord")).unionByName(
+    arrivals = centers.select("customer_id", F.col("fl_ord").alias("a_ord")).unionByName(
         pairs.select("customer_id", F.col("join_ord").alias("a_ord"))
     )
     full = (
@@ -103,20 +106,25 @@ def reachable_nodes(own: DataFrame, pairs: DataFrame, cap: int = C.CLUSTER_CAP)
         .agg(F.min(F.struct("via_ord", "via_key", "via_vts")).alias("v"))
         .select("customer_id", "ntype", "node", "v.via_ord", "v.via_key", "v.via_vts")
     )
-    return own.join(via, ["customer_id", "ntype", "node"], "full_outer").select(
+    return centers.join(via, ["customer_id", "ntype", "node"], "full_outer").select(
         "customer_id", "ntype", "node", "hop1_idx", "fl_ord", "fl_vts", "via_ord", "via_key", "via_vts"
     )
 
 
-def cluster_memberships(links: DataFrame, stage, cap: int = C.CLUSTER_CAP) -> tuple[DataFrame, DataFrame]:
+def cluster_memberships(
+    links: DataFrame, stage, cap: int = C.CLUSTER_CAP, wanted: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(memberships, crowded): intervals, and centers that outgrow the cap.
 
+    ``wanted`` (customer_id) limits the centers; all customers otherwise.
+
     ``crowded`` has (customer_id, trunc_ord): the first event whose cluster
     holds more than ``cap`` nodes.
     """
     own = stage(own_nodes(links, cap), "own_nodes")
-    pairs = stage(neighbour_customers(links, own, cap), "pairs")
-    nodes = stage(reachable_nodes(own, pairs, cap), "reach")
+    centers = own if wanted is None else stage(own.join(wanted, "customer_id", "left_semi"), "centers")
+    pairs = stage(neighbour_customers(links, centers, cap), "pairs")
+    nodes = stage(reachable_nodes(own, centers, pairs, cap), "reach")
 
     n_nodes = nodes.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
     n_pairs = pairs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n2"))
@@ -127,7 +135,7 @@ def cluster_memberships(links: DataFrame, stage, cap: int = C.CLUSTER_CAP) -> tu
         "crowd",
     )
     forever = [F.lit(C.FOREVER).alias("out_vts"), F.lit(C.FOREVER).alias("out_ord")]
-    selves = links.groupBy("customer_id").agg(F.min("fl_vts").alias("in_vts"), F.min("fl_ord").alias("in_ord")).select(
+    selves = centers.groupBy("customer_id").agg(F.min("fl_vts").alias("in_vts"), F.min("fl_ord").alias("in_ord")).select(
         "customer_id",
         F.lit("customer").alias("ntype"),
         F.concat(F.lit("customer:"), "customer_id").alias("node"),
@@ -156,7 +164,7 @@ def cluster_memberships(links: DataFrame, stage, cap: int = C.CLUSTER_CAP) -> tu
         return selves.unionByName(everyone), crowd.withColumn("trunc_ord", F.lit(C.FOREVER))
 
     calm = everyone.join(crowd, "customer_id", "left_anti")
-    tight = _crowded(own, pairs, nodes, crowd, cap)
+    tight = _crowded(centers, pairs, nodes, crowd, cap)
     arrivals = everyone.join(crowd, "customer_id", "left_semi")
     crowded = (
         _rank(arrivals, "customer_id", ["in_ord", "node"], "_n", cap)

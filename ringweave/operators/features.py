@@ -109,25 +109,38 @@ def fresh_steps(people: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def velocity_steps(people: DataFrame, tl: DataFrame) -> DataFrame:
+def velocity_steps(people: DataFrame, tl: DataFrame, targets: DataFrame) -> DataFrame:
     """Merchants used by a cluster customer within the window, counted once.
 
     A customer's payments at a merchant on one day cover one unbroken span, so
-    days are combined before they meet the clusters; overlapping spans of a
-    cluster at a merchant are merged.
+    days are combined before they meet the clusters. Spans that cover no day
+    with an event of the center are dropped inside the join; the others are
+    merged per center and merchant.
     """
-    day = F.floor(F.col("ts_us") / F.lit(86_400 * C.SECOND))
-    spans = tl.groupBy("customer_id", "merchant", "epoch_rank", day.alias("day")).agg(
+
+    def day(us: Column) -> Column:
+        return F.floor(us / F.lit(86_400 * C.SECOND)).cast("int")
+
+    active = targets.groupBy("customer_id").agg(F.collect_set(day(F.col("ts_us"))).alias("days"))
+    spans = tl.groupBy(F.col("customer_id").alias("member_id"), "merchant", "epoch_rank", day(F.col("ts_us")).alias("day")).agg(
         F.min("vts").alias("s_vts"), F.min("ord").alias("s_ord"), (F.max("ts_us") + C.VELOCITY_US).alias("e_vts")
     )
-    seen = people.join(spans.withColumnRenamed("customer_id", "member_id"), "member_id").select(
-        "customer_id",
-        "merchant",
-        F.greatest(_pos("in_vts", "in_ord"), _pos("s_vts", "s_ord")).alias("a"),
-        F.least(
-            _pos("out_vts", "out_ord"), F.struct(F.col("e_vts").alias("vts"), F.lit(C.FOREVER).alias("ord"))
-        ).alias("b"),
-    ).where("a < b")
+    seen_some_day = F.arrays_overlap("days", F.sequence(F.col("day"), day(F.col("e_vts"))))
+    seen_later = F.array_min("days") <= day(F.col("e_vts"))
+    seen = (
+        people.join(active, "customer_id")
+        .join(spans, "member_id")
+        .where(F.when(F.col("epoch_rank") <= 0, seen_later).otherwise(seen_some_day))
+        .select(
+            "customer_id",
+            "merchant",
+            F.greatest(_pos("in_vts", "in_ord"), _pos("s_vts", "s_ord")).alias("a"),
+            F.least(
+                _pos("out_vts", "out_ord"), F.struct(F.col("e_vts").alias("vts"), F.lit(C.FOREVER).alias("ord"))
+            ).alias("b"),
+        )
+        .where("a < b")
+    )
     w = Window.partitionBy("customer_id", "merchant").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = seen.withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn(
@@ -208,11 +221,16 @@ def burn_rotate_steps(
     )
 
 
-def cluster_counters(tl: DataFrame, steps: DataFrame, stage, **scan) -> DataFrame:
-    """Every counter of the customer's cluster as of each event."""
-    ordered = steps.groupBy("customer_id", "vts", "ord", "kind").agg(F.sum("d").cast("int").alias("d")).where("d <> 0")
-    rows = ordered.select("customer_id", "vts", "ord", "kind", "d", F.lit(None).cast("string").alias("event_id")).unionByName(
-        tl.select("customer_id", "vts", "ord", F.lit(99).alias("kind"), F.lit(0).alias("d"), "event_id")
+EVENT_COLUMNS = ("event_id", "merchant_id", "amount_paise", "epoch_rank")
+
+
+def cluster_counters(targets: DataFrame, steps: DataFrame, stage, **scan) -> DataFrame:
+    """Scored events with every counter of their cluster as of the event."""
+    merged = steps.groupBy("customer_id", "vts", "ord", "kind").agg(F.sum("d").cast("int").alias("d")).where("d <> 0")
+    types = dict(targets.dtypes)
+    empty = [F.lit(None).cast(types[c]).alias(c) for c in EVENT_COLUMNS]
+    rows = merged.select("customer_id", "vts", "ord", "kind", "d", *empty).unionByName(
+        targets.select("customer_id", "vts", "ord", F.lit(99).alias("kind"), F.lit(0).alias("d"), *EVENT_COLUMNS)
     )
     scanned = running(
         stage(rows, "cluster_steps"),
@@ -221,36 +239,30 @@ def cluster_counters(tl: DataFrame, steps: DataFrame, stage, **scan) -> DataFram
         sums={n: F.when(F.col("kind") == k, F.col("d")).otherwise(0) for n, k in KIND.items()},
         **scan,
     )
-    return scanned.where(F.col("event_id").isNotNull()).select("event_id", *COUNTERS)
+    return scanned.where(F.col("event_id").isNotNull()).drop("kind", "d")
 
 
-def raw_features(tl: DataFrame, counters: DataFrame, fanout: DataFrame) -> DataFrame:
-    """Raw features; ``fanout`` is (event_id, max_fanout)."""
+def raw_features(counters: DataFrame, reads: DataFrame) -> DataFrame:
+    """Raw features; ``reads`` is (event_id, max_fanout, top_devices)."""
     lo, hi = C.AMOUNT_BAND_PAISE
     hit = F.col("amount_paise").between(lo, hi).cast("double")
     mean_hit = (F.col("n_off_band") == 0).cast("double")
     ratio = F.when(F.col("n_device") > 0, half_even(F.col("n_customer") / F.col("n_device"), 3)).otherwise(0.0)
     taint = F.coalesce(*[F.when(F.col(f"n_taint_{h}") > 0, F.lit(v)) for h, v in enumerate(C.TAINT_BY_HOP)], F.lit(0.0))
-    return (
-        tl.join(counters, "event_id")
-        .join(fanout, "event_id", "left")
-        .select(
-            "event_id",
-            "customer_id",
-            "merchant_id",
-            "amount_paise",
-            "vts",
-            "ord",
-            "epoch_rank",
-            *[F.col(c).cast("long").alias(c) for c in COUNTERS[:6]],
-            ratio.alias("device_identity_ratio"),
-            F.coalesce("max_fanout", F.lit(0)).cast("long").alias("cross_merchant_fanout"),
-            taint.alias("taint"),
-            F.col("n_active_merchants").cast("long").alias("velocity_merchants_72h"),
-            (F.col("n_burn_rotate") > 0).cast("long").alias("burn_rotate"),
-            ((hit + mean_hit) / 2).alias("amount_band_hit"),
-            half_even(F.col("n_fresh") / F.col("n_customer"), 6).alias("new_identity_fraction"),
-        )
+    return counters.join(reads, "event_id", "left").select(
+        *EVENT_COLUMNS,
+        "customer_id",
+        "vts",
+        "ord",
+        "top_devices",
+        *[F.col(c).cast("long").alias(c) for c in COUNTERS[:6]],
+        ratio.alias("device_identity_ratio"),
+        F.coalesce("max_fanout", F.lit(0)).cast("long").alias("cross_merchant_fanout"),
+        taint.alias("taint"),
+        F.col("n_active_merchants").cast("long").alias("velocity_merchants_72h"),
+        (F.col("n_burn_rotate") > 0).cast("long").alias("burn_rotate"),
+        ((hit + mean_hit) / 2).alias("amount_band_hit"),
+        half_even(F.col("n_fresh") / F.col("n_customer"), 6).alias("new_identity_fraction"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -56,7 +57,8 @@ class LinkGraph:
 
     @cached_property
     def _membership(self) -> tuple[DataFrame, DataFrame]:
-        members, crowded = cluster.cluster_memberships(self.links, stage, self._cap)
+        wanted = self.targets.select("customer_id").distinct() if self._rank else None
+        members, crowded = cluster.cluster_memberships(self.links, stage, self._cap, wanted)
         return stage(members, "members"), stage(crowded, "crowded")
 
     @property
@@ -73,9 +75,8 @@ class LinkGraph:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return stage(
-            snapshots.entity_snapshot_history(self.timeline, self.links, self.progress, stage, **self._scan), "snapshots"
-        )
+        history = snapshots.entity_snapshot_history(self.links, self.progress, stage, **self._scan)
+        return stage(history, "snapshots")
 
     @property
     def targets(self) -> DataFrame:
@@ -84,14 +85,15 @@ class LinkGraph:
 
     @cached_property
     def entity_reads(self) -> DataFrame:
-        """Entity counts of each event's cluster as of the event."""
+        """Widest entity and top devices of each event's cluster, as of the event."""
         probes = (
             self.targets.select("event_id", "customer_id", "vts", "ord")
             .join(self.members.where(F.col("ntype").isin(*C.FANOUT_TYPES)), "customer_id")
             .where("in_ord <= ord and ord < out_ord")
             .select("node", "event_id", "vts", "ord")
         )
-        return stage(snapshots.read_snapshots(self.snapshots, probes, stage, **self._scan), "entity_reads")
+        reads = snapshots.read_snapshots(self.snapshots, probes, stage, **self._scan)
+        return stage(snapshots.widest_entities(reads), "entity_reads")
 
     @cached_property
     def counters(self) -> DataFrame:
@@ -100,87 +102,81 @@ class LinkGraph:
             features.member_steps(self.members)
             .unionByName(features.taint_steps(self.members, self.taint_times))
             .unionByName(features.fresh_steps(people, self.customers))
-            .unionByName(features.velocity_steps(people, self.timeline))
+            .unionByName(features.velocity_steps(people, self.timeline, self.targets))
             .unionByName(features.amount_steps(people, self.progress))
-            .unionByName(
-                features.burn_rotate_steps(self.members, people, self.customers, self.entities, self.timeline)
-            )
+            .unionByName(features.burn_rotate_steps(self.members, people, self.customers, self.entities, self.timeline))
         )
         return stage(features.cluster_counters(self.targets, steps, stage, **self._scan), "counters")
 
+    def _derive_branches(self) -> None:
+        """Derive the independent tables at the same time: a cluster has room
+        for more than one job, and none of them reads another's result."""
+        self.links
+        branches = (
+            lambda: self.members,
+            lambda: self.snapshots,
+            lambda: (self.customers, self.taint_times, self.entities),
+        )
+        with ThreadPoolExecutor(len(branches)) as pool:
+            for done in [pool.submit(branch) for branch in branches]:
+                done.result()
+        with ThreadPoolExecutor(2) as pool:
+            for done in [pool.submit(lambda: self.entity_reads), pool.submit(lambda: self.counters)]:
+                done.result()
+
     @cached_property
     def features(self) -> DataFrame:
-        fanout = self.entity_reads.groupBy("event_id").agg(F.max("merchant_count").alias("max_fanout"))
-        return stage(
-            features.normalize_features(features.raw_features(self.targets, self.counters, fanout)), "features"
-        )
+        self._derive_branches()
+        raw = features.raw_features(self.counters, self.entity_reads)
+        return stage(features.normalize_features(raw), "features")
 
     @cached_property
-    def evidence(self) -> DataFrame:
-        """Per event: first merchants, top shared devices, path, cluster size."""
+    def customer_evidence(self) -> DataFrame:
+        """Per customer: merchants of its cluster with their intervals (at most
+        a cluster's worth), its taint path, and when its cluster outgrew the cap."""
+        shop = F.struct(node_value(F.col("node")).alias("value"), "in_ord", "out_ord")
         merchants = (
             self.members.where("ntype = 'merchant'")
             .groupBy("customer_id")
-            .agg(
-                F.array_sort(
-                    F.collect_list(F.struct(node_value(F.col("node")).alias("value"), "in_ord", "out_ord"))
-                ).alias("shops")
-            )
-        )
-        devices = (
-            self.entity_reads.where(F.col("node").startswith("device:"))
-            .groupBy("event_id")
-            .agg(
-                F.slice(
-                    F.array_sort(
-                        F.collect_list(
-                            F.struct(
-                                (-F.col("linked_identity_count")).alias("neg_identities"),
-                                node_value(F.col("node")).alias("device_id"),
-                                "merchant_count",
-                            )
-                        )
-                    ),
-                    1,
-                    3,
-                ).alias("top_devices")
-            )
+            .agg(F.array_sort(F.collect_list(shop)).alias("shops"))
         )
         paths = taint.taint_paths(self.links, self.customers)
-        visible = F.filter("shops", lambda m: (m["in_ord"] <= F.col("ord")) & (F.col("ord") < m["out_ord"]))
         return stage(
-            self.features.select("event_id", "customer_id", "ord", "n_customer", "taint")
-            .join(merchants, "customer_id", "left")
-            .join(devices, "event_id", "left")
-            .join(paths, "customer_id", "left")
-            .join(self.crowded, "customer_id", "left")
-            .select(
-                "event_id",
-                F.slice(F.array_distinct(F.transform(visible, lambda m: m["value"])), 1, 8).alias("linked_merchants"),
+            merchants.join(paths, "customer_id", "left").join(self.crowded, "customer_id", "left"), "customer_evidence"
+        )
+
+    @property
+    def evidence(self) -> DataFrame:
+        """Features plus evidence: first merchants, top shared devices, taint
+        path, cluster size. One join, on the customer."""
+        visible = F.filter("shops", lambda m: (m["in_ord"] <= F.col("ord")) & (F.col("ord") < m["out_ord"]))
+        no_devices = F.array().cast("array<struct<neg_identities:bigint,device_id:string,merchant_count:bigint>>")
+        path = F.array("customer_id", node_value(F.col("via")), F.col("fraud_customer"))
+        return (
+            self.features.join(self.customer_evidence, "customer_id", "left")
+            .withColumn("linked_merchants", F.slice(F.transform(visible, lambda m: m["value"]), 1, 8))
+            .withColumn(
+                "shared_devices",
                 F.transform(
-                    F.coalesce("top_devices", F.array().cast("array<struct<neg_identities:bigint,device_id:string,merchant_count:bigint>>")),
+                    F.coalesce("top_devices", no_devices),
                     lambda d: F.struct(
                         d["device_id"].alias("device_id"),
                         (-d["neg_identities"]).alias("linked_identities"),
                         d["merchant_count"].alias("merchant_count"),
                     ),
-                ).alias("shared_devices"),
-                "taint",
-                F.when(
-                    F.col("path_ord") <= F.col("ord"),
-                    F.array("customer_id", node_value(F.col("via")), F.col("fraud_customer")),
-                )
-                .otherwise(F.array().cast("array<string>"))
-                .alias("taint_path"),
-                F.col("n_customer").alias("cluster_customers"),
-                (F.coalesce("trunc_ord", F.lit(C.FOREVER)) <= F.col("ord")).alias("truncated"),
-            ),
-            "evidence",
+                ),
+            )
+            .withColumn(
+                "taint_path", F.when(F.col("path_ord") <= F.col("ord"), path).otherwise(F.array().cast("array<string>"))
+            )
+            .withColumn("cluster_customers", F.col("n_customer"))
+            .withColumn("truncated", F.coalesce("trunc_ord", F.lit(C.FOREVER)) <= F.col("ord"))
+            .drop("shops", "top_devices", "path_ord", "via", "fraud_customer", "trunc_ord")
         )
 
     def scores(self, weights: Mapping[str, int] | None = None, thresholds: Mapping[str, int] | None = None) -> DataFrame:
         """Features plus contributions, score, band and reason codes."""
-        return score_frame(self.features, weights, thresholds)
+        return score_frame(self.features.drop("top_devices"), weights, thresholds)
 
     def verdicts(
         self,
@@ -189,8 +185,7 @@ class LinkGraph:
         model_version: str = C.MODEL_VERSION,
     ) -> DataFrame:
         return (
-            self.scores(weights, thresholds)
-            .join(self.evidence.drop("taint"), "event_id")
+            score_frame(self.evidence, weights, thresholds)
             .withColumn("model_version", F.lit(model_version))
             .withColumn("degraded", F.lit(False))
         )

@@ -64,15 +64,15 @@ def timeline(events: DataFrame, rank: str | None = None) -> DataFrame:
     )
 
 
-def explode_entities(tl: DataFrame, merchants: bool = True) -> DataFrame:
-    """One row per (event, linked node)."""
+def explode_entities(tl: DataFrame, merchants: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (event, linked node), with ``extra`` event columns."""
     kinds = [*C.ENTITY_TYPES, *(["merchant"] if merchants else [])]
     nodes = F.filter(
         F.array(*[F.struct(F.lit(k).alias("ntype"), F.col(k).alias("node")) for k in kinds]),
         lambda n: n["node"].isNotNull(),
     )
     return tl.select(
-        "event_id", "customer_id", "amount_paise", "ts_us", "vts", "ord", F.inline(nodes).alias("ntype", "node")
+        "event_id", "customer_id", "ts_us", "vts", "ord", *extra, F.inline(nodes).alias("ntype", "node")
     )
 
 

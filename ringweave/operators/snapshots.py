@@ -10,9 +10,10 @@ merchants are listed, and only while the anchor has not reached them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringweave.functions.normalize import node_value
 from ringweave.operators.links import explode_entities
 from ringweave.operators.scan import running
 
@@ -20,28 +21,36 @@ DELTA, TOUCH, PROBE = 0, 1, 2
 
 
 def event_progress(tl: DataFrame, links: DataFrame, stage, **scan) -> DataFrame:
-    """Per event: the customer's running merchants, payments and amount."""
-    firsts = links.where(F.col("ntype") == "merchant").select(F.col("fl_ord").alias("ord"), F.lit(1).alias("new_merchant"))
-    base = stage(
-        tl.join(firsts, "ord", "left").select(
-            *tl.columns, F.coalesce("new_merchant", F.lit(0)).alias("new_merchant")
-        ),
-        "progress_in",
+    """Timeline plus the customer's running merchants, payments and amount.
+
+    A customer's first payment at a merchant is a step on its own timeline, so
+    events need no join to learn that they are first.
+    """
+    empty = [F.lit(None).cast(t).alias(c) for c, t in tl.dtypes if c not in ("customer_id", "vts", "ord")]
+    firsts = links.where(F.col("ntype") == "merchant").select(
+        "customer_id",
+        F.col("fl_vts").alias("vts"),
+        F.col("fl_ord").alias("ord"),
+        *empty,
+        F.lit(DELTA).alias("kind"),
+        F.lit(1).alias("new_merchant"),
     )
-    return running(
-        base,
+    rows = tl.select("*", F.lit(TOUCH).alias("kind"), F.lit(0).alias("new_merchant")).unionByName(firsts)
+    scanned = running(
+        stage(rows, "progress_in"),
         "customer_id",
-        ["vts", "ord"],
+        ["vts", "ord", "kind"],
         sums={
             "own_merchants": F.col("new_merchant"),
-            "amount_sum": F.col("amount_paise"),
-            "amount_count": F.lit(1).cast("long"),
+            "amount_sum": F.coalesce("amount_paise", F.lit(0)),
+            "amount_count": (F.col("kind") == TOUCH).cast("long"),
         },
         **scan,
     )
+    return scanned.where(F.col("kind") == TOUCH).drop("kind", "new_merchant")
 
 
-def entity_snapshot_history(tl: DataFrame, links: DataFrame, progress: DataFrame, stage, **scan) -> DataFrame:
+def entity_snapshot_history(links: DataFrame, progress: DataFrame, stage, **scan) -> DataFrame:
     """(node, ntype, event_id, vts, ord, merchant_count, linked_identity_count).
 
     One row per touch of an entity.
@@ -62,25 +71,10 @@ def entity_snapshot_history(tl: DataFrame, links: DataFrame, progress: DataFrame
         .where("customer_id = anchor")
         .select("node", "anchor", F.col("fl_ord").alias("a_ord"), F.col("fl_vts").alias("a_vts"))
     )
-    touched = explode_entities(tl, merchants=False).join(
-        progress.select("event_id", "own_merchants"), "event_id"
-    )
-    first_links = entity_links.select("customer_id", "node", F.col("fl_ord").alias("ord"), F.lit(1).alias("new_customer"))
     touches = stage(
-        touched.join(first_links, ["customer_id", "node", "ord"], "left")
+        explode_entities(progress, merchants=False, extra=("own_merchants",))
         .join(anchor_link, "node", "left")
-        .select(
-            "event_id",
-            "customer_id",
-            "ntype",
-            "node",
-            "vts",
-            "ord",
-            "own_merchants",
-            F.coalesce("new_customer", F.lit(0)).alias("new_customer"),
-            "anchor",
-            "a_ord",
-        ),
+        .select("event_id", "customer_id", "ntype", "node", "vts", "ord", "own_merchants", "anchor", "a_ord"),
         "touches",
     )
 
@@ -120,7 +114,7 @@ def entity_snapshot_history(tl: DataFrame, links: DataFrame, progress: DataFrame
         F.lit(TOUCH).alias("kind"),
         F.coalesce(own_base, "anchor_merchants", F.lit(0)).cast("long").alias("base"),
         F.lit(0).alias("d_merchants"),
-        F.col("new_customer").alias("d_customers"),
+        F.lit(0).alias("d_customers"),
     )
 
     # merchants reached through the other customers, until the anchor reaches them
@@ -161,20 +155,27 @@ def entity_snapshot_history(tl: DataFrame, links: DataFrame, progress: DataFrame
         ),
         lambda e: e["ord"].isNotNull(),
     )
-    deltas = others.select("node", F.inline(edge).alias("vts", "ord", "d")).select(
-        "node",
-        F.lit(None).cast("string").alias("ntype"),
-        F.lit(None).cast("string").alias("event_id"),
-        "vts",
-        "ord",
-        F.lit(DELTA).alias("kind"),
-        F.lit(0).cast("long").alias("base"),
-        F.col("d").alias("d_merchants"),
-        F.lit(0).alias("d_customers"),
+
+    def steps_of(df: DataFrame, d_merchants: Column, d_customers: Column) -> DataFrame:
+        return df.select(
+            "node",
+            F.lit(None).cast("string").alias("ntype"),
+            F.lit(None).cast("string").alias("event_id"),
+            "vts",
+            "ord",
+            F.lit(DELTA).alias("kind"),
+            F.lit(0).cast("long").alias("base"),
+            d_merchants.alias("d_merchants"),
+            d_customers.alias("d_customers"),
+        )
+
+    deltas = steps_of(others.select("node", F.inline(edge).alias("vts", "ord", "d")), F.col("d"), F.lit(0))
+    joiners = steps_of(
+        entity_links.select("node", F.col("fl_vts").alias("vts"), F.col("fl_ord").alias("ord")), F.lit(0), F.lit(1)
     )
     return (
         running(
-            stage(based.unionByName(deltas), "snapshot_in"),
+            stage(based.unionByName(deltas).unionByName(joiners), "snapshot_in"),
             "node",
             ["vts", "ord", "kind"],
             sums={"_m": F.col("d_merchants"), "linked_identity_count": F.col("d_customers")},
@@ -193,27 +194,50 @@ def read_snapshots(history: DataFrame, probes: DataFrame, stage, **scan) -> Data
     Both counts only grow, so the last touch is the running maximum.
     """
     seen = history.select(
-        "node", F.lit(None).cast("string").alias("event_id"), "vts", "ord", F.lit(TOUCH).alias("kind"), "merchant_count", "linked_identity_count"
+        "node",
+        F.lit(None).cast("string").alias("event_id"),
+        "vts",
+        "ord",
+        F.lit(TOUCH).alias("kind"),
+        "merchant_count",
+        "linked_identity_count",
     )
+    nothing = F.lit(None).cast("long")
     asks = probes.select(
         "node",
         "event_id",
         "vts",
         "ord",
         F.lit(PROBE).alias("kind"),
-        F.lit(None).cast("long").alias("merchant_count"),
-        F.lit(None).cast("long").alias("linked_identity_count"),
+        nothing.alias("merchant_count"),
+        nothing.alias("linked_identity_count"),
     )
-    return (
-        running(
-            stage(seen.unionByName(asks), "snapshot_reads"),
-            "node",
-            ["vts", "ord", "kind"],
-            maxes={"mc": F.col("merchant_count"), "lic": F.col("linked_identity_count")},
-            **scan,
-        )
-        .where(F.col("kind") == PROBE)
-        .select("event_id", "node", F.coalesce("mc", F.lit(0)).alias("merchant_count"), F.coalesce("lic", F.lit(0)).alias("linked_identity_count"))
+    scanned = running(
+        stage(seen.unionByName(asks), "snapshot_reads"),
+        "node",
+        ["vts", "ord", "kind"],
+        maxes={"mc": F.col("merchant_count"), "lic": F.col("linked_identity_count")},
+        **scan,
+    )
+    return scanned.where(F.col("kind") == PROBE).select(
+        "event_id",
+        "node",
+        F.coalesce("mc", F.lit(0)).alias("merchant_count"),
+        F.coalesce("lic", F.lit(0)).alias("linked_identity_count"),
+    )
+
+
+def widest_entities(reads: DataFrame) -> DataFrame:
+    """Per event: largest merchant count, and its top three devices by linked
+    identities (at most one cluster's entities per event are combined)."""
+    device = F.struct(
+        (-F.col("linked_identity_count")).alias("neg_identities"),
+        node_value(F.col("node")).alias("device_id"),
+        "merchant_count",
+    )
+    devices = F.collect_list(F.when(F.col("node").startswith("device:"), device))
+    return reads.groupBy("event_id").agg(
+        F.max("merchant_count").alias("max_fanout"), F.slice(F.array_sort(devices), 1, 3).alias("top_devices")
     )
 
 

@@ -97,5 +97,9 @@ HOT_KEY_ROWS = 1_000_000
 SLICE_US = 3600 * SECOND
 # hot keys sent as a broadcast table at most; beyond it the join is shuffled
 MAX_BROADCAST_HOT_KEYS = 50_000
+# customers with more events than this read their cluster once per change of it
+# instead of once per event, when that saves at least the given factor
+BUSY_CUSTOMER_EVENTS = 100_000
+EPOCH_GAIN = 10
 FOREVER = 2**63 - 1
 BEFORE_ALL = -(2**62)

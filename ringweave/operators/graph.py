@@ -31,7 +31,10 @@ class LinkGraph:
         cap: int = C.CLUSTER_CAP,
         hot_rows: int | None = None,
         slice_us: int | None = None,
+        busy_events: int = C.BUSY_CUSTOMER_EVENTS,
+        epoch_gain: float = C.EPOCH_GAIN,
     ) -> None:
+        self._busy_events, self._epoch_gain = busy_events, epoch_gain
         self._events, self._rank, self._cap = events, rank, cap
         self._scan = {"hot_rows": hot_rows, "slice_us": slice_us}
 
@@ -86,14 +89,11 @@ class LinkGraph:
     @cached_property
     def entity_reads(self) -> DataFrame:
         """Widest entity and top devices of each event's cluster, as of the event."""
-        probes = (
-            self.targets.select("event_id", "customer_id", "vts", "ord")
-            .join(self.members.where(F.col("ntype").isin(*C.FANOUT_TYPES)), "customer_id")
-            .where("in_ord <= ord and ord < out_ord")
-            .select("node", "event_id", "vts", "ord")
+        fan = self.members.where(F.col("ntype").isin(*C.FANOUT_TYPES))
+        reads = snapshots.cluster_reads(
+            self.targets, fan, self.snapshots, stage, self._busy_events, self._epoch_gain, **self._scan
         )
-        reads = snapshots.read_snapshots(self.snapshots, probes, stage, **self._scan)
-        return stage(snapshots.widest_entities(reads), "entity_reads")
+        return stage(reads, "entity_reads")
 
     @cached_property
     def counters(self) -> DataFrame:

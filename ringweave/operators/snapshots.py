@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringweave import config as C
 from ringweave.functions.normalize import node_value
 from ringweave.operators.links import explode_entities
-from ringweave.operators.scan import running
+from ringweave.operators.scan import hot_keys, running
 
 DELTA, TOUCH, PROBE = 0, 1, 2
 
@@ -241,6 +242,68 @@ def widest_entities(reads: DataFrame) -> DataFrame:
     )
 
 
+def cluster_reads(
+    targets: DataFrame, fan: DataFrame, history: DataFrame, stage, busy_events: int, epoch_gain: float, **scan
+) -> DataFrame:
+    """(event_id, max_fanout, top_devices) of every event's cluster, as of it.
+
+    ``fan`` are the memberships of the entities to read. An ordinary customer
+    asks for each of them at each event. A customer with very many events asks
+    once per *epoch*: between two changes of its cluster or of its entities'
+    counts all events read the same values.
+    """
+    events = targets.select("event_id", "customer_id", "vts", "ord")
+    busy = hot_keys(events, "customer_id", busy_events)
+    steady = None
+    if busy is not None:
+        steady = stage(_worth_epochs(events, fan, history, busy, epoch_gain), "steady")
+        if steady.isEmpty():
+            steady = None
+    plain = events if steady is None else events.join(steady, "customer_id", "left_anti")
+    probes = plain.join(fan, "customer_id").where("in_ord <= ord and ord < out_ord").select("node", "event_id", "vts", "ord")
+    read = widest_entities(read_snapshots(history, probes, stage, **scan))
+    if steady is None:
+        return read
+
+    mine = stage(fan.join(steady, "customer_id", "left_semi"), "steady_fan")
+    known = mine.join(_changes(history), "node").where("c_ord < out_ord")
+    moments = (
+        known.select("customer_id", F.greatest("in_vts", "c_vts").alias("vts"), F.greatest("in_ord", "c_ord").alias("ord"))
+        .unionByName(mine.select("customer_id", F.col("in_vts").alias("vts"), F.col("in_ord").alias("ord")))
+        .unionByName(mine.where(F.col("out_ord") < C.FOREVER).select("customer_id", F.col("out_vts").alias("vts"), F.col("out_ord").alias("ord")))
+        .distinct()
+    )
+    epochs = stage(moments.withColumn("epoch", F.concat_ws("|", "customer_id", "ord")), "epochs")
+    asks = epochs.join(mine, "customer_id").where("in_ord <= ord and ord < out_ord").select(
+        "node", F.col("epoch").alias("event_id"), "vts", "ord"
+    )
+    per_epoch = widest_entities(read_snapshots(history, asks, stage, **scan)).withColumnRenamed("event_id", "epoch")
+    timeline = epochs.select("customer_id", "vts", "ord", F.lit(DELTA).alias("kind"), F.col("ord").alias("e_ord"), F.lit(None).cast("string").alias("event_id"))
+    own = events.join(steady, "customer_id", "left_semi").select(
+        "customer_id", "vts", "ord", F.lit(PROBE).alias("kind"), F.lit(None).cast("long").alias("e_ord"), "event_id"
+    )
+    placed = running(
+        stage(timeline.unionByName(own), "epoch_in"), "customer_id", ["vts", "ord", "kind"], maxes={"epoch_ord": F.col("e_ord")}, **scan
+    ).where(F.col("kind") == PROBE)
+    shared = placed.select("event_id", F.concat_ws("|", "customer_id", "epoch_ord").alias("epoch")).join(per_epoch, "epoch")
+    return read.unionByName(shared.select(*read.columns))
+
+
+def _changes(history: DataFrame) -> DataFrame:
+    """First touch at each value of an entity's counts (both only grow)."""
+    return history.groupBy("node", "merchant_count", "linked_identity_count").agg(
+        F.min("vts").alias("c_vts"), F.min("ord").alias("c_ord")
+    )
+
+
+def _worth_epochs(events: DataFrame, fan: DataFrame, history: DataFrame, busy: DataFrame, gain: float) -> DataFrame:
+    """Busy customers whose clusters change far less often than they pay."""
+    sizes = events.join(busy, "customer_id").groupBy("customer_id").agg(F.count("*").alias("n_events"))
+    per_node = _changes(history).groupBy("node").agg(F.count("*").alias("changes"))
+    cost = fan.join(busy, "customer_id").join(per_node, "node").groupBy("customer_id").agg(F.sum(F.col("changes") + 2).alias("changes"))
+    return sizes.join(cost, "customer_id").where(F.col("changes") * F.lit(gain) <= F.col("n_events")).select("customer_id")
+
+
 def current_counts(links: DataFrame) -> DataFrame:
     """Final counts per entity (freshness = current)."""
     entity_links = links.where(F.col("ntype") != "merchant").select("customer_id", "ntype", "node")

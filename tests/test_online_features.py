@@ -97,6 +97,30 @@ def test_hot_keys_are_sliced_without_changing_results(spark):
     compare(spark, many(range(100, 112)), hot_rows=6, slice_us=5 * 3600 * 1_000_000)
 
 
+@pytest.mark.parametrize("cap", [8, 200])
+def test_reads_once_per_epoch_equal_reads_per_event(spark, cap):
+    events = many(range(120, 130))
+    compare(spark, events, cap=cap, busy_events=3, epoch_gain=0.0, hot_rows=25)
+
+
+def test_one_customer_with_most_events(spark):
+    """A guest account: most rows, many devices, far over the cap."""
+    r = random.Random(11)
+    events = []
+    for i in range(600):
+        guest = r.random() < 0.7
+        events.append(
+            {
+                "event_id": f"g{i:05d}", "merchant_id": f"m{r.randint(1, 60)}", "customer_id": "guest" if guest else f"c{r.randint(1, 40)}",
+                "amount": r.choice([30_000, 90_000]), "upi": None, "phone": None, "device": f"d{r.randint(1, 150)}",
+                "email": f"x{r.randint(1, 60)}@ex.com" if r.random() < 0.3 else None, "ts": 1_780_000_000 + i * 2400,
+                "outcome": "chargeback" if r.random() < 0.01 else None,
+            }
+        )
+    want = compare(spark, events, cap=60, busy_events=100, epoch_gain=0.01, hot_rows=80, slice_us=24 * 3600 * 1_000_000)
+    assert any(w["truncated"] for w in want.values())
+
+
 @pytest.mark.parametrize("cap", [6, 12, 25])
 def test_crowded_clusters_match_model(spark, cap):
     want = compare(spark, many(range(200, 215)), cap=cap, hot_rows=40)

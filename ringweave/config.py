@@ -101,5 +101,8 @@ MAX_BROADCAST_HOT_KEYS = 50_000
 # instead of once per event, when that saves at least the given factor
 BUSY_CUSTOMER_EVENTS = 100_000
 EPOCH_GAIN = 10
+# customers active on more (merchant, day) pairs than this are counted once for
+# all the clusters they belong to
+HEAVY_CUSTOMER_SPANS = 20_000
 FOREVER = 2**63 - 1
 BEFORE_ALL = -(2**62)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ringweave import config as C
 from ringweave.functions.scoring import clip01, half_even
 from ringweave.operators.links import fraud_times
-from ringweave.operators.scan import running
+from ringweave.operators.scan import hot_keys, running
 
 COUNTERS = (
     "n_customer",
@@ -109,45 +109,108 @@ def fresh_steps(people: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def velocity_steps(people: DataFrame, tl: DataFrame, targets: DataFrame) -> DataFrame:
-    """Merchants used by a cluster customer within the window, counted once.
-
-    A customer's payments at a merchant on one day cover one unbroken span, so
-    days are combined before they meet the clusters. Spans that cover no day
-    with an event of the center are dropped inside the join; the others are
-    merged per center and merchant.
-    """
+def _day(us: Column) -> Column:
+    return F.floor(us / F.lit(86_400 * C.SECOND)).cast("int")
 
-    def day(us: Column) -> Column:
-        return F.floor(us / F.lit(86_400 * C.SECOND)).cast("int")
 
-    active = targets.groupBy("customer_id").agg(F.collect_set(day(F.col("ts_us"))).alias("days"))
-    spans = tl.groupBy(F.col("customer_id").alias("member_id"), "merchant", "epoch_rank", day(F.col("ts_us")).alias("day")).agg(
+def payment_spans(tl: DataFrame) -> DataFrame:
+    """Payments of a customer at a merchant on one day cover one unbroken span
+    of the velocity window, so a day is one row."""
+    return tl.groupBy(F.col("customer_id").alias("member_id"), "merchant", "epoch_rank", _day(F.col("ts_us")).alias("day")).agg(
         F.min("vts").alias("s_vts"), F.min("ord").alias("s_ord"), (F.max("ts_us") + C.VELOCITY_US).alias("e_vts")
     )
-    seen_some_day = F.arrays_overlap("days", F.sequence(F.col("day"), day(F.col("e_vts"))))
-    seen_later = F.array_min("days") <= day(F.col("e_vts"))
+
+
+def _span_end() -> Column:
+    return F.struct(F.col("e_vts").alias("vts"), F.lit(C.FOREVER).alias("ord"))
+
+
+def _merged(intervals: DataFrame) -> DataFrame:
+    """Union of [a, b) per (customer_id, merchant); rows are days, not events."""
+    w = Window.partitionBy("customer_id", "merchant").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = intervals.withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn(
+        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    merged = islands.groupBy("customer_id", "merchant", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.drop("_island")
+
+
+def velocity(
+    people: DataFrame, tl: DataFrame, targets: DataFrame, stage, heavy_spans: int, **scan
+) -> tuple[DataFrame, DataFrame | None]:
+    """Merchants used by a cluster customer within the window, counted once.
+
+    Returns steps, and per event (event_id, anchor_active) to add to them, or
+    None. Spans that cover no day with an event of the center are dropped inside
+    the join; the others are merged per center and merchant.
+
+    A heavy customer would repeat its merchants in every cluster it belongs to.
+    It is the *anchor* of those clusters instead: its own number of active
+    merchants is scanned once and read at each event, and the other customers
+    add only what the anchor is not using at the time.
+    """
+    active = targets.groupBy("customer_id").agg(F.collect_set(_day(F.col("ts_us"))).alias("days"))
+    spans = stage(payment_spans(tl), "spans")
+    heavy = hot_keys(spans, "member_id", heavy_spans)
+    anchors = None
+    rest = people
+    if heavy is not None:
+        weight = spans.join(heavy, "member_id").groupBy("member_id").agg(F.count("*").alias("weight"))
+        chosen = people.join(weight, "member_id").groupBy("customer_id").agg(
+            F.max(F.struct("weight", "member_id", _pos("in_vts", "in_ord").alias("a_in"), _pos("out_vts", "out_ord").alias("a_out"))).alias("p")
+        )
+        anchors = stage(chosen.select("customer_id", F.col("p.member_id").alias("anchor"), "p.a_in", "p.a_out"), "velocity_anchors")
+        rest = people.join(
+            anchors.select("customer_id", F.col("anchor").alias("member_id")), ["customer_id", "member_id"], "left_anti"
+        )
+
+    seen_some_day = F.arrays_overlap("days", F.sequence(F.col("day"), _day(F.col("e_vts"))))
+    seen_later = F.array_min("days") <= _day(F.col("e_vts"))
     seen = (
-        people.join(active, "customer_id")
+        rest.join(active, "customer_id")
         .join(spans, "member_id")
         .where(F.when(F.col("epoch_rank") <= 0, seen_later).otherwise(seen_some_day))
         .select(
             "customer_id",
             "merchant",
             F.greatest(_pos("in_vts", "in_ord"), _pos("s_vts", "s_ord")).alias("a"),
-            F.least(
-                _pos("out_vts", "out_ord"), F.struct(F.col("e_vts").alias("vts"), F.lit(C.FOREVER).alias("ord"))
-            ).alias("b"),
+            F.least(_pos("out_vts", "out_ord"), _span_end()).alias("b"),
         )
         .where("a < b")
     )
-    w = Window.partitionBy("customer_id", "merchant").orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = seen.withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn(
-        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kind = F.lit(KIND["n_active_merchants"])
+    if anchors is None:
+        return _interval_steps(_merged(seen), kind, F.col("a"), F.col("b")), None
+
+    others = stage(_merged(seen), "velocity_others")
+    own = spans.join(heavy, "member_id").select(
+        F.col("member_id").alias("customer_id"), "merchant", _pos("s_vts", "s_ord").alias("a"), _span_end().alias("b")
     )
-    merged = islands.groupBy("customer_id", "merchant", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return _interval_steps(merged, F.lit(KIND["n_active_merchants"]), F.col("a"), F.col("b"))
+    used = stage(_merged(own), "velocity_heavy")
+    both = (
+        others.join(anchors, "customer_id")
+        .join(used.select(F.col("customer_id").alias("anchor"), "merchant", F.col("a").alias("x"), F.col("b").alias("y")), ["anchor", "merchant"])
+        .select("customer_id", F.greatest("a", "x", "a_in").alias("a"), F.least("b", "y", "a_out").alias("b"))
+    )
+    twice = _interval_steps(both, kind, F.col("a"), F.col("b")).withColumn("d", -F.col("d"))
+    steps = _interval_steps(others, kind, F.col("a"), F.col("b")).unionByName(twice)
+
+    own_steps = _interval_steps(used, F.lit(0), F.col("a"), F.col("b")).withColumn("event_id", F.lit(None).cast("string"))
+    here = _pos("vts", "ord")
+    reads = (
+        targets.join(anchors, "customer_id")
+        .where((F.col("a_in") <= here) & (here < F.col("a_out")))
+        .select(F.col("anchor").alias("customer_id"), "vts", "ord", F.lit(1).alias("kind"), F.lit(0).alias("d"), "event_id")
+    )
+    scanned = running(
+        stage(own_steps.unionByName(reads), "velocity_reads"),
+        "customer_id",
+        ["vts", "ord", "kind"],
+        sums={"anchor_active": F.col("d")},
+        **scan,
+    )
+    return steps, scanned.where("event_id is not null").select("event_id", "anchor_active")
 
 
 def amount_steps(people: DataFrame, progress: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ class LinkGraph:
         slice_us: int | None = None,
         busy_events: int = C.BUSY_CUSTOMER_EVENTS,
         epoch_gain: float = C.EPOCH_GAIN,
+        heavy_spans: int = C.HEAVY_CUSTOMER_SPANS,
     ) -> None:
+        self._heavy_spans = heavy_spans
         self._busy_events, self._epoch_gain = busy_events, epoch_gain
         self._events, self._rank, self._cap = events, rank, cap
         self._scan = {"hot_rows": hot_rows, "slice_us": slice_us}
@@ -98,15 +100,24 @@ class LinkGraph:
     @cached_property
     def counters(self) -> DataFrame:
         people = features.cluster_customers(self.members)
+        velocity, anchored = features.velocity(
+            people, self.timeline, self.targets, stage, self._heavy_spans, **self._scan
+        )
         steps = (
             features.member_steps(self.members)
             .unionByName(features.taint_steps(self.members, self.taint_times))
             .unionByName(features.fresh_steps(people, self.customers))
-            .unionByName(features.velocity_steps(people, self.timeline, self.targets))
+            .unionByName(velocity)
             .unionByName(features.amount_steps(people, self.progress))
             .unionByName(features.burn_rotate_steps(self.members, people, self.customers, self.entities, self.timeline))
         )
-        return stage(features.cluster_counters(self.targets, steps, stage, **self._scan), "counters")
+        counted = features.cluster_counters(self.targets, steps, stage, **self._scan)
+        if anchored is not None:
+            total = F.col("n_active_merchants") + F.coalesce("anchor_active", F.lit(0))
+            counted = (
+                counted.join(anchored, "event_id", "left").withColumn("n_active_merchants", total).drop("anchor_active")
+            )
+        return stage(counted, "counters")
 
     def _derive_branches(self) -> None:
         """Derive the independent tables at the same time: a cluster has room

@@ -100,7 +100,7 @@ def test_hot_keys_are_sliced_without_changing_results(spark):
 @pytest.mark.parametrize("cap", [8, 200])
 def test_reads_once_per_epoch_equal_reads_per_event(spark, cap):
     events = many(range(120, 130))
-    compare(spark, events, cap=cap, busy_events=3, epoch_gain=0.0, hot_rows=25)
+    compare(spark, events, cap=cap, busy_events=3, epoch_gain=0.0, hot_rows=25, heavy_spans=3)
 
 
 def test_one_customer_with_most_events(spark):
@@ -117,7 +117,7 @@ def test_one_customer_with_most_events(spark):
                 "outcome": "chargeback" if r.random() < 0.01 else None,
             }
         )
-    want = compare(spark, events, cap=60, busy_events=100, epoch_gain=0.01, hot_rows=80, slice_us=24 * 3600 * 1_000_000)
+    want = compare(spark, events, cap=60, busy_events=100, epoch_gain=0.01, heavy_spans=50, hot_rows=80, slice_us=24 * 3600 * 1_000_000)
     assert any(w["truncated"] for w in want.values())
 
 
@@ -147,7 +147,7 @@ def test_overlay_after_full_history(spark):
     r = random.Random(1)
     for e in events:
         e["rank"] = int(r.random() < 0.3)
-    compare(spark, events, rank="rank", hot_rows=10)
+    compare(spark, events, rank="rank", hot_rows=10, heavy_spans=4)
 
 
 def test_golden_ring(spark):

@@ -96,6 +96,7 @@ class Workspace:
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, str(sf_dir))
     if key not in _OPEN:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the given times are UTC
         _OPEN[key] = Workspace(spark, str(sf_dir))
     return _OPEN[key]
 

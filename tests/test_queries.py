@@ -4,11 +4,11 @@ from pathlib import Path
 
 import pytest
 
-import __spark_entry__ as entry
+from ringweave.plans.catalog import ORACLES, QUERIES
 from tests.compare import connect, run_pair
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+
 ROWS_ONLY = {"coordinate_ascent", "calibrate", "baseline_logistic", "baseline_gbt", "train_challenger", "shadow_opinion", "champion_challenger_agreement"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")

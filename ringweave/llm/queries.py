@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringweave.llm import bpe, mixing, simhash, token_count, token_pack
+from ringweave.llm import bpe, langid, mixing, simhash, token_count, token_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing_sources": mixing.op2,
     "op3_token_output": token_pack.op3,
     "op5_token_counts": token_count.op5,
+    "op6_language_id": langid.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op9_bpe_encoding_decoding": bpe.op9,
 }

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringweave.llm import ann, bpe, langid, mixing, simhash, token_count, token_pack, vector_dedup
+import corpus_pipeline
+from ringweave.llm import ann, bpe, html_extract, langid, maxent_lm, mixing, simhash, token_count, token_pack, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": html_extract.op1,
     "op2_mixing_sources": mixing.op2,
     "op3_token_output": token_pack.op3,
     "op4_embedding_near_dedup": vector_dedup.op4,
     "op5_token_counts": token_count.op5,
     "op6_language_id": langid.op6,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_lm_scoring": maxent_lm.op8,
     "op9_bpe_encoding_decoding": bpe.op9,
     "op10_nearest_neighbours": ann.op10,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -79,7 +79,6 @@ RECENT_WINDOW = 500
 BASELINE_WINDOW = 500
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 LATENCY_WARMUP = 50
-BATCH_LIMIT = 1000
 QUEUE_LIMIT_MIN, QUEUE_LIMIT_MAX, QUEUE_LIMIT_DEFAULT = 1, 200, 50
 FEEDBACK_DECISIONS = ("CONFIRM_FRAUD", "CLEAR", "UNKNOWN")
 # USD per million tokens (input, output); estimates for the cost log

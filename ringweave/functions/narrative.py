@@ -24,11 +24,17 @@ def _parsed(text: Column) -> Column:
     value = F.from_json(text, NARRATIVE, {"mode": "PERMISSIVE"})
     kinds = F.from_json(text, "map<string,string>")
     whole = text.rlike(r"(?s)^\{.*\}$")
-    complete = (
+    # JSON kinds, so that a number or an object never passes as text
+    kind = {n: F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{n}", "variant")) for n in ("summary", "risk_factors", "recommended_action")}
+    exact = (
+        (kind["summary"] == "STRING") & (kind["recommended_action"] == "STRING")
+        & ((kind["risk_factors"] == "ARRAY<STRING>") | (F.get_json_object(text, "$.risk_factors") == "[]"))
+    )
+    complete = exact & (
         value["summary"].isNotNull() & value["risk_factors"].isNotNull() & value["recommended_action"].isNotNull()
         & ~F.exists(value["risk_factors"], lambda f: f.isNull())
     )
-    return F.when(whole & kinds.isNotNull() & complete, value)
+    return F.when(whole & kinds.isNotNull() & F.coalesce(complete, F.lit(False)), value)
 
 
 def validate_narratives(responses: DataFrame, text: str = "response") -> DataFrame:

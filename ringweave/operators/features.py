@@ -98,7 +98,7 @@ def taint_steps(members: DataFrame, taint: DataFrame) -> DataFrame:
 
 
 def cluster_customers(members: DataFrame) -> DataFrame:
-    return members.where(F.col("ntype") == "customer").withColumn("member_id", F.substring(F.col("node"), 10, 1_000_000))
+    return members.where(F.col("ntype") == "customer").withColumn("member_id", F.expr("substring(node, 10)"))
 
 
 def fresh_steps(people: DataFrame, customers: DataFrame) -> DataFrame:

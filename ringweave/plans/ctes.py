@@ -22,19 +22,19 @@ def _floor_to(v: str, n: int) -> str:
 CTES: dict[str, str] = {}
 
 CTES["okeys"] = f"""
-  select o_orderkey k, o_custkey c, s, o_totalprice price, {_floor_to('o_custkey', 10)} blk, o_custkey % 10 pos,
+  select o_orderkey k, o_custkey c, coalesce(s, 0) s, o_totalprice price, {_floor_to('o_custkey', 10)} blk, o_custkey % 10 pos,
          (o_custkey % 10 < 6 and {_floor_to('o_custkey', 10)} % 10 = 0) ring,
          cast((epoch(o_orderdate) - 788918400) / 86400 as bigint) d
-  from orders join (select l_orderkey, min(l_suppkey) s from lineitem group by 1) on l_orderkey = o_orderkey
+  from orders left join (select l_orderkey, min(l_suppkey) s from lineitem group by 1) on l_orderkey = o_orderkey
 """
 CTES["pay"] = f"""
   select k,
-    'evt_' || lpad(k::varchar, 9, '0') event_id, 'mcht_' || lpad(s::varchar, 5, '0') merchant_id,
-    'cust_' || lpad(c::varchar, 7, '0') customer_id, cast(floor(price) as bigint) amount_paise, 'INR' currency,
+    'evt_' || lpad(k::varchar, greatest(9, length(k::varchar))::int, '0') event_id, 'mcht_' || lpad(s::varchar, greatest(5, length(s::varchar))::int, '0') merchant_id,
+    'cust_' || lpad(c::varchar, greatest(7, length(c::varchar))::int, '0') customer_id, cast(floor(price) as bigint) amount_paise, 'INR' currency,
     case when k % 20 < 17 then case when ring then ' Ring' || blk || '.' || (k % 4) || '@YBL' else 'user' || c || '@okaxis ' end end upi_vpa,
     case when k % 41 = 0 then '12345'
          when ring then case k % 3 when 0 then '0' when 1 then '+91 ' else '' end || (9100000000 + blk * 10 + pos % 2)
-         else '+91-' || (9800000000 + c) end phone,
+         else '+91-' || (6000000000 + c) end phone,
     case when ring then 'DEV_R' || blk || '_' || (k % 2)
          when c % 7 = 0 and k % 4 = 0 then 'dev_h' || {_floor_to('c', 14)}
          when k % 53 = 0 then null else 'dev_' || c end device_id,
@@ -47,8 +47,8 @@ CTES["pay"] = f"""
   from okeys
 """
 CTES["lab"] = """
-  select 'evt_' || lpad(k::varchar, 9, '0') event_id, ring is_fraud,
-    case when ring then 'ring_' || lpad(blk::varchar, 6, '0') end ring_id,
+  select 'evt_' || lpad(k::varchar, greatest(9, length(k::varchar))::int, '0') event_id, ring is_fraud,
+    case when ring then 'ring_' || lpad(blk::varchar, greatest(6, length(blk::varchar))::int, '0') end ring_id,
     case when ring then case when blk % 20 = 0 then 'sophisticated' else 'standard' end end ring_strategy
   from okeys
 """
@@ -276,6 +276,18 @@ CTES["splitlab"] = """
 """
 
 
+# all nodes with their attributes
+NODE_SQL = """
+  select n.node, n.ntype, n.first_seen, n.last_seen, n.event_count, n.amount_sum, n.confirmed_fraud,
+    coalesce(s.merchant_count, 0) merchant_count, coalesce(s.linked_identity_count, 0) linked_identity_count, coalesce(t.fraud_taint, 0.0) fraud_taint
+  from (
+    select 'customer:' || customer_id node, 'customer' ntype, min(ts) first_seen, max(ts) last_seen, count(*) event_count,
+      cast(sum(amount_paise) as bigint) amount_sum, bool_or(fraud) confirmed_fraud from ev group by customer_id
+    union all select node, ntype, min(first_seen), max(last_seen), 0, 0, false from lnk group by all) n
+  left join snaplast s on s.node = n.node left join tlevel t on t.node = n.node
+"""
+
+
 def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     """Prepend every CTE that ``body`` needs, in definition order."""
     pool = {**CTES, **(extra or {})}

@@ -28,18 +28,7 @@ def _(ws):
     return ws.graph.links.select("customer_id", "node", sec("first_seen_us"), sec("last_seen_us"), "event_count")
 
 
-NODE_SQL = """
-  select n.node, n.ntype, n.first_seen, n.last_seen, n.event_count, n.amount_sum, n.confirmed_fraud,
-    coalesce(s.merchant_count, 0) merchant_count, coalesce(s.linked_identity_count, 0) linked_identity_count, coalesce(t.fraud_taint, 0.0) fraud_taint
-  from (
-    select 'customer:' || customer_id node, 'customer' ntype, min(ts) first_seen, max(ts) last_seen, count(*) event_count,
-      cast(sum(amount_paise) as bigint) amount_sum, bool_or(fraud) confirmed_fraud from ev group by customer_id
-    union all select node, ntype, min(first_seen), max(last_seen), 0, 0, false from lnk group by all) n
-  left join snaplast s on s.node = n.node left join tlevel t on t.node = n.node
-"""
-
-
-@query("build_nodes", NODE_SQL)
+@query("build_nodes", X.NODE_SQL)
 def _(ws):
     return ws.nodes.select(
         "node", "ntype", sec("first_seen_us"), sec("last_seen_us"), "event_count", "amount_sum", "confirmed_fraud",
@@ -86,7 +75,7 @@ def _(ws):
 @query(
     "replay_graph",
     """select ntype, count(*) nodes, cast(sum(merchant_count) as bigint) merchant_counts, cast(sum(linked_identity_count) as bigint) identity_counts,
-         round_even(sum(fraud_taint), 4) taint from (""" + NODE_SQL + ") group by 1",
+         round_even(sum(fraud_taint), 4) taint from (""" + X.NODE_SQL + ") group by 1",
 )
 def _(ws):
     shuffled = G.LinkGraph(ws.payments.orderBy(F.xxhash64("event_id")))
@@ -197,7 +186,7 @@ def _(ws):
          select distinct customer_id c, 'device:dev_' || cast(substr(customer_id, 6) as bigint) node from ev) w left join lnk l on l.c = w.c and l.node = w.node""",
 )
 def _(ws):
-    own = F.concat(F.lit("device:dev_"), F.substring("customer_id", 6, 7).cast("bigint").cast("string"))
+    own = F.concat(F.lit("device:dev_"), F.expr("substring(customer_id, 6)").cast("bigint").cast("string"))
     pairs = ws.payments.select("customer_id", own.alias("node")).distinct()
     return LK.edge_lookup(ws.graph.links, pairs).select("customer_id", "node", sec("first_seen_us"), sec("last_seen_us"), "event_count")
 

@@ -21,7 +21,7 @@ from ringweave.sources import store
 
 def K():
     """Order number inside an event id."""
-    return F.substring("event_id", 5, 9).cast("bigint")
+    return F.expr("substring(event_id, 5)").cast("bigint")
 
 
 def epoch_seconds():
@@ -52,10 +52,10 @@ SPOILED = """
 
 
 def copied_feed(ws: Workspace) -> DataFrame:
-    """Payments plus later copies of some, with an arrival time."""
+    """Payments plus copies of some, later or at the same time, with an arrival time."""
     base = ws.payments.withColumn("arrival", epoch_seconds())
     copies = base.where(K() % 10 == 0).withColumn("arrival", F.col("arrival") + 60).withColumn("amount_paise", F.col("amount_paise") + 1)
-    return base.unionByName(copies)
+    return base.unionByName(copies).unionByName(base.where(K() % 10 == 3))
 
 
 def stored_events(ws: Workspace) -> DataFrame:
@@ -65,21 +65,38 @@ def stored_events(ws: Workspace) -> DataFrame:
 FEED = """
   select *, ts arrival from pay
   union all select * replace (amount_paise + 1 as amount_paise), ts + 60 arrival from pay where k % 10 = 0
+  union all select *, ts arrival from pay where k % 10 = 3
 """
 FEEDX = {"feed": FEED}
 
 
-@query("read_events_jsonl", "select event_id, customer_id, amount_paise, upi_vpa, phone, ts ts_epoch, prior_outcome from pay")
+@query(
+    "read_events_jsonl",
+    """select case when k % 50 > 1 then event_id end event_id, case when k % 50 > 0 then customer_id end customer_id, case when k % 50 > 0 then amount_paise end amount_paise,
+         case when k % 50 > 0 then upi_vpa end upi_vpa, case when k % 50 > 0 then phone end phone, case when k % 50 > 0 then ts end ts_epoch,
+         case when k % 50 > 0 then prior_outcome end prior_outcome,
+         case k % 50 when 0 then 'malformed' when 1 then 'missing_event_id' when 2 then 'unknown_field:is_fraud' else '' end errors from pay""",
+)
 def _(ws):
-    path = ws.folder("events-jsonl")
-    ws.payments.write.mode("overwrite").json(path)
+    """Every fiftieth line each is cut off, lacks its id or has a field too many; blank lines lie between."""
+    path, fields = ws.folder("events-jsonl"), ws.payments.columns
+    whole, no_id = F.to_json(F.struct(*fields)), F.to_json(F.struct(*[c for c in fields if c != "event_id"]))
+    more = F.to_json(F.struct(*fields, F.lit(True).alias("is_fraud")))
+    line = F.when(K() % 50 == 0, F.expr("left(whole, length(whole) - 5)")).when(K() % 50 == 1, no_id).when(K() % 50 == 2, more).otherwise(F.col("whole"))
+    lines = ws.payments.withColumn("whole", whole).select(F.when(K() % 9 == 0, F.concat(F.lit("\n  \n"), line)).otherwise(line).alias("value"))
+    lines.write.mode("overwrite").text(path)
     events = store.read_events_jsonl(ws.spark, path)
-    return events.select("event_id", "customer_id", "amount_paise", "upi_vpa", "phone", epoch_seconds().alias("ts_epoch"), "prior_outcome")
+    return events.select(
+        "event_id", "customer_id", "amount_paise", "upi_vpa", "phone", epoch_seconds().alias("ts_epoch"), "prior_outcome",
+        F.concat_ws(",", "errors").alias("errors"),
+    )
 
 
 def _digest_sql(columns: dict[str, str]) -> str:
-    parts = ", ".join(f"coalesce(cast({columns[c]} as varchar), '~')" for c in sorted(columns))
-    return f"cast('0x' || substr(sha256(concat_ws('|', {parts})), 1, 15) as bigint)"
+    """Digest of all rows: the sums of four 64-bit parts."""
+    parts = ", ".join(f"'{c}', {columns[c]}" for c in sorted(columns))
+    row = f"sha256(json_object({parts})::varchar)"
+    return " || '-' || ".join(f"coalesce(cast(sum(cast('0x' || substr({row}, {1 + 16 * i}, 16) as ubigint)) as varchar), '0')" for i in range(4))
 
 
 EVENT_COLUMNS = {c: c for c in ("event_id", "merchant_id", "customer_id", "amount_paise", "upi_vpa", "phone", "device_id", "email", "ip", "payment_method", "prior_outcome")} | {
@@ -90,8 +107,8 @@ LABEL_COLUMNS = {c: c for c in ("event_id", "is_fraud", "ring_id", "ring_strateg
 
 @query(
     "write_event_label_artifacts",
-    f"""select 'events' artifact, count(*) n_rows, cast(sum({_digest_sql(EVENT_COLUMNS)}) as varchar) digest from pay
-        union all select 'labels', count(*), cast(sum({_digest_sql(LABEL_COLUMNS)}) as varchar) from lab""",
+    f"""select 'events' artifact, count(*) n_rows, {_digest_sql(EVENT_COLUMNS)} digest from pay
+        union all select 'labels', count(*), {_digest_sql(LABEL_COLUMNS)} from lab""",
 )
 def _(ws):
     return store.write_event_label_artifacts(store.event_row(ws.payments), ws.labels, ws.folder("artifacts"))
@@ -122,15 +139,16 @@ def _(ws):
 @query(
     "ingest_batch_status",
     """select status, count(*) items, count(prior) with_prior_verdict, cast(coalesce(sum(prior), 0) as bigint) prior_score_sum from (
-         select f.event_id, case when f.k % 5 <> 0 and f.arrival = g.first_arrival then 'accepted' else 'duplicate' end status,
-           case when not (f.k % 5 <> 0 and f.arrival = g.first_arrival) then s.score end prior
-         from feed f join (select event_id, min(arrival) first_arrival from feed group by 1) g using (event_id)
+         select f.event_id, f.status, case when f.status = 'duplicate' then s.score end prior
+         from (select *, case when k % 17 = 0 then 'spooled' when k % 5 <> 0 and row_number() over (partition by event_id order by arrival) = 1
+                 then 'accepted' else 'duplicate' end status from feed) f
          left join scored s on s.event_id = f.event_id and f.k % 5 = 0) group by 1""",
     FEEDX,
 )
 def _(ws):
     verdicts = ws.scored.join(stored_events(ws).select("event_id"), "event_id", "left_semi")
-    items = store.ingest_batch_status(copied_feed(ws), stored_events(ws), verdicts)
+    feed = copied_feed(ws).withColumn("spooled", K() % 17 == 0)
+    items = store.ingest_batch_status(feed, stored_events(ws), verdicts, spooled="spooled")
     return items.groupBy("status").agg(
         F.count(F.lit(1)).alias("items"),
         F.count("prior_verdict").alias("with_prior_verdict"),
@@ -212,16 +230,26 @@ def _(ws):
     )
 
 
+NODE_COLUMNS = {c: c for c in ("node", "ntype", "event_count", "amount_sum", "confirmed_fraud", "merchant_count", "linked_identity_count", "fraud_us")} | {
+    "first_seen_us": "first_seen * 1000000",
+    "last_seen_us": "last_seen * 1000000",
+    "amount_count": "event_count",
+    "taint_percent": "cast(round(fraud_taint * 100) as bigint)",
+}
+
+
 @query(
     "graph_fingerprint",
-    f"""select 'links' artifact, count(*) n_rows, cast(sum({_digest_sql({'customer_id': 'c', 'node': 'node', 'first_seen': 'first_seen', 'last_seen': 'last_seen', 'event_count': 'event_count'})}) as varchar) digest from lnk
-        union all select 'nodes', count(*), cast(sum({_digest_sql({'node': 'node', 'first_seen': 'f', 'last_seen': 'l'})}) as varchar)
-        from (select node, min(first_seen) f, max(last_seen) l from lnk group by 1)""",
+    f"""select 'links' artifact, count(*) n_rows, {_digest_sql({'customer_id': 'c', 'node': 'node', 'ntype': 'ntype', 'first_seen_us': 'first_seen * 1000000', 'last_seen_us': 'last_seen * 1000000', 'event_count': 'event_count'})} digest from lnk
+        union all select 'nodes', count(*), {_digest_sql(NODE_COLUMNS)} from (
+          select n.*, coalesce(f.fraud_us, 0) fraud_us from ({X.NODE_SQL}) n
+          left join (select 'customer:' || customer_id node, min(ts) * 1000000 fraud_us from ev where fraud group by 1) f using (node))""",
 )
 def _(ws):
-    seconds = [F.floor(F.col(f"{c}_us") / C.SECOND).alias(c) for c in ("first_seen", "last_seen")]
-    links = ws.graph.links.select("customer_id", "node", "event_count", *seconds)
-    nodes = ws.graph.entities.select("node", *seconds)
+    """All nodes, customers included, and links with all their attributes."""
+    links = ws.graph.links.select("customer_id", "node", "ntype", "event_count", "first_seen_us", "last_seen_us")
+    nodes = ws.nodes.withColumn("taint_percent", F.round(F.col("fraud_taint") * 100).cast("long"))
+    nodes = nodes.withColumn("amount_count", F.col("event_count")).select(*NODE_COLUMNS)
     return store.fingerprint(links, "links").unionByName(store.fingerprint(nodes, "nodes"))
 
 
@@ -299,14 +327,14 @@ def _(ws):
 
 @query(
     "typed_node_id",
-    """select distinct 'device:' || device_entity node, 'device' kind, device_entity val from norm where device_entity is not null
-       union all select distinct 'merchant:' || merchant_id, 'merchant', merchant_id from norm""",
+    """select distinct node, ntype kind, substr(node, length(ntype) + 2) val from touch
+       union all select distinct 'customer:' || customer_id, 'customer', customer_id from ev""",
 )
 def _(ws):
-    tl = ws.graph.timeline
-    nodes = tl.where("device is not null").select(F.col("device").alias("node")).distinct().unionByName(
-        tl.select(F.col("merchant").alias("node")).distinct()
-    )
+    """All six node types."""
+    touched = L.explode_entities(ws.graph.timeline).select("node")
+    people = ws.graph.timeline.select(F.concat(F.lit("customer:"), "customer_id").alias("node"))
+    nodes = touched.unionByName(people).distinct()
     return nodes.select("node", NZ.node_type(F.col("node")).alias("kind"), NZ.node_value(F.col("node")).alias("val"))
 
 
@@ -435,9 +463,12 @@ def _(ws):
     )
 
 
-@query("strip_code_fences", r"select conv_id, turn, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) cleaned from conversations where role = 'assistant'")
+@query("strip_code_fences", r"select conv_id, turn, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) cleaned from conversations")
 def _(ws):
-    fenced = ws.table("conversations").where("role = 'assistant'").withColumn("response", F.concat(F.lit("```json\n"), "text", F.lit("\n```  ")))
+    """Every turn, some fenced with or without a language, some plain."""
+    shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    fence = F.when(shape == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```  "))).when(shape == 1, F.concat(F.lit("  ```\n"), "text", F.lit("```")))
+    fenced = ws.table("conversations").withColumn("response", F.when(shape == 2, F.col("text")).otherwise(fence))
     return fenced.select("conv_id", "turn", N.strip_code_fences(F.col("response")).alias("cleaned"))
 
 

@@ -1,7 +1,7 @@
 """Payment events derived from the given order tables.
 
-One payment per order that has a line item; a deterministic rule gives every
-order its identities, so that rings, shared households, bad phones and missing
+One payment per order, at the merchant of its first supplier (merchant 0 without
+line items); a deterministic rule gives every order its identities, so that rings, shared households, bad phones and missing
 values all occur. ``payments`` carries no label; ``payment_labels`` only labels.
 """
 
@@ -20,6 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(prefix: str, value: Column, width: int) -> Column:
+    """Prefix and number, zero-filled to ``width``; longer numbers stay whole."""
+    digits = value.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0"))
+
+
 def _floor_to(value: Column, n: int) -> Column:
     return ((value - value % n) / n).cast("bigint")
 
@@ -29,10 +35,10 @@ def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     block = _floor_to(c, 10)
-    return orders.join(suppliers, orders.o_orderkey == suppliers.l_orderkey).select(
+    return orders.join(suppliers, orders.o_orderkey == suppliers.l_orderkey, "left").select(
         k.alias("k"),
         c.alias("c"),
-        "s",
+        F.coalesce("s", F.lit(0)).alias("s"),
         F.col("o_totalprice").alias("price"),
         block.alias("blk"),
         (c % 10).alias("pos"),
@@ -47,9 +53,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(*parts) -> Column:
         return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
-    def padded(prefix: str, value: Column, width: int) -> Column:
-        return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
-
+    # ordinary phones have room for 3.1 G customers below the ring phones
     ring_phone = F.lit(9_100_000_000) + blk * 10 + pos % 2
     prefix = F.when(k % 3 == 0, "0").when(k % 3 == 1, "+91 ").otherwise("")
     epoch = F.lit(EPOCH_START) + F.col("d") * DAY_STRETCH + (k * 37) % DAY_STRETCH
@@ -64,7 +68,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.when(k % 41 == 0, "12345")
         .when(ring, F.concat(prefix, ring_phone.cast("string")))
-        .otherwise(text("+91-", F.lit(9_800_000_000) + c))
+        .otherwise(text("+91-", F.lit(6_000_000_000) + c))
         .alias("phone"),
         F.when(ring, text("DEV_R", blk, "_", k % 2))
         .when((c % 7 == 0) & (k % 4 == 0), text("dev_h", _floor_to(c, 14)))
@@ -89,8 +93,8 @@ def payment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth, kept apart from the serving rows (no split yet)."""
     ring, blk = F.col("ring"), F.col("blk")
     return _order_keys(spark, sf_dir).select(
-        F.concat(F.lit("evt_"), F.lpad(F.col("k").cast("string"), 9, "0")).alias("event_id"),
+        padded("evt_", F.col("k"), 9).alias("event_id"),
         ring.alias("is_fraud"),
-        F.when(ring, F.concat(F.lit("ring_"), F.lpad(blk.cast("string"), 6, "0"))).alias("ring_id"),
+        F.when(ring, padded("ring_", blk, 6)).alias("ring_id"),
         F.when(ring, F.when(blk % 20 == 0, "sophisticated").otherwise("standard")).alias("ring_strategy"),
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ringweave import config as C
@@ -14,24 +15,42 @@ from ringweave import schema as SC
 
 # --- reading and writing ---------------------------------------------------
 def read_events_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Typed JSON-lines events; blank lines are skipped."""
-    return spark.read.schema(SC.PAYMENTS).json(path).where(F.col("event_id").isNotNull())
+    """Typed JSON-lines events, one row per line that is not blank.
+
+    ``errors`` names what is wrong with a line (``malformed``, ``missing_event_id``,
+    ``unknown_field:<name>``) and ``line`` keeps it for the quarantine; no line is lost.
+    """
+    schema = T.StructType([*SC.PAYMENTS.fields, T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.select(F.col("value").alias("line"), event.alias("event")).select("line", "event.*")
+    broken = F.col("_corrupt").isNotNull()
+    keys = F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>"))
+    unknown = F.array_except(keys, F.array(*[F.lit(n) for n in SC.PAYMENTS.fieldNames()]))
+    errors = F.when(broken, F.array(F.lit("malformed"))).otherwise(
+        F.concat(
+            F.when(F.col("event_id").isNull(), F.array(F.lit("missing_event_id"))).otherwise(F.array().cast("array<string>")),
+            F.transform(F.array_sort(unknown), lambda n: F.concat(F.lit("unknown_field:"), n)),
+        )
+    )
+    fields = [F.when(~broken, F.col(n)).alias(n) for n in SC.PAYMENTS.fieldNames()]
+    return parsed.select(*fields, "line", errors.alias("errors"))
 
 
 def row_digest(df: DataFrame) -> Column:
-    """60 bits of each row's sha256 over its columns in name order."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)]
-    hexed = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15)
-    return F.conv(hexed, 16, 10).cast("decimal(20,0)")
+    """sha256 of each row as a JSON object, columns in name order, nulls written out."""
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Order-free digest of a table: row count and sum of row digests."""
+    """Order-free digest of a table: row count and the sums of the rows' digests, in four parts of 64 bits."""
     digested = df.select(row_digest(df).alias("h"))
+    parts = [F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = [F.coalesce(F.sum(p).cast("string"), F.lit("0")) for p in parts]
     return digested.agg(
         F.lit(name).alias("artifact"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum("h").cast("string"), F.lit("0")).alias("digest"),
+        F.concat_ws("-", *sums).alias("digest"),
     )
 
 
@@ -83,14 +102,14 @@ def not_future_dated(now: Column) -> dict[str, Column]:
     return {"future_dated": F.col("ts").isNull() | (F.col("ts") <= now)}
 
 
-def batch_size_violations(feed: DataFrame, batch: str, limit: int = C.BATCH_LIMIT) -> DataFrame:
-    return feed.groupBy(batch).count().where(F.col("count") > limit)
+def _arrival_order(feed: DataFrame, arrival: str):
+    """Total order of an id's copies: arrival, then content; equal copies are interchangeable."""
+    return Window.partitionBy("event_id").orderBy(arrival, row_digest(feed))
 
 
 def first_arrivals(feed: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """First row per event id; copies are dropped before the shuffle."""
-    w = Window.partitionBy("event_id").orderBy(arrival)
-    return feed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """First row per event id, the same on every run; copies are dropped before the shuffle."""
+    return feed.withColumn("_n", F.row_number().over(_arrival_order(feed, arrival))).where("_n = 1").drop("_n")
 
 
 def dedupe_ingest(feed: DataFrame, stored: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -99,17 +118,23 @@ def dedupe_ingest(feed: DataFrame, stored: DataFrame, arrival: str = "arrival")
     return first_arrivals(fresh, arrival)
 
 
-def ingest_batch_status(feed: DataFrame, stored: DataFrame, verdicts: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Per item: accepted or duplicate; duplicates carry their prior verdict."""
-    known = stored.select("event_id", F.lit(True).alias("_known"))
-    first = feed.groupBy("event_id").agg(F.min(arrival).alias("_first"))
+def ingest_batch_status(feed: DataFrame, stored: DataFrame, verdicts: DataFrame, arrival: str = "arrival", spooled: str | None = None) -> DataFrame:
+    """Per item: accepted (one copy of a new id), duplicate, or spooled.
+
+    Rows whose boolean column ``spooled`` is true wait for a replay: they are neither
+    accepted nor compared. Duplicates carry their prior verdict.
+    """
+    known = stored.select("event_id", F.lit(True).alias("_known")).dropDuplicates(["event_id"])
+    waits = F.coalesce(F.col(spooled), F.lit(False)) if spooled else F.lit(False)
+    place = F.row_number().over(Window.partitionBy("event_id", "_waits").orderBy(arrival, row_digest(feed)))
     return (
-        feed.join(known, "event_id", "left")
-        .join(first, "event_id")
+        feed.withColumn("_waits", waits)
+        .withColumn("_place", place)
+        .join(known, "event_id", "left")
         .join(verdicts.select("event_id", F.col("verdict").alias("prior_verdict"), F.col("score").alias("prior_score")), "event_id", "left")
         .withColumn(
             "status",
-            F.when(F.col("_known").isNull() & (F.col(arrival) == F.col("_first")), "accepted").otherwise("duplicate"),
+            F.when(F.col("_waits"), "spooled").when(F.col("_known").isNull() & (F.col("_place") == 1), "accepted").otherwise("duplicate"),
         )
         .select(
             "event_id",
@@ -207,9 +232,12 @@ def admin_audit_rows(requests: DataFrame, action: str, entity: Column, scope: st
 
 def set_explanation(log: DataFrame, narratives: DataFrame) -> DataFrame:
     """Log with narratives (event_id, narrative, status) attached; a view over
-    two append-only tables, the log itself is never rewritten."""
+    two append-only tables, the log itself is never rewritten. The latest narrative
+    of an event (by ``created_at`` where there is one, then by content) counts."""
+    made = F.col("created_at") if "created_at" in narratives.columns else F.lit(0)
+    latest = narratives.groupBy("event_id").agg(F.max(F.struct(made.alias("at"), "narrative", "status")).alias("last"))
     return (
-        log.join(narratives.select("event_id", "narrative", "status"), "event_id", "left")
+        log.join(latest.select("event_id", "last.narrative", "last.status"), "event_id", "left")
         .withColumn("explanation", F.coalesce("narrative", "explanation"))
         .withColumn("explanation_status", F.coalesce("status", "explanation_status"))
         .drop("narrative", "status")
@@ -230,7 +258,7 @@ def load_model_config(spark: SparkSession, path: str | None = None, required: bo
     }
     if path is None or not path_exists(spark, path):
         if required:
-            raise FileNotFoundError("locked model config missing: calibrate first")
+            raise FileNotFoundError(f"no locked weights and thresholds at {path}")
         return defaults
     row = spark.read.schema(SC.MODEL_CONFIG).json(path).first()
     return {

@@ -30,6 +30,17 @@ def validate_weights(weights: Mapping[str, int]) -> list[str]:
     return problems
 
 
+def weight_problems(weights: Column) -> Column:
+    """The same contract as a column over a map of name to weight: sorted names of what is wrong."""
+    names, values = F.array_sort(F.map_keys(weights)), F.map_values(weights)
+    found = F.array(
+        F.when(names != F.array(*[F.lit(n) for n in sorted(C.FEATURE_NAMES)]), F.lit("keys")),
+        F.when(F.exists(values, lambda v: v < 0), F.lit("negative")),
+        F.when(F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v) != 100, F.lit("sum")),
+    )
+    return F.array_compact(found)
+
+
 def checked_weights(weights: Mapping[str, int] | None) -> Mapping[str, int]:
     active = C.DEFAULT_WEIGHTS if weights is None else weights
     problems = validate_weights(active)

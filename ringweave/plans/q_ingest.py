@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ringweave import config as C
 from ringweave.functions import narrative as N
 from ringweave.functions import normalize as NZ
-from ringweave.functions.scoring import validate_weights
+from ringweave.functions.scoring import weight_problems
 from ringweave.operators import graph as G
 from ringweave.operators import links as L
 from ringweave.operators import ops_metrics as O
@@ -386,15 +386,16 @@ def _(ws):
 
 @query(
     "validate_weights",
-    """select customer_id, case when k % 3 = 0 then '' when k % 3 = 1 then 'sum' else 'negative,sum' end problems, count(*) events
-       from pay group by all""",
+    f"""select event_id, concat_ws(',', case when k % 7 = 0 then 'keys' end, case when k % 5 - 2 + {C.DEFAULT_WEIGHTS['taint_propagation']} - 20 * (k % 2) < 0 then 'negative' end,
+         case when 100 + k % 5 - 2 - 20 * (k % 2) <> 100 then 'sum' end) problems from pay""",
 )
 def _(ws):
-    sets = [dict(C.DEFAULT_WEIGHTS), {**C.DEFAULT_WEIGHTS, "burn_rotate": 11}, {**C.DEFAULT_WEIGHTS, "burn_rotate": -1}]
-    table = ws.spark.createDataFrame([(i, ",".join(validate_weights(w))) for i, w in enumerate(sets)], "variant long, problems string")
-    return ws.payments.withColumn("variant", K() % 3).join(F.broadcast(table), "variant").groupBy("customer_id", "problems").agg(
-        F.count(F.lit(1)).alias("events")
-    )
+    """A set of weights for every payment: one weight moved, some with a foreign name."""
+    moved = (F.lit(C.DEFAULT_WEIGHTS["taint_propagation"]) + K() % 5 - 2 - 20 * (K() % 2)).cast("long")
+    name = F.when(K() % 7 == 0, "other").otherwise("taint_propagation")
+    rest = [x for n, w in C.DEFAULT_WEIGHTS.items() if n != "taint_propagation" for x in (F.lit(n), F.lit(w).cast("long"))]
+    weights = F.create_map(*rest, name, moved)
+    return ws.payments.select("event_id", F.concat_ws(",", weight_problems(weights)).alias("problems"))
 
 
 @query("reason_codes", "select event_id, reason_codes from scored")

@@ -86,7 +86,7 @@ def plain_cv(rows, weights):
         tp = sum(f and s >= t for f, _, s in part)
         fp = sum((not f) and s >= t for f, _, s in part)
         fn = sum(f and s < t for f, _, s in part)
-        return CA._quality(tp, fp, fn)[2]
+        return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
 
     out = []
     for fold in sorted({k for _, k, _ in scored}):
@@ -100,26 +100,29 @@ def plain_cv(rows, weights):
     return sum(out) / len(out)
 
 
-def test_coordinate_ascent_equals_trying_one_by_one(spark):
+def test_coordinate_ascent_ends_where_no_move_gains(spark, monkeypatch):
     rows, frame = model_rows(spark)
-    weights, best = dict(C.DEFAULT_WEIGHTS), plain_cv(rows, C.DEFAULT_WEIGHTS)
-    assert CA.cv_f1(frame) == pytest.approx(best)
-    for _ in range(C.ASCENT_PASSES):
-        improved = False
-        for name in C.FEATURE_NAMES:
-            for step in C.WEIGHT_STEPS:
-                trial = {**weights, name: max(0, weights[name] + step)}
-                if trial[name] > C.WEIGHT_CAPS.get(name, 100):
-                    continue
-                trial = CA.renormalize_weights(trial)
-                value = plain_cv(rows, trial)
-                if value > best + 1e-9:
-                    weights, best, improved = trial, value, True
-        if not improved:
-            break
+    monkeypatch.setattr(C, "ASCENT_PASSES", 50)
+    start = plain_cv(rows, C.DEFAULT_WEIGHTS)
+    assert CA.cv_f1(frame) == pytest.approx(start)
     fitted, score = CA.coordinate_ascent(frame, stage)
-    assert fitted == weights and score == pytest.approx(best)
-    assert sum(fitted.values()) == 100
+    assert sum(fitted.values()) == 100 and all(fitted[n] <= cap for n, cap in C.WEIGHT_CAPS.items())
+    assert score == pytest.approx(plain_cv(rows, fitted)) and score > start
+    around, allowed = CA.move_table(CA._vector(fitted))
+    values = [plain_cv(rows, dict(zip(C.FEATURE_NAMES, w))) for w, ok in zip(around.tolist(), allowed) if ok]
+    assert values and max(values) <= score + 1e-9
+
+
+def test_first_gaining_move_is_taken(spark, monkeypatch):
+    """One pass equals a walk along the list that takes every gain on its way."""
+    rows, frame = model_rows(spark, seed=9)
+    monkeypatch.setattr(C, "ASCENT_PASSES", 1)
+    path = [CA._vector(C.DEFAULT_WEIGHTS)]
+    for m in range(len(CA.MOVES)):
+        table, allowed = CA.move_table(path[-1])
+        values = [plain_cv(rows, dict(zip(C.FEATURE_NAMES, w.tolist()))) for w in (path[-1], table[m])]
+        path.append(table[m] if allowed[m] and values[1] > values[0] + 1e-9 else path[-1])
+    assert list(CA.coordinate_ascent(frame, stage)[0].values()) == path[-1].tolist()
 
 
 def test_renormalize():
@@ -149,9 +152,10 @@ def test_models_learn_a_separable_set(spark, tmp_path, monkeypatch):
     logistic, _ = M.fit_logistic(frame)
     assert M.evaluate_model(logistic, frame, "lr").first().f1 == 1.0
     folder = str(tmp_path / "challenger")
-    assert M.load_challenger(spark, folder) is None
+    assert M.load_challenger(spark, folder) is None and M.challenger_status(spark, folder) == "missing"
     M.train_challenger(frame, folder)
+    assert M.challenger_status(spark, folder) == "ready"
     opinions = M.shadow_opinion(M.load_challenger(spark, folder), frame)
     assert opinions.join(frame, "event_id").where("flag = is_fraud").count() == 80
     monkeypatch.setattr(C, "CHALLENGER_VERSION", "newer")
-    assert M.load_challenger(spark, folder) is None
+    assert M.load_challenger(spark, folder) is None and M.challenger_status(spark, folder) == "stale"

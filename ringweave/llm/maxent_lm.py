@@ -18,7 +18,6 @@ joined to the table of counts, so every count is exact.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +33,9 @@ from ringweave.session import stage
 FREQUENT = 150_000
 BUCKETS, CONTEXTS, CLASSES = 2048, 128, 32  # class 0 is the end
 ROWS = 1 << 15  # weights of hashed features
-BATCH = 1 << 15
-RATE = 0.3
+BATCH = 1 << 12
+RATE = 0.6
+GROUP_CHARS = 1 << 22
 CHUNKS = 64  # the weights travel in so many pieces
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -58,21 +58,25 @@ def count_rows(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            words: Counter[bytes] = Counter()
+            words: dict[bytes, int] = {}
             cells = np.zeros(BUCKETS * CONTEXTS, np.int64)
-            for texts in groups(batch.column(0).to_pylist()):
+            for texts in groups(batch.column(0).to_pylist(), GROUP_CHARS):
                 split = [tokens_of(t) for t in texts]
                 flat = [w for s in split for w in s]
                 if not flat:
                     continue
-                words.update(flat)
-                own = {w: (bucket_of(w), zlib.crc32(w) % CONTEXTS) for w in set(flat)}
-                pair = np.array([own[w] for w in flat])
+                own = list(set(flat))
+                index = dict(zip(own, range(len(own)), strict=True))
+                at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+                bucket = np.array([bucket_of(w) for w in own])[at]
+                context = np.array([zlib.crc32(w) % CONTEXTS for w in own])[at]
                 inside = np.ones(len(flat), bool)
                 ends = np.cumsum([len(s) for s in split])
                 inside[ends[ends < len(flat)]] = False
                 inside[0] = False
-                cells += np.bincount(pair[inside, 0] * CONTEXTS + pair[np.flatnonzero(inside) - 1, 1], minlength=len(cells))
+                cells += np.bincount(bucket[inside] * CONTEXTS + context[np.flatnonzero(inside) - 1], minlength=len(cells))
+                for w, n in zip(own, np.bincount(at).tolist(), strict=True):
+                    words[w] = words.get(w, 0) + n
             some = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -171,7 +175,7 @@ class Learner:
     def __init__(self, language: Language) -> None:
         self.m = language
         language.zero()
-        self.seen = np.full((ROWS, CLASSES), 1e-3, np.float32)
+        self.seen = np.full(ROWS, 1e-3, np.float32)  # squared gradients of a row of weights
         self.seen_bias = np.full(CLASSES, 1e-3, np.float32)
         self.tokens = 0
 
@@ -187,8 +191,10 @@ class Learner:
                 order = np.argsort(r, kind="stable")
                 first = np.flatnonzero(np.diff(r[order], prepend=-1))
                 which, sums = r[order][first], np.add.reduceat(slope[order], first, axis=0)
-                self.seen[which] += sums * sums
-                self.m.weights[which] += RATE * sums / np.sqrt(self.seen[which])
+                seen = self.seen[which] + np.einsum("ij,ij->i", sums, sums)
+                self.seen[which] = seen
+                sums *= (RATE / np.sqrt(seen))[:, None]
+                self.m.weights[which] += sums
             sums = slope.sum(0)
             self.seen_bias += sums * sums
             self.m.bias += RATE * sums / np.sqrt(self.seen_bias)
@@ -202,7 +208,7 @@ def fit_weights(docs: DataFrame, language: Language, text_col: str) -> None:
     def run(batches):
         learner = Learner(Language(**vars(language)))
         for batch in batches:
-            for texts in groups(batch.column(0).to_pylist()):
+            for texts in groups(batch.column(0).to_pylist(), GROUP_CHARS):
                 hashes, classes, place, *_ = learner.m.tokens(texts)
                 learner.learn(learner.m.features(hashes, place), classes)
         if learner.tokens:
@@ -275,7 +281,7 @@ def scores(df: DataFrame, language: Language, counts: DataFrame, id_col: str = "
         for batch in batches:
             key, ids = batch.column(0).to_numpy(), batch.column(1)
             at_row = 0
-            for texts in groups(batch.column(2).to_pylist()):
+            for texts in groups(batch.column(2).to_pylist(), GROUP_CHARS):
                 hashes, classes, place, ends, sizes, is_word, own, at = language.tokens(texts)
                 gain = language.class_scores(language.features(hashes, place), classes) - language.class_log[classes]
                 value = np.array([language.frequent.get(w, np.nan) for w in own] or [np.nan])

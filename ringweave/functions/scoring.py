@@ -63,7 +63,8 @@ def score_column() -> Column:
     total = F.lit(0.0)
     for name in C.FEATURE_NAMES:
         total = total + F.col(f"c_{name}")
-    return half_even(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 0).cast("long")
+    bounded = half_even(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 0).cast("long")
+    return F.when(total.isNotNull() & ~F.isnan(total), bounded)  # a missing part gives no score
 
 
 def reason_code_column() -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ringweave import config as C
 from ringweave.functions import scoring as S
 from ringweave.functions.normalize import node_value
-from ringweave.operators import cluster, features, links, snapshots, taint
+from ringweave.operators import cluster, features, links, lookups, snapshots, taint
 from ringweave.session import stage
 
 
@@ -139,7 +139,7 @@ class LinkGraph:
     def features(self) -> DataFrame:
         self._derive_branches()
         raw = features.raw_features(self.counters, self.entity_reads)
-        return stage(features.normalize_features(raw), "features")
+        return stage(lookups.flagged(features.normalize_features(raw), self.crowded, F.col("ord")), "features")
 
     @cached_property
     def customer_evidence(self) -> DataFrame:
@@ -181,7 +181,6 @@ class LinkGraph:
                 "taint_path", F.when(F.col("path_ord") <= F.col("ord"), path).otherwise(F.array().cast("array<string>"))
             )
             .withColumn("cluster_customers", F.col("n_customer"))
-            .withColumn("truncated", F.coalesce("trunc_ord", F.lit(C.FOREVER)) <= F.col("ord"))
             .drop("shops", "top_devices", "path_ord", "via", "fraud_customer", "trunc_ord")
         )
 
@@ -195,11 +194,7 @@ class LinkGraph:
         thresholds: Mapping[str, int] | None = None,
         model_version: str = C.MODEL_VERSION,
     ) -> DataFrame:
-        return (
-            score_frame(self.evidence, weights, thresholds)
-            .withColumn("model_version", F.lit(model_version))
-            .withColumn("degraded", F.lit(False))
-        )
+        return degraded_in_place(score_frame(self.evidence, weights, thresholds)).withColumn("model_version", F.lit(model_version))
 
 
 def score_frame(
@@ -213,6 +208,17 @@ def score_frame(
     )
 
 
+def degraded_in_place(scored: DataFrame) -> DataFrame:
+    """Rows whose features gave no score become REVIEW with the system's code; ``degraded`` marks them."""
+    lost = F.col("score").isNull() | F.isnan(F.col("score").cast("double"))
+    return (
+        scored.withColumn("degraded", lost)
+        .withColumn("verdict", F.when(F.col("degraded"), "REVIEW").otherwise(F.col("verdict")))
+        .withColumn("reason_codes", F.when(F.col("degraded"), F.array(F.lit(C.DEGRADED_CODE))).otherwise(F.col("reason_codes")))
+        .withColumn("score", F.when(F.col("degraded"), F.lit(0).cast("long")).otherwise(F.col("score")))
+    )
+
+
 def degrade_verdict(events: DataFrame, scored: DataFrame) -> DataFrame:
     """One verdict per event; an event without features degrades to REVIEW."""
     kept = ["score", "verdict", "reason_codes"]

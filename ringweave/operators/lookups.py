@@ -93,18 +93,25 @@ def graph_size(nodes: DataFrame) -> DataFrame:
 
 
 # --- clusters ---------------------------------------------------------------
+def flagged(rows: DataFrame, crowded: DataFrame, ord_: Column | None = None) -> DataFrame:
+    """``rows`` with ``truncated``: their center's cluster holds more nodes than the cap (as of ``ord_``, else finally)."""
+    grown = crowded.select("customer_id", "trunc_ord")
+    at = F.lit(C.FOREVER - 1) if ord_ is None else ord_
+    return rows.join(grown, "customer_id", "left").withColumn("truncated", F.coalesce(F.col("trunc_ord") <= at, F.lit(False))).drop("trunc_ord")
+
+
 def final_members(members: DataFrame) -> DataFrame:
-    """Cluster membership after the last event."""
+    """Cluster membership after the last event; ``flagged`` tells which are cut."""
     return members.where(F.col("out_ord") == C.FOREVER).select("customer_id", "ntype", "node")
 
 
-def cluster_stats(members: DataFrame, counts: DataFrame) -> DataFrame:
-    """Node counts, customers per device, widest entity, per final cluster."""
+def cluster_stats(members: DataFrame, counts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Node counts, customers per device, widest entity and the cap's flag, per final cluster."""
     kind = F.col("ntype")
     fanout = F.when(kind.isin(*C.FANOUT_TYPES), F.col("merchant_count"))
     n = {t: F.count_if(kind == t) for t in C.NODE_TYPES}
     ratio = F.when(n["device"] > 0, half_even(n["customer"] / n["device"], 3)).otherwise(0.0)
-    return (
+    stats = (
         final_members(members)
         .join(counts.select("node", "merchant_count"), "node", "left")
         .groupBy("customer_id")
@@ -119,21 +126,25 @@ def cluster_stats(members: DataFrame, counts: DataFrame) -> DataFrame:
             F.coalesce(F.max(fanout), F.lit(0)).alias("max_cross_merchant_fanout"),
         )
     )
+    return flagged(stats, crowded)
 
 
 def cluster_members_r(links: DataFrame, radius: int, stage, cap: int = C.CLUSTER_CAP) -> DataFrame:
-    """Final cluster for a radius of 1 to 4: (customer_id, node, hop).
+    """Final cluster for a radius of 1 to 4: (customer_id, node, hop, over_at).
 
     Hops alternate entity and customer steps; a center stops growing at the
-    cap, keeping nodes by (hop, arrival in reach, id). Each step offers only an
-    entity's or customer's first ``cap + 1`` links, which holds every kept node.
+    cap, keeping nodes by (hop, arrival in reach, id). ``over_at`` is the hop at which
+    more nodes than the cap were in reach (null: never); such a center takes no
+    further step. Each step offers only an entity's or customer's first ``cap + 1``
+    links, which holds every kept node.
     """
     edges = links.select("customer_id", "ntype", "node", "fl_ord")
     by_customer = stage(_rank(edges, "customer_id", ["fl_ord", "node"], "_n", cap + 1).drop("_n"), "r_customer")
     by_entity = stage(
         _rank(edges.where("ntype <> 'merchant'"), "node", ["fl_ord"], "_n", cap + 1).drop("_n"), "r_entity"
     )
-    first = edges.groupBy("customer_id").agg(F.min("fl_ord").alias("reach"))
+    first = stage(edges.groupBy("customer_id").agg(F.min("fl_ord").alias("reach")), "r_first")
+    over = first.limit(0).select("customer_id", F.lit(0).alias("over_at"))
     kept = first.select("customer_id", customer_node(F.col("customer_id")).alias("node"), F.lit(0).alias("hop"), "reach", F.lit(-1).cast("long").alias("tie"))
     frontier = first.select("customer_id", F.col("customer_id").alias("at"), F.lit(-1).cast("long").alias("reach"))
     for hop in range(1, radius + 1):
@@ -150,26 +161,33 @@ def cluster_members_r(links: DataFrame, radius: int, stage, cap: int = C.CLUSTER
         fresh = reached.join(kept.select("customer_id", "node"), ["customer_id", "node"], "left_anti")
         room = kept.groupBy("customer_id").agg((F.lit(cap) - F.count("*")).alias("room"))
         w = Window.partitionBy("customer_id").orderBy("reach", "tie", "node")
-        added = stage(
-            fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).join(room, "customer_id").where("_n <= room").drop("_n", "room"),
+        # the first node beyond the room stays in, as the sign that the cluster is cut
+        near = stage(
+            fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap + 1).join(room, "customer_id").where("_n <= room + 1"),
             "r_hop",
         )
+        added = near.where("_n <= room").drop("_n", "room")
+        full = near.where("_n > room").select("customer_id", F.lit(hop).alias("over_at"))
+        over = over.unionByName(full)
         kept = stage(
             kept.unionByName(added.select("customer_id", "node", F.lit(hop).alias("hop"), "reach", "tie")), "r_kept"
         )
-        frontier = added.where("ntype <> 'merchant'").select("customer_id", F.col("to").alias("at"), "reach")
-    return kept.select("customer_id", "node", "hop")
+        growing = added.where("ntype <> 'merchant'").join(full, "customer_id", "left_anti")
+        frontier = growing.select("customer_id", F.col("to").alias("at"), "reach")
+    return kept.select("customer_id", "node", "hop").join(over, "customer_id", "left")
 
 
-def cluster_view(members: DataFrame, links: DataFrame, taint: DataFrame, unmask: bool = False) -> DataFrame:
-    """Rows of a cluster drawing: its nodes with taint, and the links of its
-    customers. Phones are masked on both unless ``unmask``."""
+def cluster_view(
+    wanted: DataFrame, members: DataFrame, links: DataFrame, taint: DataFrame, crowded: DataFrame, unmask: bool = False
+) -> DataFrame:
+    """Drawings of the clusters of ``wanted`` (customer_id): nodes with taint, and the links of
+    their customers, with the cap's flag. Phones are masked on both unless ``unmask``."""
 
     def shown(node: Column) -> Column:
         value = node_value(node)
         return value if unmask else F.when(node.startswith("phone:"), mask_phone(value)).otherwise(value)
 
-    final = final_members(members)
+    final = final_members(members).join(wanted.select("customer_id").distinct(), "customer_id", "left_semi")
     nodes = final.join(taint, "node", "left").select(
         "customer_id",
         F.lit("node").alias("part"),
@@ -192,7 +210,7 @@ def cluster_view(members: DataFrame, links: DataFrame, taint: DataFrame, unmask:
             F.lit(None).cast("double").alias("taint"),
         )
     )
-    return nodes.unionByName(edges)
+    return flagged(nodes.unionByName(edges), crowded)
 
 
 # --- entity risk --------------------------------------------------------------
@@ -220,12 +238,21 @@ def entity_risk(requests: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def entity_risk_full(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Privileged listing: every node linked to a requested entity."""
-    wanted = requests.where(F.col("entity_type").isin(*C.ENTITY_TYPES)).select(F.concat_ws(":", "entity_type", "entity_value").alias("node")).distinct()
+    """Privileged listing of a requested entity with all its attributes: a row a linked node.
+
+    Unknown entities and foreign types keep a row with their status. Callers write
+    ``store.admin_audit_rows`` of the requests beside it.
+    """
+    attributes = ["merchant_count", "linked_identity_count", "fraud_taint", "confirmed_fraud", "event_count", "amount_sum", "first_seen_us", "last_seen_us"]
+    node = F.concat_ws(":", "entity_type", "entity_value")
+    wanted = requests.select("entity_type", "entity_value", F.when(F.col("entity_type").isin(*C.ENTITY_TYPES), node).alias("node")).distinct()
+    known = nodes.select("node", *attributes, F.lit(True).alias("_known"))
+    linked = neighbors(links, wanted.where("node IS NOT NULL")).select("node", F.col("neighbour").alias("linked_node"))
+    status = F.when(F.col("node").isNull(), "bad_entity_type").when(F.col("_known"), "ok").otherwise("not_found")
     return (
-        neighbors(links, wanted)
-        .join(nodes.select("node", "merchant_count", "linked_identity_count", "fraud_taint"), "node")
-        .select("node", F.col("neighbour").alias("linked_node"), "merchant_count", "linked_identity_count", "fraud_taint")
+        wanted.join(known, "node", "left")
+        .join(linked, "node", "left")
+        .select("entity_type", "entity_value", status.alias("status"), "linked_node", *attributes)
     )
 
 

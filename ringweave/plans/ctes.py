@@ -289,9 +289,10 @@ NODE_SQL = """
 
 
 def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
-    """Prepend every CTE that ``body`` needs, in definition order."""
+    """Prepend every CTE that ``body`` needs, each after those it reads."""
     pool = {**CTES, **(extra or {})}
     needed: set[str] = set()
+    ordered: list[str] = []
 
     def visit(text: str) -> None:
         for word in set(re.findall(r"[a-z_][a-z_0-9]*", text)):
@@ -299,10 +300,11 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
                 if re.search(rf"\b(from|join)\s+\(?\s*{word}\b|,\s*{word}\s+[a-z0-9]+\s+(where|join)", text):
                     needed.add(word)
                     visit(pool[word])
+                    ordered.append(word)
 
     visit(body)
     if not needed:
         return body
     recursive = {"spread", "creach", "deal", "kdeal"}
-    parts = ",\n".join(f"{n} as {'' if n in recursive else 'materialized '}({pool[n]})" for n in pool if n in needed)
+    parts = ",\n".join(f"{n} as {'' if n in recursive else 'materialized '}({pool[n]})" for n in ordered)
     return f"with recursive {parts}\n{body}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ringweave import config as C
 from ringweave.functions.normalize import node_value
+from ringweave.operators import cluster as CL
 from ringweave.operators import features as FE
 from ringweave.operators import graph as G
 from ringweave.operators import lookups as LK
@@ -88,30 +89,55 @@ def _(ws):
 
 
 # --- clusters and lookups ------------------------------------------------------
-@query("cluster_members", "select c customer_id, ntype, node from fnode")
+@query("cluster_members", "select c customer_id, ntype, node, count(*) over (partition by c) > 200 truncated from fnode")
 def _(ws):
-    return LK.final_members(ws.graph.members)
+    return LK.flagged(LK.final_members(ws.graph.members), ws.graph.crowded)
+
+
+@query("cluster_members_capped", "select c customer_id, least(count(*), 8) size, count(*) > 8 truncated from fnode group by 1")
+def _(ws):
+    """A cap that most clusters outgrow."""
+    members, crowded = CL.cluster_memberships(ws.graph.links, stage, 8)
+    return LK.flagged(LK.final_members(members).groupBy("customer_id").agg(F.count("*").alias("size")), crowded)
+
+
+@query(
+    "events_truncated_capped",
+    """select e.event_id, any_value(f.customers) + count(distinct n.node) > 8 truncated
+       from ev e join cnode n using (event_id) join f1 f using (event_id) group by 1""",
+)
+def _(ws):
+    """The flag as of each event, at a cap that most clusters outgrow."""
+    _, crowded = CL.cluster_memberships(ws.graph.links, stage, 8)
+    return LK.flagged(ws.graph.timeline.select("event_id", "customer_id", "ord"), crowded, F.col("ord")).select("event_id", "truncated")
 
 
 @query(
     "cluster_members_r",
-    """select c customer_id, 1::bigint radius, least(200, 1 + count(distinct node)) size from lnk group by 1
-       union all select c, 2, least(200, count(*)) from (select c, node from lnk union select c, 'customer:' || c2 from fcl) group by 1
-       union all select c, 3, least(200, count(*)) from fnode group by 1
-       union all select c, 4, least(200, count(*)) from h4 group by 1""",
+    """select customer_id, cap, radius, least(cap, n) size, n > cap truncated from (
+         select c customer_id, 1::bigint radius, 1 + count(distinct node) n from lnk group by 1
+         union all select c, 2, count(*) from (select c, node from lnk union select c, 'customer:' || c2 from fcl) group by 1
+         union all select c, 3, count(*) from fnode group by 1
+         union all select c, 4, count(*) from h4 group by 1), (select unnest([200, 8])::bigint as cap)""",
     {"h4": "select c, node from fnode union select distinct f.c, 'customer:' || b.c from fnode f join elnk b on b.node = f.node"},
 )
 def _(ws):
-    widest = LK.cluster_members_r(ws.graph.links, 4, stage)
-    counted = widest.groupBy("customer_id").agg(*[F.count_if(F.col("hop") <= r).alias(f"r{r}") for r in range(1, 5)])
-    pairs = F.array(*[F.struct(F.lit(r).cast("long").alias("radius"), F.col(f"r{r}").alias("size")) for r in range(1, 5)])
-    return counted.select("customer_id", F.inline(pairs).alias("radius", "size"))
+    """With the cap of the product and one that most clusters outgrow."""
+
+    def sizes(cap: int):
+        widest = LK.cluster_members_r(ws.graph.links, 4, stage, cap)
+        counted = widest.groupBy("customer_id").agg(*[F.count_if(F.col("hop") <= r).alias(f"r{r}") for r in range(1, 5)], F.min("over_at").alias("over_at"))
+        over = [F.coalesce(F.col("over_at") <= r, F.lit(False)).alias("truncated") for r in range(1, 5)]
+        rows = F.array(*[F.struct(F.lit(r).cast("long").alias("radius"), F.col(f"r{r}").alias("size"), over[r - 1]) for r in range(1, 5)])
+        return counted.select("customer_id", F.lit(cap).cast("long").alias("cap"), F.inline(rows).alias("radius", "size", "truncated"))
+
+    return sizes(C.CLUSTER_CAP).unionByName(sizes(8))
 
 
 CLUSTER_STATS_SQL = """
   select c customer_id, customers, devices, vpas, phones, emails, merchants,
-    case when devices > 0 then round_even(customers / devices, 3) else 0.0 end device_identity_ratio, fanout max_cross_merchant_fanout from (
-    select f.c, count(*) filter (f.ntype = 'customer') customers, count(*) filter (f.ntype = 'device') devices, count(*) filter (f.ntype = 'upi') vpas,
+    case when devices > 0 then round_even(customers / devices, 3) else 0.0 end device_identity_ratio, fanout max_cross_merchant_fanout, truncated from (
+    select f.c, count(*) > 200 truncated, count(*) filter (f.ntype = 'customer') customers, count(*) filter (f.ntype = 'device') devices, count(*) filter (f.ntype = 'upi') vpas,
       count(*) filter (f.ntype = 'phone') phones, count(*) filter (f.ntype = 'email') emails, count(*) filter (f.ntype = 'merchant') merchants,
       coalesce(max(s.merchant_count) filter (f.ntype in ('upi', 'phone', 'device')), 0) fanout
     from fnode f left join snaplast s on s.node = f.node group by 1)
@@ -120,13 +146,13 @@ CLUSTER_STATS_SQL = """
 
 @query("cluster_stats", CLUSTER_STATS_SQL)
 def _(ws):
-    return LK.cluster_stats(ws.graph.members, LK.last_snapshots(ws.graph.snapshots))
+    return LK.cluster_stats(ws.graph.members, LK.last_snapshots(ws.graph.snapshots), ws.graph.crowded)
 
 
 @query("cluster_stats_current", CLUSTER_STATS_SQL.replace("snaplast s", "curr s"),
        {"curr": "select a.node, count(distinct b.node) merchant_count from elnk a join lnk b on b.c = a.c and b.ntype = 'merchant' group by 1"})
 def _(ws):
-    return LK.cluster_stats(ws.graph.members, SN.current_counts(ws.graph.links))
+    return LK.cluster_stats(ws.graph.members, SN.current_counts(ws.graph.links), ws.graph.crowded)
 
 
 @query("cluster_customers", "select distinct c customer_id, c2 member_id from fcl")
@@ -141,12 +167,16 @@ MASKED = r"""case when {0} like 'phone:%' then '+' || substr(regexp_replace({0},
 
 @query(
     "cluster_view",
-    f"""select f.c customer_id, 'node' part, f.ntype kind, {MASKED.format('f.node')} id, null::varchar target, coalesce(t.fraud_taint, 0.0)::double taint
+    f"""select *, count(*) filter (part = 'node') over (partition by customer_id) > 200 truncated from (
+        select f.c customer_id, 'node' part, f.ntype kind, {MASKED.format('f.node')} id, null::varchar target, coalesce(t.fraud_taint, 0.0)::double taint
         from fnode f left join tlevel t on t.node = f.node
-        union all select f.c, 'edge', l.ntype, f.c2, {MASKED.format('l.node')}, null from fcl f join lnk l on l.c = f.c2""",
+        union all select f.c, 'edge', l.ntype, f.c2, {MASKED.format('l.node')}, null from fcl f join lnk l on l.c = f.c2)
+        where customer_id in (select customer_id from ev where prior_outcome is not null)""",
 )
 def _(ws):
-    return LK.cluster_view(ws.graph.members, ws.graph.links, ws.taint)
+    """The clusters an analyst opens: those of customers with an outcome."""
+    wanted = ws.payments.where("prior_outcome is not null").select("customer_id")
+    return LK.cluster_view(wanted, ws.graph.members, ws.graph.links, ws.taint, ws.graph.crowded)
 
 
 @query(
@@ -232,9 +262,11 @@ def _(ws):
 
 @query(
     "entity_risk_full",
-    """select s.node, 'customer:' || l.c linked_node, s.merchant_count, s.linked_identity_count, coalesce(t.fraud_taint, 0.0)::double fraud_taint
-       from (select distinct entity_type || ':' || entity_value node from req where entity_type <> 'ip') r join snaplast s using (node)
-       join elnk l on l.node = s.node left join tlevel t on t.node = s.node""",
+    """select entity_type, entity_value, case when entity_type = 'ip' then 'bad_entity_type' when n.node is null then 'not_found' else 'ok' end status,
+         'customer:' || l.c linked_node, n.merchant_count, n.linked_identity_count, n.fraud_taint::double fraud_taint, n.confirmed_fraud, n.event_count, n.amount_sum,
+         n.first_seen * 1000000 first_seen_us, n.last_seen * 1000000 last_seen_us
+       from (select distinct * from req) r left join (""" + X.NODE_SQL + """) n on entity_type <> 'ip' and n.node = entity_type || ':' || entity_value
+       left join elnk l on l.node = n.node""",
     REQ,
 )
 def _(ws):
@@ -288,23 +320,28 @@ for _spec in FEATURE_KEYS:
 RAW = ", ".join(C.RAW_FEATURES)
 
 
-@query("extract_features", f"select event_id, {RAW}, {NF} from feat")
+# as of each event: more nodes in its cluster than the cap
+CUT = {"cutev": """select e.event_id, any_value(f.customers) + count(distinct n.node) > 200 truncated
+    from ev e join cnode n using (event_id) join f1 f using (event_id) group by 1"""}
+
+
+@query("extract_features", f"select event_id, {RAW}, {NF}, truncated from feat join cutev using (event_id)", CUT)
 def _(ws):
-    return ws.graph.features.select("event_id", *C.RAW_FEATURES, *[f"n_f{i}" for i in range(1, 8)])
+    return ws.graph.features.select("event_id", *C.RAW_FEATURES, *[f"n_f{i}" for i in range(1, 8)], "truncated")
 
 
-@query("score_events", f"select event_id, customer_id, merchant_id, {RAW}, score, verdict, reason_codes from scored")
+@query("score_events", f"select event_id, customer_id, merchant_id, {RAW}, score, verdict, reason_codes, truncated from scored join cutev using (event_id)", CUT)
 def _(ws):
     return ws.verdicts.select(
-        "event_id", "customer_id", "merchant_id", *C.RAW_FEATURES, "score", "verdict", F.concat_ws(",", "reason_codes").alias("reason_codes")
+        "event_id", "customer_id", "merchant_id", *C.RAW_FEATURES, "score", "verdict", F.concat_ws(",", "reason_codes").alias("reason_codes"), "truncated"
     )
 
 
 @query(
     "score_overlay",
-    f"select event_id, {RAW}, score, verdict from scored where cast(substr(event_id, 5) as bigint) % 7 = 0",
-    {"ev": X.CTES["ev"].replace("order by ts", "order by (k % 7 = 0), ts")},
+    f"select event_id, {RAW}, score, verdict, truncated from scored join cutev using (event_id) where cast(substr(event_id, 5) as bigint) % 7 = 0",
+    {**CUT, "ev": X.CTES["ev"].replace("order by ts", "order by (k % 7 = 0), ts")},
 )
 def _(ws):
     history, overlay = ws.payments.where(K() % 7 != 0), ws.payments.where(K() % 7 == 0)
-    return G.score_overlay(history, overlay).scores().select("event_id", *C.RAW_FEATURES, "score", "verdict")
+    return G.score_overlay(history, overlay).scores().select("event_id", *C.RAW_FEATURES, "score", "verdict", "truncated")

@@ -475,12 +475,17 @@ def _(ws):
 
 @query(
     "narrative_prompt",
-    """select event_id, 'Explain this fraud verdict for a risk analyst.' || chr(10) || '{"score":' || score || ',"verdict":"' || verdict || '","amount_paise":' || amount_paise || '}' prompt
-       from scored""",
+    """select event_id, 'Explain this fraud verdict for a risk analyst.' || chr(10) || '{"score":' || score || ',"verdict":"' || verdict || '","reason_codes":'
+         || case when reason_codes = '' then '[]' else '["' || replace(reason_codes, ',', '","') || '"]' end || ',"cluster_customers":' || f.customers
+         || ',"confirmed_fraud":' || fraud || ',"amount_paise":' || amount_paise || '}' prompt
+       from scored join f1 f using (event_id) join (select event_id, fraud from ev) using (event_id)""",
 )
 def _(ws):
-    bundle = F.struct("score", "verdict", "amount_paise")
-    return ws.scored.select("event_id", N.narrative_prompt(bundle).alias("prompt"))
+    """Six fields of the evidence; devices, merchants and the path are checked with ``evidence_bundle``."""
+    outcome = ws.graph.timeline.select("event_id", F.col("fraud_outcome").alias("confirmed_fraud"))
+    rows = ws.verdicts.join(outcome, "event_id")
+    bundle = F.struct("score", "verdict", "reason_codes", "cluster_customers", "confirmed_fraud", "amount_paise")
+    return rows.select("event_id", N.narrative_prompt(bundle).alias("prompt"))
 
 
 def model_calls(ws: Workspace) -> DataFrame:

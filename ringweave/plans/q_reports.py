@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ringweave import config as C
 from ringweave.functions import narrative as N
+from ringweave.operators import graph as G
 from ringweave.operators import lookups as LK
 from ringweave.operators import ops_metrics as O
 from ringweave.operators import queue as Q
 from ringweave.operators import reports as R
 from ringweave.operators.asof import asof_edge_last_use, first_nodes
 from ringweave.operators.scan import global_index
-from ringweave.plans.q_ingest import K, copied_feed, model_responses
+from ringweave.plans import ctes as X
+from ringweave.plans.q_ingest import FEEDX, K, copied_feed, model_responses
 from ringweave.plans.registry import query
 from ringweave.session import stage
 from ringweave.sources import store
@@ -177,6 +179,8 @@ def _report_sql() -> str:
         ("design_point", "(p >= 0.8 and r >= 0.7)::int"))]
     rows += [("rings", m, f"{m} from rr") for m in ("rings_total", "rings_caught", "rings_missed", "sophisticated", "sophisticated_caught")]
     rows += [("cost_per_1000", m, f"{m} from cost") for m in ("gross_saved_inr", "fp_cost_inr", "review_cost_inr", "net_saved_inr")]
+    rows += [("confusion", f"{band.lower()}_{kind}", f"count(*) filter (verdict = '{band}' and {'not ' * (kind == 'clean')}is_fraud) from outc")
+             for band in ("ALLOW", "REVIEW", "BLOCK_REC") for kind in ("clean", "fraud")]
     parts = []
     for section, metric, source in rows:
         expression, table = source.rsplit(" from ", 1)
@@ -184,9 +188,14 @@ def _report_sql() -> str:
     return " union all ".join(parts)
 
 
-@query("evaluation_report", _report_sql(), REPORT)
+HELD_OUT = {"outc": f"select * from ({X.CTES['outc']}) where event_id in (select event_id from splitlab where split = 'test')"}
+
+
+@query("evaluation_report", _report_sql(), {**REPORT, **HELD_OUT})
 def _(ws):
-    return R.evaluation_report(ws.outcomes, D)
+    """The held-out split only."""
+    held = ws.split_labels.where("split = 'test'").select("event_id")
+    return R.evaluation_report(ws.outcomes.join(held, "event_id", "left_semi"), D)
 
 
 @query(
@@ -294,9 +303,15 @@ def _(ws):
 
 
 # --- operational metrics -----------------------------------------------------------
-@query("verdict_band_counters", "select lower(verdict) band, count(*) verdicts, 0::bigint degraded from scored group by 1")
+@query(
+    "verdict_band_counters",
+    """select case when k % 13 = 0 then 'review' else lower(verdict) end band, count(*) verdicts, count(*) filter (k % 13 = 0) degraded
+       from scored join (select event_id, k from pay) using (event_id) group by 1""",
+)
 def _(ws):
-    return O.verdict_band_counters(ws.verdicts)
+    """Some events lack a feature: their verdicts degrade and are counted."""
+    partial = ws.graph.features.withColumn("n_f3", F.when(K() % 13 > 0, F.col("n_f3")))
+    return O.verdict_band_counters(G.degraded_in_place(G.score_frame(partial)))
 
 
 def latencies(ws):
@@ -380,7 +395,10 @@ def narrated_log(ws):
     narratives = responses.join(flagged, "event_id", "left_semi").select(
         "event_id", F.to_json("narrative").alias("narrative"), N.narrative_status(F.col("parse_status")).alias("status")
     )
-    return store.set_explanation(ws.log, narratives)
+    latest = narratives.withColumn("created_at", F.lit(2))
+    # each was explained before, with another result
+    earlier = narratives.select("event_id", F.lit("{}").alias("narrative"), F.lit("SKIPPED").alias("status"), F.lit(1).alias("created_at"))
+    return store.set_explanation(ws.log, latest.unionByName(earlier))
 
 
 NARR = {
@@ -435,7 +453,7 @@ def _(ws):
 @query(
     "events_in_ingest_order",
     """select event_id, arrival, cast(row_number() over (order by arrival, event_id, amount_paise) - 1 as bigint) position from feed""",
-    {"feed": "select *, ts arrival from pay union all select * replace (amount_paise + 1 as amount_paise), ts + 60 arrival from pay where k % 10 = 0"},
+    FEEDX,
 )
 def _(ws):
     feed = copied_feed(ws).select("event_id", "arrival", "amount_paise")

@@ -83,4 +83,8 @@ def test_narratives(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
     got = [r.parse_status for r in N.validate_narratives(rows).orderBy("i").collect()]
     assert got == ["parsed", "parsed", "rescued", "invalid", "invalid", "invalid", "rescued", "invalid"]
+    kinds = ['{"summary":1,"risk_factors":["a"],"recommended_action":"r"}', '{"summary":"s","risk_factors":[1],"recommended_action":"r"}',
+             '{"summary":"s","risk_factors":["a"],"recommended_action":{"x":1}}', '{"summary":"s","risk_factors":[],"recommended_action":"r"}']
+    rows = spark.createDataFrame(list(enumerate(kinds)), "i int, response string")
+    assert [r.parse_status for r in N.validate_narratives(rows).orderBy("i").collect()] == ["invalid", "invalid", "invalid", "parsed"]
     assert apply(spark, N.strip_code_fences, ["```json\n{}\n```  ", " plain ", "```\na\nb```"]) == ["{}", "plain", "a\nb"]

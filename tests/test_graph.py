@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ringweave.operators import lookups as LK
 from ringweave.operators import snapshots as SN
 from ringweave.operators import taint as T
-from ringweave.operators.graph import LinkGraph
+from ringweave.operators.graph import LinkGraph, degraded_in_place, score_frame
 from ringweave.schema import PAYMENTS
 from ringweave.session import stage
 from ringweave.sources import store
+from ringweave.sources.payments import padded
 
 T0 = 1_780_000_000
 
@@ -77,7 +78,7 @@ def test_cluster_stats_of_three_events(spark):
         (2, "c3", "m3", {"device": "d1", "phone": "9812345679"}),
     ]
     graph = LinkGraph(events(spark, rows))
-    row = LK.cluster_stats(graph.members, LK.last_snapshots(graph.snapshots)).where("customer_id = 'c1'").first()
+    row = LK.cluster_stats(graph.members, LK.last_snapshots(graph.snapshots), graph.crowded).where("customer_id = 'c1'").first()
     assert (row.customers, row.devices, row.vpas, row.phones, row.emails, row.merchants) == (3, 1, 2, 2, 1, 3)
     assert (row.device_identity_ratio, row.max_cross_merchant_fanout) == (3.0, 3)
 
@@ -85,7 +86,12 @@ def test_cluster_stats_of_three_events(spark):
 def test_hub_is_cut_at_the_cap(spark):
     graph = LinkGraph(events(spark, [(i, f"c{i:02d}", "m", {"device": "hub"}) for i in range(50)]))
     kept = LK.cluster_members_r(graph.links, 2, stage, cap=10).where("customer_id = 'c00'")
-    assert kept.count() == 10
+    assert kept.count() == 10 and {r.over_at for r in kept.collect()} == {2}
+    small = LinkGraph(events(spark, [(i, f"c{i:02d}", "m", {"device": "hub"}) for i in range(12)]), cap=10)
+    flags = {r.event_id: r.truncated for r in small.scores().collect()}
+    # c00 .. c07 with hub and m are ten nodes; the ninth customer is one too many
+    assert flags == {f"e{i:03d}": i > 7 for i in range(12)}
+    assert all(r.truncated for r in LK.cluster_stats(small.members, LK.last_snapshots(small.snapshots), small.crowded).collect())
 
 
 def test_velocity_window_edge(spark):
@@ -114,9 +120,11 @@ def test_amount_band_and_new_identities(spark):
 def test_phones_are_masked_on_nodes_and_edges(spark):
     graph = LinkGraph(events(spark, [(0, "c", "m", {"phone": "9812345678"})]))
     taint = T.taint_levels(graph.links, graph.customers)
-    hidden = LK.cluster_view(graph.members, graph.links, taint).collect()
+    wanted = spark.createDataFrame([("c",), ("nobody",)], "customer_id string")
+    view = (wanted, graph.members, graph.links, taint, graph.crowded)
+    hidden = LK.cluster_view(*view).collect()
     assert not any("9812345678" in str(r) for r in hidden) and any("XXXX" in (r.id or "") for r in hidden)
-    assert any("+919812345678" == r.id for r in LK.cluster_view(graph.members, graph.links, taint, unmask=True).collect())
+    assert any("+919812345678" == r.id for r in LK.cluster_view(*view, unmask=True).collect())
 
 
 def test_fingerprint_ignores_order_and_partitions(spark):
@@ -126,6 +134,52 @@ def test_fingerprint_ignores_order_and_partitions(spark):
     assert tuple(store.fingerprint(links.limit(10), "links").first()) not in prints
 
 
+def test_digests_tell_like_looking_rows_apart(spark):
+    pairs = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("~", "c"), ("null", "c"), ('a","y":"b', "c")]
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    assert rows.select(store.row_digest(rows)).distinct().count() == len(pairs)
+
+
+def test_every_json_line_is_kept(spark, tmp_path):
+    good = '{"event_id":"e1","merchant_id":"m","customer_id":"c","amount_paise":5,"ts":"2026-01-01T00:00:00.000Z","payment_method":"upi"}'
+    lines = [good, "", "   ", good[:-9], good.replace('"event_id":"e1",', ""), good.replace("{", '{"is_fraud":true,"zz":1,'), good.replace(":5,", ':"five",'), "[1]"]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    found = {r.line: r for r in store.read_events_jsonl(spark, str(tmp_path / "in.jsonl")).collect()}
+    assert set(found) == {x for x in lines if x.strip()}
+    assert found[good].errors == [] and found[good].amount_paise == 5
+    assert found[lines[3]].errors == ["malformed"] and found[lines[6]].errors == ["malformed"]
+    assert found[lines[4]].errors == ["missing_event_id"]
+    assert found[lines[5]].errors == ["unknown_field:is_fraud", "unknown_field:zz"] and found[lines[5]].event_id == "e1"
+
+
+def test_ids_longer_than_their_padding_stay_apart(spark):
+    numbers = spark.createDataFrame([(100_001,), (100_009,), (7,)], "n long")
+    assert [r[0] for r in numbers.select(padded("mcht_", F.col("n"), 5)).collect()] == ["mcht_100001", "mcht_100009", "mcht_00007"]
+
+
+def test_copies_of_one_arrival_are_accepted_once(spark):
+    feed = spark.createDataFrame([("a", 1, 5), ("a", 1, 5), ("a", 1, 4), ("b", 1, 1)], "event_id string, arrival int, amount int")
+    nothing = spark.createDataFrame([], "event_id string, verdict string, score long")
+    found = store.ingest_batch_status(feed, nothing, nothing).where("status = 'accepted'").collect()
+    assert sorted(r.event_id for r in found) == ["a", "b"]
+    kept = {tuple(store.first_arrivals(feed.repartition(n)).where("event_id = 'a'").first()) for n in (1, 3)}
+    assert len(kept) == 1
+
+
+def test_latest_narrative_counts_once(spark):
+    log = spark.createDataFrame([("e1", None, "PENDING"), ("e2", None, "PENDING")], "event_id string, explanation string, explanation_status string")
+    told = spark.createDataFrame([("e1", "old", "SKIPPED", 1), ("e1", "new", "DONE", 2)], "event_id string, narrative string, status string, created_at int")
+    rows = {r.event_id: (r.explanation, r.explanation_status) for r in store.set_explanation(log, told).collect()}
+    assert rows == {"e1": ("new", "DONE"), "e2": (None, "PENDING")}
+
+
+def test_an_event_without_features_degrades(spark):
+    graph = LinkGraph(events(spark, [(0, "c", "m", {}), (1, "d", "m", {})]))
+    partial = graph.features.withColumn("n_f4", F.when(F.col("event_id") == "e001", F.col("n_f4")))
+    rows = {r.event_id: (r.score is None, r.verdict, r.degraded) for r in degraded_in_place(score_frame(partial)).collect()}
+    assert rows == {"e000": (False, "REVIEW", True), "e001": (False, "ALLOW", False)}
+
+
 def test_validation_and_unknown_fields(spark):
     good = events(spark, [(0, "c", "m", {})])
     bad = good.withColumn("amount_paise", F.lit(-1).cast("long")).withColumn("payment_method", F.lit("cash"))

@@ -31,6 +31,6 @@ def asof_edge_last_use(tl: DataFrame, probes: DataFrame, kind: str, stage: Calla
     ).unionByName(
         probes.select("customer_id", "node", "event_id", "vts", "ord", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("use_us"))
     )
-    keyed = rows.withColumn("edge", F.concat_ws("|", "customer_id", "node"))
+    keyed = rows.withColumn("edge", F.to_json(F.array("customer_id", "node")))
     scanned = running(stage(keyed, "edge_uses"), "edge", ["vts", "ord", "kind"], maxes={"last_use_us": F.col("use_us")}, **scan)
     return scanned.where("kind = 1").select("event_id", "customer_id", "node", "last_use_us")

@@ -273,7 +273,7 @@ def cluster_reads(
         .unionByName(mine.where(F.col("out_ord") < C.FOREVER).select("customer_id", F.col("out_vts").alias("vts"), F.col("out_ord").alias("ord")))
         .distinct()
     )
-    epochs = stage(moments.withColumn("epoch", F.concat_ws("|", "customer_id", "ord")), "epochs")
+    epochs = stage(moments.withColumn("epoch", F.to_json(F.struct("customer_id", "ord"))), "epochs")
     asks = epochs.join(mine, "customer_id").where("in_ord <= ord and ord < out_ord").select(
         "node", F.col("epoch").alias("event_id"), "vts", "ord"
     )
@@ -285,7 +285,7 @@ def cluster_reads(
     placed = running(
         stage(timeline.unionByName(own), "epoch_in"), "customer_id", ["vts", "ord", "kind"], maxes={"epoch_ord": F.col("e_ord")}, **scan
     ).where(F.col("kind") == PROBE)
-    shared = placed.select("event_id", F.concat_ws("|", "customer_id", "epoch_ord").alias("epoch")).join(per_epoch, "epoch")
+    shared = placed.select("event_id", F.to_json(F.struct("customer_id", F.col("epoch_ord").alias("ord"))).alias("epoch")).join(per_epoch, "epoch")
     return read.unionByName(shared.select(*read.columns))
 
 

@@ -192,13 +192,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each(df: DataFrame) -> DataFrame:
     """Documents without their near copies: of each group the row of the smallest id stays, and of rows with that id one."""
-    columns = df.columns
-    prints = stage(fingerprints(df, keep=tuple(columns)), "prints")
-    found = grouped(prints.select("doc_id", "fp"))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp"))
-    kept = prints.join(best, prints.doc_id.eqNullSafe(best.keep_id) & (prints.fp == best.keep_fp), "left_semi")
-    return kept.dropDuplicates(["doc_id", "fp"]).select(*columns)
+    words = F.xxhash64(F.col("text").cast("string"))
+    prints = stage(fingerprints(df.withColumn("_words", words), keep=("_words",)).select("doc_id", "fp", "_words"), "prints")
+    found = grouped(prints)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_words")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best._words").alias("keep_words"))
+    # id and text name a row; texts are read again instead of written with their fingerprints
+    rows = df.withColumn("_words", words)
+    kept = rows.join(best, rows.doc_id.eqNullSafe(best.keep_id) & (rows["_words"] == best.keep_words), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_words"]).select(*df.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,19 @@ A unit vector is turned by fast Hadamard pseudo-rotations (random signs and a
 Walsh-Hadamard transform, three times over) and gets the nearest signed axis. The
 number of axes, and of rotations joined into one key, follows the number of
 vectors, so a bucket holds about BUCKET of them at any size. Several tables
-with rotations of their own are kept; a query looks into its PROBES nearest buckets
+with rotations of their own are kept; a query looks into its nearest buckets
 of each and every candidate is ranked by its exact distance.
 
+A fixed number of buckets is an ever smaller share of a growing table. So the
+true neighbours of SAMPLE queries a vector length, chosen by a hash over all,
+are found by comparison with all rows, and tables and probes grow from TABLES and
+PROBES until RECALL of them lie in probed buckets, by two standard errors. Where that
+would take as many comparisons as there are rows, queries are compared with all.
+
 Rows of one vector are one entry of the index, which keeps the smallest ids: no
 answer can need more. Buckets with many entries or queries are cut into blocks, and
 each block gives a query its best entries only. Queries that find too few
-candidates are compared with all vectors in blocks.
+candidates, too, are compared with all vectors in blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from ringweave.llm.common import table
 from ringweave.llm.vector_dedup import usable
 from ringweave.session import stage
 
-TABLES, PROBES, BUCKET = 8, 8, 512
+TABLES, PROBES, BUCKET = 8, 8, 512  # the least tables times probes, and entries a bucket
+RECALL, SAMPLE, MOST_TABLES = 0.9, 256, 32
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 SEED = 10
 
@@ -97,27 +104,124 @@ def index_entries(df: DataFrame, most: int, id_col: str, vector_col: str) -> Dat
     return stage(own.select(F.monotonically_increasing_id().alias("node"), "embedding", "ids"), "entries")
 
 
-def codes(entries: DataFrame, n: int, tables: int, probes: int) -> DataFrame:
-    """``side, node, turn, bucket``: where entries lie (side 0) and where query entries look (side 1)."""
+def width_of(size: int) -> int:
+    return 1 << max(0, size - 1).bit_length()
+
+
+def codes(entries: DataFrame, n: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
+    """``side, node, turn, bucket``: where entries lie (side 0) and where query entries look (side 1).
+
+    ``plan`` has the tables and probes of each length of vectors; others have no rows.
+    """
+
+    def rows(side: int, node: np.ndarray, turn: int, size: int, bucket: np.ndarray) -> pa.RecordBatch:
+        columns = (np.full(len(node), side), node, np.full(len(node), turn), np.full(len(node), size), bucket)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["side", "node", "turn", "size", "bucket"])
 
     def run(batches):
         for batch in batches:
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             nodes = batch.column("node").to_numpy()
             for at, x in matrices(batch.column("embedding")):
-                u, axes = unit(x), axes_for(n, 1 << max(0, x.shape[1] - 1).bit_length())
+                if x.shape[1] not in plan:
+                    continue
+                (tables, probes), u, axes = plan[x.shape[1]], unit(x), axes_for(n, width_of(x.shape[1]))
+                asking = np.flatnonzero(asks[at])
+                step = max(1, (1 << 22) // (probes * 2 * max(axes)))
                 for turn in range(tables):
-                    keys = keys_of(u, turn, axes, probes)
-                    asked = keys[asks[at]]
-                    side = np.repeat([0, 1], [len(at), asked.size])
-                    node = np.concatenate([nodes[at], np.repeat(nodes[at][asks[at]], asked.shape[1])])
-                    bucket = np.concatenate([keys[:, 0], asked.ravel()])
-                    size = np.full(len(node), x.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (side, node, np.full(len(node), turn), size, bucket)], ["side", "node", "turn", "size", "bucket"])
+                    yield rows(0, nodes[at], turn, x.shape[1], keys_of(u, turn, axes, 1)[:, 0])
+                    for lo in range(0, len(asking), step):
+                        some = asking[lo : lo + step]
+                        keys = keys_of(u[some], turn, axes, probes)
+                        yield rows(1, np.repeat(nodes[at][some], keys.shape[1]), turn, x.shape[1], keys.ravel())
 
     return entries.select("node", "embedding", "asks").mapInArrow(run, "side bigint, node bigint, turn bigint, size bigint, bucket bigint")
 
 
+def true_neighbours(marked: DataFrame, k: int, sample: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """By length of vectors: up to ``sample`` asking entries, chosen by a hash over all, each with the matrix of its ``k`` nearest entries."""
+    order = Window.partitionBy("size").orderBy(F.xxhash64("embedding"), "node")
+    asking = marked.where("asks").select("node", "embedding", F.size("embedding").alias("size"))
+    chosen = asking.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).collect()
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {r["size"] for r in chosen}:
+        own = [r for r in chosen if r["size"] == size]
+        by_size[size] = np.array([r["node"] for r in own]), np.array([r["embedding"] for r in own], np.float64)
+
+    def run(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for at, x in matrices(batch.column("embedding")):
+                if x.shape[1] in by_size:
+                    found.setdefault(x.shape[1], []).append(nearest_in_block(x, nodes[at], by_size[x.shape[1]][1], k + 1))
+        for size, some in found.items():
+            i, node, away = (np.concatenate(c) for c in zip(*some, strict=True))
+            order = np.lexsort((node, away, i))
+            i, node, away = i[order], node[order], away[order]
+            near = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            yield pa.RecordBatch.from_arrays([pa.array(by_size[size][0][i[near]]), pa.array(node[near]), pa.array(away[near])], ["asker", "m", "away"])
+
+    hits = marked.select("node", "embedding").mapInArrow(run, "asker bigint, m bigint, away double").where(F.col("asker") != F.col("m"))
+    order = Window.partitionBy("asker").orderBy("away", "m")
+    best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("asker", "m")
+    near: dict[int, list] = {}
+    for r in best.join(marked.select(F.col("node").alias("m"), "embedding"), "m").select("asker", "embedding").collect():
+        near.setdefault(r["asker"], []).append(r["embedding"])
+    return {
+        size: [(x, np.array(near[node], np.float64)) for node, x in zip(nodes.tolist(), xs, strict=True) if node in near]
+        for size, (nodes, xs) in by_size.items()
+    }
+
+
+def places(asked: np.ndarray, near: np.ndarray, owner: np.ndarray, turn: int, axes: list[int]) -> np.ndarray:
+    """How many buckets of one table the query ``asked[owner]`` of each row of ``near`` probes before that row's."""
+    u, v = unit(asked), unit(near)
+    coords = [(turned(u, turn, part, n), turned(v, turn, part, n).argmax(1)) for part, n in enumerate(axes)]
+    own = sum(c[owner, key] for c, key in coords)
+    out = np.zeros(len(near), np.int64)
+    for i in range(len(asked)):
+        sums, mine = np.zeros(1), owner == i
+        for c, _ in coords:
+            sums = (sums[:, None] + c[i]).ravel()
+        sums.sort()
+        out[mine] = np.maximum(len(sums) - np.searchsorted(sums, own[mine] - 1e-12) - 1, 0)
+    return out
+
+
+def calibrated(pairs: list[tuple[np.ndarray, np.ndarray]], n: int, tables: int, probes: int, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int] | None:
+    """Tables and probes of the least product, ``tables * probes`` at least, that find ``recall`` of the true neighbours.
+
+    ``pairs`` are queries and their true neighbours among ``n`` entries. The mean over
+    queries has to exceed ``recall`` by two standard errors. None: comparison with
+    all entries takes no more.
+    """
+    if not pairs:
+        return tables, probes
+    asked, near = np.array([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+    owner = np.repeat(np.arange(len(pairs)), [len(y) for _, y in pairs])
+    axes = axes_for(n, width_of(asked.shape[1]), bucket)
+    keys, sizes = math.prod(2 * a for a in axes), np.bincount(owner)
+    most = max(MOST_TABLES, tables)
+    best = np.minimum.accumulate([places(asked, near, owner, turn, axes) for turn in range(most)])
+
+    def enough(count: int, looks: int) -> bool:
+        own = np.bincount(owner, best[count - 1] < looks) / sizes
+        return own.mean() - 2 * own.std() / math.sqrt(len(own)) >= recall
+
+    if tables * probes * bucket < n and enough(tables, probes):
+        return tables, probes
+    found = None
+    for count in sorted({tables, most, *(1 << i for i in range(most.bit_length()))}):
+        looks = -(-tables * probes // count)
+        while count * looks * bucket < n and (found is None or count * looks < found[0]):
+            if enough(count, looks):
+                found = count * looks, count, min(looks, keys)
+                break
+            looks = max(looks + 1, int(looks * 1.1))
+    return found and found[1:]
+
+
 def nearest_in_block(x: np.ndarray, nodes: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of ``y`` the ``most`` nearest rows of ``x`` (all that tie with the last): query position, node, exact distance."""
     scale = 2.0 ** np.ceil(np.log2(max(np.abs(x).max(), np.abs(y).max())))  # a power of two: exact
@@ -144,13 +248,13 @@ def nearest_in_block(x: np.ndarray, nodes: np.ndarray, y: np.ndarray, most: int)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def search_blocks(placed: DataFrame, entries: DataFrame, most: int) -> DataFrame:
+def search_blocks(placed: DataFrame, entries: DataFrame, most: int, block_rows: int | None = None) -> DataFrame:
     """``asker, node, away``: the nearest entries of each block of each bucket."""
     keys = ["turn", "size", "bucket"]
     sizes = placed.groupBy(*keys).agg(F.sum(1 - F.col("side")).alias("rows"), F.sum("side").alias("asking"))
     sizes = stage(sizes.where("rows > 0 AND asking > 0").select(
         *[F.col(k).alias(f"k_{k}") for k in keys],
-        F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("row_cuts"),
+        F.ceil(F.col("rows") / (block_rows or BLOCK_ROWS)).cast("int").alias("row_cuts"),
         F.ceil(F.col("asking") / BLOCK_QUERIES).cast("int").alias("ask_cuts"),
     ), "buckets")
     cut = placed.join(sizes, [F.col(k) == F.col(f"k_{k}") for k in keys])
@@ -184,13 +288,15 @@ def neighbours(
     bucket: int = BUCKET,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    recall: float = RECALL,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row of ``asked`` (rows of ``df``) its ``k`` nearest found rows of ``df`` but itself.
 
     Distance is Euclidean in double precision; ties go to the smaller id, null
     ids last. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, vectors of different lengths never meet. Repeated rows
-    are rows of their own. Other columns are left out.
+    are rows of their own. Other columns are left out. ``tables * probes`` is where the
+    search for ``recall`` starts.
     """
     entries = index_entries(df, k + 1, id_col, vector_col)
     rows = asked.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("embedding")).where(usable())
@@ -201,14 +307,15 @@ def neighbours(
     askers = queries.select(F.col("node").alias("a")).distinct()
     marked = stage(entries.join(askers, entries.node == askers.a, "left").select("node", "embedding", F.col("a").isNotNull().alias("asks")), "marked")
     n = marked.count()
+    plan = {size: calibrated(pairs, n, tables, probes, recall, bucket) for size, pairs in true_neighbours(marked, k, SAMPLE).items()}
     # the number of entries over BUCKET sets the number of keys
-    placed = stage(codes(marked, n * BUCKET // bucket, tables, probes), "codes")
+    placed = stage(codes(marked, n * BUCKET // bucket, {size: p for size, p in plan.items() if p}), "codes")
     hits = search_blocks(placed, entries, k + 1)
     best = stage(_best(hits, k), "hits")
     out = _answers(best, queries, entries, k)
     available = F.size("embedding")
     per_size = stage(entries.groupBy(available.alias("size")).agg(F.sum(F.size("ids")).alias("rows")), "sizes")
-    # exact search for those that found fewer than k though there are more
+    # exact search for those without a plan and those that found fewer than k though there are more
     got = out.groupBy("q").agg(F.count(F.lit(1)).alias("got"))
     with_size = queries.join(entries.select(F.col("node").alias("m"), available.alias("size")), F.col("node") == F.col("m")).join(per_size, "size")
     short = with_size.join(got, "q", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("rows") - 1)).select("node", "size").distinct()
@@ -216,7 +323,7 @@ def neighbours(
     if short.limit(1).count():
         everything = entries.select(F.lit(0).cast("long").alias("side"), "node", F.lit(-1).cast("long").alias("turn"), available.cast("long").alias("size"), F.lit(0).cast("long").alias("bucket"))
         asking = short.select(F.lit(1).cast("long").alias("side"), "node", F.lit(-1).cast("long").alias("turn"), F.col("size").cast("long"), F.lit(0).cast("long").alias("bucket"))
-        more = search_blocks(everything.union(asking), entries, k + 1)
+        more = search_blocks(everything.union(asking), entries, k + 1, min(BLOCK_ROWS, max(BUCKET, n // 64)))
         best = stage(_best(best.select("asker", "node", "away").union(more), k), "hits")
         out = _answers(best, queries, entries, k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

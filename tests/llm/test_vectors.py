@@ -82,6 +82,32 @@ def test_short_answers_are_completed(spark):
     assert len(found) == 100
 
 
+def test_recall_holds_with_keys_as_for_millions(spark):
+    """6,000 vectors without clusters and buckets of 2: 3,000 keys, as 1.5 million rows have."""
+    x = np.random.default_rng(12).normal(size=(6_000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found: dict = {}
+    for r in ann.neighbours(df, df.where("vec_id % 200 = 7"), bucket=2).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(found[i] & set(brute_near(x, i)[0])) for i in range(7, 6_000, 200)) / (30 * 10) >= 0.9
+
+
+def test_probes_grow_with_keys():
+    r = np.random.default_rng(3)
+    asked = r.normal(size=(60, 32))
+    pairs = [(a, a + 1.1 * r.normal(size=(10, 32))) for a in asked]
+    plans = [ann.calibrated(pairs, n, 8, 8) for n in (100_000, 1_000_000, 5_000_000)]
+    looks = [t * p for t, p in plans]
+    assert looks == sorted(looks) and looks[0] >= 64 < looks[-1]
+    for n, (tables, probes) in zip((100_000, 1_000_000, 5_000_000), plans, strict=True):
+        axes, hits = ann.axes_for(n, 32), []
+        for a, near in pairs:
+            seen = [set(ann.keys_of(ann.unit(a[None]), t, axes, probes)[0].tolist()) for t in range(tables)]
+            own = [ann.keys_of(ann.unit(near), t, axes, 1)[:, 0].tolist() for t in range(tables)]
+            hits += [any(own[t][j] in seen[t] for t in range(tables)) for j in range(10)]
+        assert np.mean(hits) >= 0.9
+
+
 def test_hot_vector_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)

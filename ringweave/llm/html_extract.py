@@ -25,7 +25,7 @@ from ringweave.llm.bpe import groups
 from ringweave.llm.common import table
 
 # fixed values: element kinds of HTML
-RAW = "script style textarea title noscript iframe xmp noembed noframes svg math template select canvas object audio video"
+RAW = "script style textarea title noscript iframe xmp noembed noframes template select canvas object audio video"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -54,6 +54,18 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# a tag or comment of svg and math content, whose elements may close themselves
+FOREIGN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+(?:>|\Z)",
+    re.S,
+)
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
+# fixed values: HTML elements that end svg and math content, and elements of it that may hold HTML
+LEAVES = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var".split()
+)
+HOLDS = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 CLOSING = tuple(".!?:;。！？…\"'”»)")
 
 
@@ -82,6 +94,29 @@ def element_features(name: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def closes_itself(attrs: str) -> bool:
+    return attrs.endswith("/") and not UNQUOTED.search(attrs)
+
+
+def after_foreign(page: str, name: str, at: int) -> int:
+    """Where the content of a svg or math element that opened before ``at`` ends: after its closing tag,
+    or before the HTML element that ends it where it was never closed."""
+    depth, held = 1, 0
+    for m in FOREIGN.finditer(page, at):
+        if not m["name"]:
+            continue
+        own = m["name"].lower()
+        if own == name:
+            depth += -1 if m["end"] else not closes_itself(m["attrs"])
+            if not depth:
+                return m.end()
+        elif own in HOLDS:
+            held = max(0, held - 1) if m["end"] else held + (not closes_itself(m["attrs"]))
+        elif own in LEAVES and not held and (not m["end"] or own in ("p", "br")):
+            return m.start()
+    return len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
     out: list[Block] = []
@@ -101,7 +136,7 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
@@ -111,7 +146,10 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         name, closing, attrs = name.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
-        if name == "a":
+        if name in ("svg", "math"):
+            if not closing and not closes_itself(attrs):
+                at = after_foreign(page, name, at)
+        elif name == "a":
             in_link = not closing
         elif name == "br":
             parts.append(" ")

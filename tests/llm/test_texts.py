@@ -71,6 +71,18 @@ def test_odd_pages(spark, field):
     assert rows_of(html_extract.main_text(df.limit(0), field)) == []
 
 
+@pytest.mark.parametrize(
+    "icon",
+    [
+        '<svg class="i"/>', "<math/>", '<SVG viewBox="0 0 1 1" />', "<svg><svg><path d='M0'/></svg><text>no</text></svg>", "<svg><title>no</title><style/><g/></svg>",
+        "<svg><foreignObject><p>no</p></foreignObject></svg>", "<svg><!-- </svg> --><text>no</text></svg>", "<math><mi>no</mi></math>", '<svg data-a="</svg>"><text>no</text></svg>', "<svg><path>",
+    ],
+)
+def test_icons_lose_nothing_else(icon):
+    page = f"<article><p>first</p>{icon}<p>second {icon.replace('<svg><path>', '')}part</p><p>third</p></article>"
+    assert [b.text for b in html_extract.blocks_of(page)] == ["first", "second part", "third"]
+
+
 # mixing
 
 

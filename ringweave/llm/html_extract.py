@@ -12,9 +12,10 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
-NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]++)))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # a tag or comment of svg and math content, whose elements may close themselves
 FOREIGN = re.compile(
@@ -78,22 +80,38 @@ class Block:
 @dataclass(slots=True)
 class Open:
     name: str
-    own: tuple[str, ...]  # features of all elements from the root to this one
-    parts: tuple[str, ...] = ()  # the sectioning elements among them
+    start: int  # how many features of open elements come before its own
+    parts: tuple[str, ...] = ()  # the last two sectioning elements from the root to this one
 
 
-@cache
-def element_features(name: str, attrs: str) -> tuple[str, ...]:
-    out = [f"in {name}"]
-    for m in NAMED.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+def named(attrs: str) -> tuple[str, ...]:
+    """What counts among the attributes: "hidden", and the values of class, id and role, in their order."""
+    out = []
+    for key, *values in ATTR.findall(attrs):
+        key, value = key.lower(), values[0] or values[1] or values[2]
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and UNSEEN.search(value):
             out.append("hidden")
         elif key in ("class", "id", "role"):
-            out += [f"name {w.lower()}" for w in PART.findall(value) if len(w) > 1]
+            out.append(f"={value}")
     return tuple(out)
 
 
+def element_features(name: str, attrs: str) -> tuple[str, ...]:
+    values = named(attrs) if attrs else ()
+    # the memo holds short keys only, so it stays small
+    return (known_features if len(name) + sum(map(len, values)) < 500 else features_of)(name, values)
+
+
+def features_of(name: str, values: tuple[str, ...]) -> tuple[str, ...]:
+    out = [f"in {name}"]
+    for value in values:
+        out += [f"name {w.lower()}" for w in PART.findall(value) if len(w) > 1] if value[0] == "=" else [value]
+    return tuple(out)
+
+
+known_features = lru_cache(1 << 14)(features_of)
+
+
 def closes_itself(attrs: str) -> bool:
     return attrs.endswith("/") and not UNQUOTED.search(attrs)
 
@@ -117,10 +135,12 @@ def after_foreign(page: str, name: str, at: int) -> int:
     return len(page)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order; elements at any depth have their features, those in ``known`` if it is given."""
     out: list[Block] = []
-    stack = [Open("", ())]
+    stack = [Open("", 0)]
+    active: dict[str, None] = {}  # features of the open elements, from the root on
+    opened: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -132,10 +152,16 @@ def blocks_of(page: str) -> list[Block]:
             top = stack[-1]
             path = ("", *top.parts)[-2:]
             places = [f"under {' > '.join(path)}", f"nearest {path[-1]} {top.name}", f"nearest {path[-1]}"]
-            out.append(Block(text, [*top.own, *places, f"tag {top.name}", *text_features(text, linked / max(len(raw), 1))]))
+            out.append(Block(text, [*active, *places, f"tag {top.name}", *text_features(text, linked / max(len(raw), 1))]))
         parts.clear()
         linked = 0
 
+    def close(place: int) -> None:
+        for _ in range(len(active) - stack[place].start):
+            active.popitem()
+        opened.subtract(e.name for e in stack[place:])
+        del stack[place:]
+
     while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -157,24 +183,25 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             if closing:
                 in_link = False
-                place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-                if place:
-                    del stack[place:]
+                if opened[name]:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             elif name not in VOID:
                 if name in BLOCK - {"button", "label", "option"}:
                     place = next((i for i in range(len(stack) - 1, max(0, len(stack) - 3), -1) if stack[i].name == "p"), 0)
                     if place:
-                        del stack[place:]
+                        close(place)
                 ends, bounds = CLOSES.get(name, ((), ()))
                 i = len(stack) - 1
-                while ends and i > 0 and stack[i].name not in bounds:
+                while i > 0 and stack[i].name not in bounds and any(opened[e] for e in ends):
                     if stack[i].name in ends:
-                        del stack[i:]
+                        close(i)
                     i -= 1
-                if len(stack) < 256:  # deeper elements add nothing to what their ancestors say
-                    above, parts_above = stack[-1].own, stack[-1].parts
-                    own = element_features(name, attrs if len(attrs) < 500 else "")
-                    stack.append(Open(name, above + tuple(f for f in own if f not in above), (*parts_above, name) if name in SECTIONS else parts_above))
+                above = stack[-1].parts
+                stack.append(Open(name, len(active), (*above, name)[-2:] if name in SECTIONS else above))
+                opened[name] += 1
+                for f in element_features(name, attrs):
+                    if known is None or f in known:
+                        active.setdefault(f)
     parts.append(page[at:])
     flush()
     for i, b in enumerate(out):
@@ -425,7 +452,7 @@ def trained(pages: int = 1200, seed: int = 1) -> Crf:
 
 
 def main_texts(crf: Crf, pages: list[str | None]) -> list[str]:
-    found = [blocks_of(p or "") for p in pages]
+    found = [blocks_of(p or "", crf.names) for p in pages]
     labels = crf.decode([[crf.rows(b.features) for b in blocks] for blocks in found])
     return ["\n".join(b.text for b, y in zip(blocks, ys, strict=True) if y) for blocks, ys in zip(found, labels, strict=True)]
 

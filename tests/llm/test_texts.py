@@ -83,6 +83,18 @@ def test_icons_lose_nothing_else(icon):
     assert [b.text for b in html_extract.blocks_of(page)] == ["first", "second part", "third"]
 
 
+def test_long_attributes_and_deep_elements_keep_their_features():
+    long = "x" * 3000
+    page = f'<div data-a="hidden class=no {long}" class="comments" style="{"a:b;" * 300}display:none"><p>me too</p></div><p title="hidden {long}">open</p>'
+    closed, free = (b.features for b in html_extract.blocks_of(page))
+    assert "name comments" in closed and "hidden" in closed and "name no" not in closed
+    assert not {"name comments", "hidden"} & set(free)
+    deep = "<div>" * 300 + '<section class="comments"><p>one</p></section><p>two</p>' + "</div>" * 299 + "<p>three</p></div><p>four</p>"
+    one, two, three, four = (set(b.features) for b in html_extract.blocks_of(deep))
+    assert {"in section", "name comments"} <= one and "name comments" not in two | three
+    assert "in div" in two & three and "in div" not in four
+
+
 # mixing
 
 

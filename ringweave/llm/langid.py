@@ -24,7 +24,8 @@ from ringweave.llm.common import Recent, crc_of, documents, segments
 
 ORDER = 5
 SAMPLE = 2000  # training texts of a language, about; chosen by a hash over all of them
-CALIBRATION = 8  # every eighth of them sets the rejection limit instead
+CALIBRATION = 8  # every eighth of them sets the rejection limit instead ...
+ENOUGH = 16  # ... in languages with so many labelled texts
 REJECTED = 0.999  # quantile of calibration texts that are accepted ...
 SPARE_BITS = 2.5  # ... and this many bits a character on top: only text unlike any language goes
 SHARP = 40.0  # characters after which a posterior gets no sharper
@@ -225,17 +226,23 @@ def train(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     The sample bounds what reaches the driver: its distinct words. Rows without
     language or text teach nothing; without any rows the model knows no language.
+    Languages of fewer than ENOUGH texts, or with most of their rows in the part that
+    would be held back (repeated rows), learn from all of them; if all are such,
+    only texts without letters are rejected.
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)).alias("h")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hold = F.pmod(F.shiftright("h", 20), F.lit(CALIBRATION)) == 0
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~hold, 1)).alias("free")).collect()
+    sizes = {r["lang"]: r["n"] for r in counted}
     if not sizes:
         return Model.fit({})
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / v)))])
     spot = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003
     chosen = rows.where(spot < share[F.col("lang")])
-    hold = F.pmod(F.shiftright("h", 20), F.lit(CALIBRATION)) == 0
+    splits = F.create_map(*[x for r in counted for x in (F.lit(r["lang"]), F.lit(r["n"] >= ENOUGH and 2 * r["free"] >= r["n"]))])
+    hold = hold & splits[F.col("lang")]
     found: dict[str, tuple[list, list]] = {}
     for r in _words_table(chosen.where(~hold).select("lang", "text")).toLocalIterator():
         own = found.setdefault(r["lang"], ([], []))

@@ -216,6 +216,15 @@ def test_odd_languages(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_languages_of_few_texts_are_learned(spark):
+    """One text a language: by chance an eighth of them would only calibrate."""
+    rows = [(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)} text", f"l{i}") for i in range(40)]
+    rows += [(100, "repeated rows of one text", "r")] * 20 + [(200 + i, "many different texts here", "m") for i in range(64)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({r[2] for r in rows})
+    assert model.limit[0] < 99
+
+
 # near copies
 
 

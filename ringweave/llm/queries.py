@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ringweave.llm import ann, bpe, html_extract, langid, maxent_lm, mixing, simhash, token_count, token_pack, vector_dedup
+from ringweave.llm import ann, bpe, html_extract, langid, maxent_lm, mixing, simhash, token_count, token_pack, vector_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_extract.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": maxent_lm.op8,
     "op9_bpe_encoding_decoding": bpe.op9,
     "op10_nearest_neighbours": ann.op10,
+    "op13_embedding_whitening": whitening.op13,
     "pipeline": corpus_pipeline.run,
 }
 USABLE = """

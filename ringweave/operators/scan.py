@@ -85,6 +85,38 @@ def running(
     return merged.select(*out)
 
 
+def laid_out(df: DataFrame, order: list[str], stage, name: str) -> DataFrame:
+    """``df`` range-sorted along ``order`` in a written table, with ``_part`` and ``_at``.
+
+    Partitions hold about equal numbers of rows whatever keys they belong to;
+    ``order`` should be total, as equal rows stay together.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = stage(placed.select("*", F.monotonically_increasing_id().alias("_at")), name)
+    return written.withColumn("_part", F.shiftright("_at", 33))
+
+
+def prefixes(rows: DataFrame, key: str, aggregates: dict[str, tuple]) -> DataFrame:
+    """Append running aggregates per key, current row included.
+
+    ``aggregates``: name -> (aggregate, column, how two results combine).
+    ``rows`` come from ``laid_out``, with the key first in their order. Every
+    (key, partition) is scanned on its own and what the key's earlier
+    partitions hold is combined with it: no task sees a whole key.
+    """
+    within = Window.partitionBy(key, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[fn(c).over(within).alias(n) for n, (fn, c, _) in aggregates.items()])
+    totals = rows.groupBy(key, "_part").agg(*[fn(c).alias(n) for n, (fn, c, _) in aggregates.items()])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(key, "_part", *[fn(F.col(n)).over(earlier).alias(f"_carry_{n}") for n, (fn, _, _) in aggregates.items()])
+    merged = local.join(carry, [key, "_part"])
+    kept = [F.col(c) for c in rows.columns]
+    return merged.select(
+        *kept,
+        *[F.when(F.col(f"_carry_{n}").isNull(), F.col(n)).otherwise(both(F.col(n), F.col(f"_carry_{n}"))).alias(n) for n, (_, _, both) in aggregates.items()],
+    )
+
+
 def global_index(df: DataFrame, order: list[Column], name: str, stage) -> DataFrame:
     """Dense 0-based index along ``order`` without a single-task window.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ringweave.llm import ann, bpe, html_extract, langid, maxent_lm, mixing, simhash, token_count, token_pack, vector_dedup, whitening
+from ringweave.llm import ann, bpe, html_extract, langid, maxent_lm, mixing, prefix_trie, simhash, token_count, token_pack, vector_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_extract.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": maxent_lm.op8,
     "op9_bpe_encoding_decoding": bpe.op9,
     "op10_nearest_neighbours": ann.op10,
+    "op12_conversation_trie": prefix_trie.op12,
     "op13_embedding_whitening": whitening.op13,
     "pipeline": corpus_pipeline.run,
 }
@@ -28,6 +29,31 @@ USABLE = """
           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 """
 
+# crc32 of each id, byte by byte from a table made by its rule, then every prefix as a list of turns
+TRIE = """
+    WITH RECURSIVE bits(i, v, k) AS (
+        SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+        UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+    crc AS (SELECT i, v FROM bits WHERE k = 8),
+    steps(c, s, pos, v) AS (
+        SELECT conv_id, conv_id::VARCHAR, 1, 4294967295::BIGINT FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+        UNION ALL SELECT c, s, pos + 1, xor(crc.v, steps.v >> 8) FROM steps JOIN crc ON crc.i = xor(steps.v & 255, ord(substr(s, pos, 1))) WHERE pos <= length(s)),
+    convs AS (SELECT c, xor(v, 4294967295) % 6 AS h, c - c % 100 AS base FROM steps WHERE pos = length(s) + 1),
+    turns AS (SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+              FROM conversations WHERE conv_id IS NOT NULL),
+    lists AS (SELECT c, list(x ORDER BY i) AS xs FROM turns GROUP BY c),
+    built AS (SELECT convs.c, list_concat(coalesce(b.xs, [])[1:h], own.xs[h + 1:]) AS xs FROM convs JOIN lists own USING (c) LEFT JOIN lists b ON b.c = base),
+    visits AS (SELECT c, d, xs[1:d] AS p, d = len(xs) AS ends FROM (SELECT c, xs, unnest(range(len(xs) + 1)) AS d FROM built)),
+    nodes AS (SELECT d, p, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS h,
+                     CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(p[-1].t) END AS saved FROM visits GROUP BY d, p),
+    kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+    below AS (SELECT up.d, up.p, count(*) FILTER (kids.k IS NULL) AS leaves, sum(x.saved) AS saved
+              FROM (SELECT d, p, saved, unnest(range(d + 1)) AS a FROM nodes) x JOIN nodes up ON up.d = a AND up.p = x.p[1:a] LEFT JOIN kids ON kids.d = x.d AND kids.p = x.p GROUP BY up.d, up.p)
+    SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, below.saved::BIGINT AS saved_tokens, n.h AS ends_sha256
+    FROM nodes n JOIN below ON below.d = n.d AND below.p = n.p LEFT JOIN kids ON kids.d = n.d AND kids.p = n.p LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""
+
 # The others tokenize, train or draw, which SQL cannot express; tests/llm holds them against brute force.
 # Answers of op10 are those found; on tables of a few thousand vectors its probes reach every bucket.
 ORACLES: dict[str, str] = {
@@ -46,4 +72,5 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM pairs)
         SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 10
     """,
+    "op12_conversation_trie": TRIE,
 } | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})

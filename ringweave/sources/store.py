@@ -278,6 +278,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(hadoop_path)] if files.exists(hadoop_path) else []
+
+
 def save_graph(nodes: DataFrame, links: DataFrame, folder: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
     links.write.mode("overwrite").parquet(f"{folder}/links")

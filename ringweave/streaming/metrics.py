@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from ringweave import config as C
 from ringweave.operators.ops_metrics import score_drift
 from ringweave.session import stage
+from ringweave.sources.store import first_arrivals
 from ringweave.streaming.ingest import BatchTable, drain
+from ringweave.streaming.state import IdLedger
 
 
-def stream_dedupe(stream: DataFrame, delay: str, folder: str) -> DataFrame:
-    """Event ids seen once within the watermark; state is bounded by the delay."""
-    table = BatchTable(stream.sparkSession, f"{folder}/ids")
-    unique = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    drain(unique, table.put, f"{folder}/checkpoint")
-    return table.all().drop("batch")
+class DedupeStream:
+    """First arrivals of event ids; copies are dropped however late they come."""
+
+    def __init__(self, spark: SparkSession, folder: str, bucket_rows: int | None = None) -> None:
+        self.ids = IdLedger(spark, f"{folder}/ids", bucket_rows=bucket_rows)
+        self.rows = BatchTable(spark, f"{folder}/rows")
+        self._checkpoint = f"{folder}/checkpoint"
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        arrived = stage(batch, "arrived")
+        first = stage(first_arrivals(self.ids.fresh(arrived, batch_id), "ts"), "first_arrivals")
+        self.ids.put(first.select("event_id"), batch_id)
+        self.rows.put(first, batch_id)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        drain(stream, self.handle, self._checkpoint)
+        return self.rows.all().drop("batch")
 
 
 def stream_velocity(stream: DataFrame, delay: str, folder: str, width: str = "72 hours", slide: str = "24 hours") -> DataFrame:
     """Distinct merchants per customer and sliding window.
 
     State is one small row per (customer, merchant, window), so a busy customer
-    spreads over many rows; merchants are counted when the table is read.
+    spreads over many rows; Spark drops a window's rows when the watermark
+    passes its end. Merchants are counted when the table is read. A restart
+    goes on from the folder's checkpoint.
     """
     table = BatchTable(stream.sparkSession, f"{folder}/uses")
     uses = (

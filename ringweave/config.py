@@ -103,5 +103,8 @@ EPOCH_GAIN = 10
 # customers active on more (merchant, day) pairs than this are counted once for
 # all the clusters they belong to
 HEAVY_CUSTOMER_SPANS = 20_000
+# blocks of 32,768 merchants in which a customer has this many are held as a
+# bitmap of 4,096 bytes, others as a list of at most as many bytes
+DENSE_MERCHANTS = 512
 FOREVER = 2**63 - 1
 BEFORE_ALL = -(2**62)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ringweave import config as C
 from ringweave.functions.normalize import node_value
 from ringweave.operators.links import explode_entities
-from ringweave.operators.scan import hot_keys, running
+from ringweave.operators.scan import global_index, hot_keys, running
+from ringweave.session import stage
 
 DELTA, TOUCH, PROBE = 0, 1, 2
 
@@ -309,11 +310,35 @@ def current_counts(links: DataFrame) -> DataFrame:
     entity_links = links.where(F.col("ntype") != "merchant").select("customer_id", "ntype", "node")
     merchants = links.where(F.col("ntype") == "merchant").select("customer_id", F.col("node").alias("merchant"))
     degree = entity_links.groupBy("ntype", "node").agg(F.count(F.lit(1)).alias("linked_identity_count"))
-    fanout = (
-        entity_links.join(merchants, "customer_id")
-        .select("node", "merchant")
-        .distinct()
-        .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("merchant_count"))
+    return degree.join(merchant_unions(entity_links.select("customer_id", "node"), merchants), "node")
+
+
+def merchant_unions(entity_links: DataFrame, merchants: DataFrame, dense: int = C.DENSE_MERCHANTS) -> DataFrame:
+    """``node, merchant_count``: different merchants of an entity's customers.
+
+    Merchants get dense numbers, and a customer's numbers are held in blocks
+    of 32,768. A block with ``dense`` or more of them is one bitmap, one with
+    fewer lists them, so a link brings at most ``dense`` rows a block. Entities
+    of one customer take that customer's count. Both inputs hold a pair once.
+    """
+    numbers = global_index(merchants.select("merchant").distinct(), [F.col("merchant")], "no", stage)
+    uses = merchants.join(numbers, "merchant").select(
+        "customer_id", F.bitmap_bucket_number(F.col("no") + 1).alias("block"), F.bitmap_bit_position(F.col("no") + 1).alias("bit")
     )
-    return degree.join(fanout, "node")
+    uses = stage(uses, "merchant_numbers")
+    own = uses.groupBy("customer_id").agg(F.count("*").alias("merchant_count"))
+    few = entity_links.groupBy("node").agg(F.count("*").alias("customers"), F.min("customer_id").alias("customer_id"))
+    single = few.where("customers = 1").join(own, "customer_id").select("node", "merchant_count")
+
+    shared = entity_links.join(few.where("customers > 1").select("node"), "node").select("node", "customer_id")
+    sizes = uses.groupBy("customer_id", "block").agg(F.count("*").alias("size"))
+    full = sizes.where(F.col("size") >= dense).select("customer_id", "block")
+    maps = uses.join(full, ["customer_id", "block"], "left_semi").groupBy("customer_id", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    maps = stage(shared.join(maps, "customer_id").groupBy("node", "block").agg(F.bitmap_or_agg("bits").alias("bits")), "merchant_bitmaps")
+    listed = uses.join(full, ["customer_id", "block"], "left_anti")
+    listed = stage(shared.join(listed, "customer_id").select("node", "block", "bit").distinct(), "merchant_lists")
+    beside = listed.join(maps.select("node", "block"), ["node", "block"], "left_semi").groupBy("node", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    united = maps.unionByName(beside).groupBy("node", "block").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    plain = listed.join(maps.select("node", "block"), ["node", "block"], "left_anti").groupBy("node", "block").agg(F.count("*").alias("n"))
+    counted = united.unionByName(plain).groupBy("node").agg(F.sum("n").alias("merchant_count"))
+    return single.unionByName(counted)

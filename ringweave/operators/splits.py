@@ -24,38 +24,49 @@ def identity_keys(events: DataFrame, normalized: bool = False) -> DataFrame:
     return source.select("event_id", "customer_id", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
-def identity_components(keys: DataFrame, stage: Callable, max_rounds: int = 60) -> DataFrame:
+def identity_components(keys: DataFrame, stage: Callable) -> DataFrame:
     """(customer_id, component): connected customers, named by the smallest id.
 
-    Works on customer-key links (unique pairs), star by star: every key and then
-    every customer takes the smallest label seen, and labels are shortened by
-    following them (pointer jumping), so rounds grow with the log of the
-    longest chain. Each round only aggregates minima; a hot key is combined
-    before the shuffle.
+    By contraction. A key becomes links from its customers to the smallest of
+    them. Each round hooks every customer to its smallest neighbour, follows
+    the hooks to the customers that have no smaller one, and rewrites the links
+    to those: hooked customers and links inside a group leave, repeated links
+    merge. Rounds end when no link is left; the hooks are then read backwards.
+    A key or customer with very many links is only ever combined to a minimum
+    or joined to one row.
     """
     links = stage(keys.where(~F.col("key").startswith("customer:")).select("customer_id", "key").distinct(), "identity_links")
-    labels = stage(keys.select("customer_id").distinct().withColumn("component", F.col("customer_id")), "labels")
-    for _ in range(max_rounds):
-        by_key = links.join(labels, "customer_id").groupBy("key").agg(F.min("component").alias("component"))
-        offered = links.join(by_key, "key").groupBy("customer_id").agg(F.min("component").alias("offer"))
-        lowered = labels.join(offered, "customer_id", "left").select(
-            "customer_id", "component", F.least("component", "offer").alias("lower")
-        )
-        # a lower label of any member lowers the whole former component
-        roots = lowered.groupBy("component").agg(F.min("lower").alias("root"))
-        step = stage(
-            lowered.join(roots, "component").select("customer_id", F.col("component").alias("old"), F.col("root").alias("component")),
-            "labels",
-        )
-        jump = step.select(F.col("customer_id").alias("component"), F.col("component").alias("far"))
-        moved = step.join(jump, "component", "left").select(
-            "customer_id", F.least("component", "far").alias("component"), "old"
-        )
-        labels = stage(moved, "labels")
-        if labels.where("component <> old").isEmpty():
-            return labels.select("customer_id", "component")
-        labels = labels.select("customer_id", "component")
-    raise RuntimeError("components did not settle")
+    least = links.groupBy("key").agg(F.min("customer_id").alias("b"))
+    edges = links.join(least, "key").select(F.col("customer_id").alias("a"), "b").where("a <> b").distinct()
+    edges = stage(edges, "component_links")
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+        hooks = _followed(stage(hooks, "component_hooks"), stage)
+        rounds.append(hooks)
+        left = edges.join(hooks.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+        ends = left.join(hooks.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        edges = stage(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "component_links")
+    customers = keys.select("customer_id").distinct()
+    if not rounds:
+        return stage(customers.withColumn("component", F.col("customer_id")), "components")
+    labels = rounds.pop()
+    while rounds:  # the later rounds' few customers name the roots of the earlier ones
+        later = labels.select(F.col("node").alias("root"), F.col("root").alias("final"))
+        labels = stage(rounds.pop().join(later, "root", "left").select("node", F.coalesce("final", "root").alias("root")), "component_hooks")
+    named = customers.join(labels.withColumnRenamed("node", "customer_id"), "customer_id", "left")
+    return stage(named.select("customer_id", F.coalesce("root", "customer_id").alias("component")), "components")
+
+
+def _followed(hooks: DataFrame, stage: Callable) -> DataFrame:
+    """Hooks that lead to customers without a smaller neighbour; path lengths halve each time."""
+    while True:
+        up = hooks.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        moved = stage(hooks.join(up, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "component_hooks")
+        hooks = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return hooks
 
 
 # --- greedy allocation ------------------------------------------------------

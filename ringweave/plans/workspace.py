@@ -73,7 +73,7 @@ class Workspace:
 
     @cached_property
     def components(self) -> DataFrame:
-        return stage(splits.identity_components(splits.identity_keys(self.payments), stage), "components")
+        return splits.identity_components(splits.identity_keys(self.payments), stage)
 
     @cached_property
     def split_labels(self) -> DataFrame:

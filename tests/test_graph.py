@@ -1,5 +1,6 @@
 """Hand-built graphs with known answers."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -54,6 +55,36 @@ def test_snapshot_is_stale_until_the_next_touch(spark):
     assert SN.current_counts(early.links).first().merchant_count == 2
 
 
+@pytest.mark.parametrize("dense", [1, 7, 512])
+def test_merchant_unions_equal_sets(spark, dense):
+    r = random.Random(dense)
+    merchants = {(f"c{c}", f"m{r.randrange(40_000)}") for c in range(30) for _ in range(r.choice((1, 5, 60)))}
+    merchants |= {("c3", f"m{i}") for i in range(0, 40_000, 13)} | {("c4", f"m{i}") for i in range(0, 40_000, 17)}
+    links = {(f"c{r.randrange(30)}", f"d{r.randrange(25)}") for _ in range(70)} | {("c3", f"x{i}") for i in range(50)} | {("c4", f"x{i}") for i in range(50)}
+    links |= {("nobody", "d1")}
+    found = SN.merchant_unions(spark.createDataFrame(sorted(links), "customer_id string, node string"), spark.createDataFrame(sorted(merchants), "customer_id string, merchant string"), dense)
+    want = {}
+    for c, n in links:
+        want.setdefault(n, set()).update(m for o, m in merchants if o == c)
+    assert {x.node: x.merchant_count for x in found.collect()} == {n: len(m) for n, m in want.items() if m}
+
+
+def test_heavy_customers_list_no_pairs(spark, monkeypatch):
+    """Two customers of 20,000 merchants on 200 shared devices: bitmaps, not 4 million pairs."""
+    written = {}
+
+    def counted(df, name):
+        out = stage(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(SN, "stage", counted)
+    merchants = spark.range(40_000).select(F.concat(F.lit("c"), F.col("id") % 2).alias("customer_id"), F.concat(F.lit("m"), F.col("id")).alias("merchant"))
+    links = spark.range(400).select(F.concat(F.lit("c"), F.col("id") % 2).alias("customer_id"), F.concat(F.lit("d"), F.floor(F.col("id") / 2)).alias("node"))
+    assert {tuple(r)[1] for r in SN.merchant_unions(links, merchants).collect()} == {40_000}
+    assert written["merchant_lists"] == 0 and written["merchant_bitmaps"] == 200 * 2
+
+
 def test_taint_levels_and_reach(spark):
     pair = LinkGraph(events(spark, [(0, "c1", "m1", {"device": "d", "outcome": "chargeback"}), (1, "c2", "m2", {"device": "d"})]))
     nodes = nodes_of(pair)

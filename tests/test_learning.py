@@ -54,6 +54,29 @@ def test_components_of_chain_star_and_loner(spark):
     assert {got[c] for c in order} == {"c000"} and {got[f"s{i}"] for i in range(50)} == {"s0"} and got["z"] == "z"
 
 
+def test_links_fall_round_by_round(spark):
+    """A falling chain, a tree and a dense group: no link is carried that lies inside a group."""
+    r, sizes = random.Random(4), []
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "component_links":
+            sizes.append(out.count())
+        return out
+
+    chain = [(f"a{i:04d}", f"k{j}") for i in range(300) for j in (i, i + 1)]
+    tree = [(f"t{i:03d}", f"t{j}") for i in range(1, 200) for j in (i, i // 2)]
+    dense = [(f"g{i:02d}", f"g{r.randrange(40)}") for i in range(40) for _ in range(8)]
+    got = {x.customer_id: x.component for x in SP.identity_components(keys_frame(spark, chain + tree + dense), counted).collect()}
+    assert {got[f"a{i:04d}"] for i in range(300)} == {"a0000"} and {got[f"t{i:03d}"] for i in range(1, 200)} == {"t001"}
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 0 and len(set(sizes)) == len(sizes) <= 7
+
+
+def test_components_without_links(spark):
+    assert {tuple(x) for x in SP.identity_components(keys_frame(spark, [("a", "x"), ("b", "y")]), stage).collect()} == {("a", "a"), ("b", "b")}
+    assert SP.identity_components(keys_frame(spark, [("a", "x")]).limit(0), stage).collect() == []
+
+
 def test_leak_is_reported(spark):
     keys = spark.createDataFrame([("e1", "c1", "customer:c1"), ("e2", "c1", "customer:c1")], "event_id string, customer_id string, key string")
     split = spark.createDataFrame([("e1", "train"), ("e2", "test")], "event_id string, split string")

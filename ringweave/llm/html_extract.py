@@ -82,6 +82,7 @@ class Open:
     name: str
     start: int  # how many features of open elements come before its own
     parts: tuple[str, ...] = ()  # the last two sectioning elements from the root to this one
+    names: tuple[str, ...] = ()  # the nearest element that sections, hides or has class, id or role
 
 
 def named(attrs: str) -> tuple[str, ...]:
@@ -152,7 +153,7 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
             top = stack[-1]
             path = ("", *top.parts)[-2:]
             places = [f"under {' > '.join(path)}", f"nearest {path[-1]} {top.name}", f"nearest {path[-1]}"]
-            out.append(Block(text, [*active, *places, f"tag {top.name}", *text_features(text, linked / max(len(raw), 1))]))
+            out.append(Block(text, [*active, *places, *top.names, f"tag {top.name}", *text_features(text, linked / max(len(raw), 1))]))
         parts.clear()
         linked = 0
 
@@ -196,10 +197,11 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
                     if stack[i].name in ends:
                         close(i)
                     i -= 1
-                above = stack[-1].parts
-                stack.append(Open(name, len(active), (*above, name)[-2:] if name in SECTIONS else above))
+                above, features = stack[-1], element_features(name, attrs)
+                own = tuple([f"own {f}" for f in features if f[:2] != "in" or name in SECTIONS])
+                stack.append(Open(name, len(active), (*above.parts, name)[-2:] if name in SECTIONS else above.parts, own or above.names))
                 opened[name] += 1
-                for f in element_features(name, attrs):
+                for f in features:
                     if known is None or f in known:
                         active.setdefault(f)
     parts.append(page[at:])
@@ -211,7 +213,7 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
 
 def text_features(text: str, linked: float) -> list[str]:
     words = text.count(" ") + 1
-    letters = [c for c in text[:200] if c.isalpha()]
+    letters = [c for c in text if c.isalpha()]
     return [
         f"words {min(words, 64).bit_length()}",
         f"linked {min(4, int(linked * 5))}",
@@ -319,6 +321,8 @@ PARTS = {
     "share": "share sharing social follow facebook twitter related recommended more next prev pagination pager author bio byline meta",
 }
 HOMES = "content main article post entry story body text page prose copy articlebody"
+HIDDEN = (" hidden", ' aria-hidden="true"', ' style="display:none"', ' style="color:red; display: none;"')
+INSIDE = ("ad", "ad", "ad", "share", "aside", "form", "notice", "nav", "comments", "comments", "hidden")  # what articles hold that is not theirs
 NEUTRAL = "wrapper container row col inner outer box block clearfix grid section left right module item view region"
 MARKS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section", "ad": "aside", "notice": "div", "share": "div"}
 
@@ -355,35 +359,46 @@ class PageMaker:
             yield -1, "</header>"
         for _ in range(r.randint(1, 14)):
             kind = r.random()
-            if kind < 0.66:
+            if kind < 0.6:
                 text = self.sentence() if r.random() < 0.75 else self.words(1, 6).capitalize() + r.choice([".", "", "!"])
                 if r.random() < 0.2:
                     text += f' <a href="/x">{self.words(1, 4)}</a> {self.words(1, 8)}.'
                 if r.random() < 0.1:
                     text = text.upper()
-                yield 1, f"<p>{text}" + r.choice(["</p>", "</p>", "</p>", "<br>", ""])
-            elif kind < 0.74:
+                box = r.choice(["p"] * 9 + ["div"])
+                yield 1, f"<{box}>{text}" + (r.choice(["</p>", "</p>", "</p>", "<br>", ""]) if box == "p" else "</div>")
+            elif kind < 0.67:
                 yield 1, f"<h{(h := r.randint(2, 4))}>{self.words(1, 7)}</h{h}>"
-            elif kind < 0.82:
+            elif kind < 0.74:
                 for _ in range(r.randint(2, 5)):
                     yield 1, f"<li>{self.words(2, 14)}</li>"
-            elif kind < 0.87:
+            elif kind < 0.79:
                 yield 1, f"<blockquote>{self.sentence()}</blockquote>"
-            elif kind < 0.9:
+            elif kind < 0.82:
                 yield 1, f"<pre>{self.words(3, 20)}</pre>"
-            elif kind < 0.93:
+            elif kind < 0.85:
                 for _ in range(r.randint(2, 6)):
                     yield 1, f"<td>{self.words(1, 4)}</td>"
             else:
-                yield from self.part(r.choice(["ad", "share", "aside", "form", "notice", "nav"]))
+                yield from self.part(r.choice(INSIDE))
         if r.random() < 0.1:
             yield from self.part(r.choice(["footer", "comments", "share"]))
 
     def part(self, kind: str) -> Iterator[tuple[int, str]]:
         """Something that is no article; its text may look like one."""
         r = self.r
-        semantic = r.random() < (0.7 if kind in ("header", "nav", "footer") else 0.4)
+        if kind == "hidden":  # looks like the article
+            tag = r.choice(["div", "div", "section", "p"])
+            count = 1 if tag == "p" else r.randint(1, 4)
+            yield -1, f"<{tag}{r.choice(HIDDEN)}>"
+            for _ in range(count):
+                yield 0, self.sentence() if tag == "p" else f"<p>{self.sentence()}</p>"
+            yield -1, f"</{tag}>"
+            return
+        semantic = r.random() < (0.7 if kind in ("header", "nav", "footer") else 0.2 if kind == "ad" else 0.4)
         tag = MARKS[kind] if semantic else "div"
+        if kind in ("comments", "ad") and not semantic:
+            tag = r.choice({"comments": ["div", "div", "ol", "ul"], "ad": ["div", "div", "p", "ins"]}[kind])
         name = "" if semantic and MARKS[kind] not in ("div", "section") and r.random() < 0.5 else self.named(PARTS[kind])
         yield -1, f"<{tag}{name}>"
         if r.random() < (0.5 if kind == "header" else 0.2):
@@ -393,7 +408,8 @@ class PageMaker:
             if kind == "nav" or shape < 0.25:
                 yield 0, f'<li><a href="/{r.randint(0, 99)}">{self.words(1, 3)}</a></li>'
             elif kind == "comments" or shape < 0.6:
-                yield 0, f"<p>{self.sentence()}</p>"
+                text = f"<p>{self.sentence()}</p>"
+                yield 0, f"<li>{text}</li>" if tag in ("ol", "ul") else text if tag != "p" else self.sentence() + "<br><br>"
             elif kind == "footer" and shape < 0.8:
                 yield 0, f"<p>&copy; {self.words(1, 9)}</p>"
             elif kind == "form":
@@ -409,12 +425,12 @@ class PageMaker:
         r = self.r
         if r.random() < 0.05:  # a bare text
             return [(1, self.sentence())] if r.random() < 0.4 else [(1, f"<p>{self.sentence()}</p>") for _ in range(r.randint(1, 5))]
-        before = [k for k in ("header", "nav", "notice", "ad", "share", "form", "aside") if r.random() < 0.45]
-        after = [k for k in ("share", "comments", "aside", "ad", "nav", "form", "notice", "footer") if r.random() < 0.45]
+        before = [k for k in ("header", "nav", "notice", "ad", "share", "form", "aside", "hidden") if r.random() < (0.15 if k == "hidden" else 0.45)]
+        after = [k for k in ("share", "comments", "aside", "ad", "nav", "form", "notice", "footer", "hidden") if r.random() < (0.15 if k == "hidden" else 0.45)]
         r.shuffle(before)
-        home = r.choice(["article", "article", "main", "named", "both", "plain", "none"])
-        opens = {"article": "<article>", "main": "<main>", "named": f"<div{self.named(HOMES)}>", "both": f"<main><article{self.named(HOMES)}>", "plain": "<div>", "none": ""}[home]
-        closes = {"article": "</article>", "main": "</main>", "named": "</div>", "both": "</article></main>", "plain": "</div>", "none": ""}[home]
+        home = r.choice(["article", "article", "article", "main", "main", "named", "named", "both", "both", "plain", "none", "section", "cell"])
+        opens = {"article": "<article>", "main": "<main>", "named": f"<div{self.named(HOMES)}>", "both": f"<main><article{self.named(HOMES)}>", "plain": "<div>", "none": "", "section": f"<section{self.named(HOMES)}>", "cell": "<table><tr><td>"}[home]
+        closes = {"article": "</article>", "main": "</main>", "named": "</div>", "both": "</article></main>", "plain": "</div>", "none": "", "section": "</section>", "cell": "</td></tr></table>"}[home]
         out: list[tuple[int, str]] = [(-1, "<html><head><title>x</title></head><body>")]
         if wrapped := r.random() < 0.4:
             out.append((-1, f"<div{self.named(NEUTRAL)}>"))

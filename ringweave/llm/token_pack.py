@@ -39,6 +39,8 @@ HEADER = struct.Struct("<8sIIIQQQ")  # magic, bits, ids a block, vocabulary size
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 25
 END_ID = 1
+#: characters of texts that are encoded together, and ids that a reader unpacks at once
+GROUP_CHARS, READ_IDS = 1 << 18, 1 << 20
 MEMO = 300_000
 TAIL = ".,;:!?*#$%&|"
 
@@ -159,6 +161,8 @@ class SpacedEncoder:
         self.tokenizer.no_padding()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
+        self.ends_word = np.zeros(self.vocab_size, bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
         self.memo, self.parts = Recent(MEMO), Recent(MEMO // 2)
 
     def learn(self, chunks: list[str]) -> None:
@@ -167,12 +171,31 @@ class SpacedEncoder:
         wanted = set(chain.from_iterable(cut))
         self.parts.room(len(wanted))
         new = self.parts.missing(wanted)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts.young[p] = np.array(e.ids, self.kind).tobytes()
+        words = [p for p in new if p.isalpha()]
+        self.learn_words(words)
+        others = [p for p in new if not p.isalpha()] if len(words) < len(new) else []
+        self.learn_parts(others)
         known, young = self.parts.young, self.memo.young
         for c, (a, b) in zip(chunks, cut, strict=True):
             young[c] = known[a] + known[b]
 
+    def learn_parts(self, new: list[str]) -> None:
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts.young[p] = np.array(e.ids, self.kind).tobytes()
+
+    def learn_words(self, new: list[str]) -> None:
+        """Words in one text: every pre-token has one id that ends it, so as many such ids as words mean one pre-token a word."""
+        for lo in range(0, len(new), 512):
+            some = new[lo : lo + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1) * self.kind.itemsize
+            if len(stops) != len(some):
+                self.learn_parts(some)
+                continue
+            data, young = ids.tobytes(), self.parts.young
+            for p, a, z in zip(some, [0, *stops.tolist()], stops.tolist(), strict=False):
+                young[p] = data[a:z]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plans = [t.replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*plans)
@@ -183,6 +206,20 @@ class SpacedEncoder:
         get = self.memo.young.__getitem__
         return [b"".join(map(get, p)) for p in plans]
 
+    def whole(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; short texts are encoded together, long ones a segment at a time."""
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo + 1, len(texts[lo] or "")
+            if chars > GROUP_CHARS:
+                yield self.ids(texts[lo])
+            else:
+                while hi < len(texts) and (chars := chars + len(texts[hi] or "")) <= GROUP_CHARS:
+                    hi += 1
+                for data in self.encode([t or "" for t in texts[lo:hi]]):
+                    yield np.frombuffer(data, self.kind)
+            lo = hi
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode([s])[0] for s in segments(text or "")), self.kind)
 
@@ -231,8 +268,8 @@ def write_packed(df: DataFrame, spec: str, folder: str, id_col: str = "doc_id",
 
         end = np.array([end_id], encoder.kind)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(key, np.concatenate([encoder.ids(text), end]))
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.whole(batch.column(1).to_pylist()), strict=True):
+                packer.add(key, np.concatenate([ids, end]))
                 if packer.total >= file_ids:
                     flush()
         if packer.sizes:
@@ -249,6 +286,25 @@ def with_starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def checksums(file: PackedFile) -> list[int]:
+    """crc32 of each document's ids as 32-bit integers, ``READ_IDS`` ids at a time."""
+    crcs, lo, n_docs = [], 0, len(file.keys)
+    while lo < n_docs:
+        base = int(file.starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(file.starts, base + READ_IDS, "right")) - 1)
+        if hi == lo + 1:  # perhaps a long one
+            crc = 0
+            for a in range(base, int(file.starts[hi]), READ_IDS):
+                crc = zlib.crc32(file.ids(a, min(a + READ_IDS, int(file.starts[hi]))).astype("<u4").tobytes(), crc)
+            crcs.append(crc)
+        else:
+            raw = memoryview(file.ids(base, int(file.starts[hi])).astype("<u4").tobytes())
+            ends = ((file.starts[lo : hi + 1] - base) * 4).tolist()
+            crcs += [zlib.crc32(raw[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
+        lo = hi
+    return crcs
+
+
 def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files."""
 
@@ -258,19 +314,14 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with fs.open_input_file(path) as source:
                     file = PackedFile(source)
-                    crcs = []
-                    for lo in range(0, len(file.keys), 4096):  # a stretch of documents at a time
-                        hi = min(lo + 4096, len(file.keys))
-                        base = int(file.starts[lo])
-                        raw = memoryview(file.ids(base, int(file.starts[hi])).astype("<u4").tobytes())
-                        ends = ((file.starts[lo : hi + 1] - base) * 4).tolist()
-                        crcs += [zlib.crc32(raw[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
+                    crcs = checksums(file)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(file.keys, pa.int64()), pa.array(file.starts[:-1] + before), pa.array(np.diff(file.starts)), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return with_starts(manifest).select("path", "start").repartition("path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = max(1, manifest.count())
+    return with_starts(manifest).select("path", "start").repartition(files, "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def vocabulary(path: str | None = None) -> str:

@@ -43,6 +43,7 @@ END_ID = 1
 GROUP_CHARS, READ_IDS = 1 << 18, 1 << 20
 MEMO = 300_000
 TAIL = ".,;:!?*#$%&|"
+MARKS = frozenset(TAIL)
 
 
 def width_of(vocab_size: int) -> int:
@@ -167,7 +168,7 @@ class SpacedEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """A chunk is its ids up to closing ASCII marks, then those of the marks: marks and letters never share a pre-token."""
-        cut = [(c[:n], c[n:]) if (n := len(c.rstrip(TAIL))) and c[n - 1].lower()[-1].isalpha() else (c, "") for c in chunks]
+        cut = [(c, "") if c[-1:] not in MARKS else (c[:n], c[n:]) if (n := len(c.rstrip(TAIL))) and c[n - 1].lower()[-1].isalpha() else (c, "") for c in chunks]
         wanted = set(chain.from_iterable(cut))
         self.parts.room(len(wanted))
         new = self.parts.missing(wanted)

@@ -11,7 +11,8 @@ A fixed number of buckets is an ever smaller share of a growing table. So the
 true neighbours of SAMPLE queries a vector length, chosen by a hash over all,
 are found by comparison with all rows, and tables and probes grow from TABLES and
 PROBES until RECALL of them lie in probed buckets, by two standard errors. Where that
-would take as many comparisons as there are rows, queries are compared with all.
+would take as many comparisons as there are rows, as on small tables, queries probe
+every key of one table and so find all.
 
 Rows of one vector are one entry of the index, which keeps the smallest ids: no
 answer can need more. Buckets with many entries or queries are cut into blocks, and
@@ -33,7 +34,7 @@ from ringweave.llm.vector_dedup import usable
 from ringweave.session import stage
 
 TABLES, PROBES, BUCKET = 8, 8, 512  # the least tables times probes, and entries a bucket
-RECALL, SAMPLE, MOST_TABLES = 0.9, 256, 32
+RECALL, SAMPLE, MOST_TABLES, MOST_PROBES = 0.9, 256, 32, 4096
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 SEED = 10
 
@@ -193,8 +194,9 @@ def calibrated(pairs: list[tuple[np.ndarray, np.ndarray]], n: int, tables: int,
     """Tables and probes of the least product, ``tables * probes`` at least, that find ``recall`` of the true neighbours.
 
     ``pairs`` are queries and their true neighbours among ``n`` entries. The mean over
-    queries has to exceed ``recall`` by two standard errors. None: comparison with
-    all entries takes no more.
+    queries has to exceed ``recall`` by two standard errors. Where that takes as many
+    comparisons as there are entries, all keys of one table are probed, which finds
+    every entry. None: those are more than ``MOST_PROBES``.
     """
     if not pairs:
         return tables, probes
@@ -219,7 +221,9 @@ def calibrated(pairs: list[tuple[np.ndarray, np.ndarray]], n: int, tables: int,
                 found = count * looks, count, min(looks, keys)
                 break
             looks = max(looks + 1, int(looks * 1.1))
-    return found and found[1:]
+    if found:
+        return found[1:]
+    return (1, keys) if keys <= MOST_PROBES else None
 
 
 def nearest_in_block(x: np.ndarray, nodes: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

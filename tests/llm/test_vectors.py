@@ -75,6 +75,25 @@ def test_neighbours_and_recall(spark):
     assert hits / (100 * 10) >= 0.9
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_small_tables_are_answered_by_probes(spark, monkeypatch, n):
+    """Buckets of some table are searched, and nothing is left for the comparison with all."""
+    seen, search = [], ann.search_blocks
+
+    def watched(placed, *rest):
+        seen.append({(r.turn, r.bucket) for r in placed.select("turn", "bucket").distinct().collect()})
+        return search(placed, *rest)
+
+    monkeypatch.setattr(ann, "search_blocks", watched)
+    x, df = clustered(spark, n, 16, 8)
+    found: dict = {}
+    for r in ann.neighbours(df, df.where("vec_id % 100 = 0")).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {i: [v for _, v in sorted(f)] for i, f in found.items()} == {i: brute_near(x, i)[0] for i in range(0, n, 100)}
+    keys = np.prod([2 * a for a in ann.axes_for(n, 16)])
+    assert len(seen) == 1 and len(seen[0]) == keys and min(seen[0])[0] >= 0
+
+
 def test_short_answers_are_completed(spark):
     """One probe of one table finds few; the exact search fills up to ten."""
     x, df = clustered(spark, 400, 8, 6)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ringweave.llm.common import Recent, documents, segments
+from ringweave.llm.common import Recent, documents, segments, tidy
 
 # fixed value: the published pre-token pattern of byte-level BPE
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -354,7 +354,7 @@ def digests(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

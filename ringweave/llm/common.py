@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,28 @@ class Recent:
             self.old, self.young = self.young, {}
 
 
+def give_back() -> None:
+    """Return memory that earlier work of this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A ``mapInArrow`` function that holds no memory of tasks before it and leaves none: workers serve many stages."""
+
+    def whole(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def crc_of(column: Column) -> Column:
     """crc32 of a value written as text; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

@@ -11,16 +11,16 @@ above a limit, calibrated on held-back training texts by length.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringweave.llm.bpe import groups
-from ringweave.llm.common import Recent, crc_of, documents, segments
+from ringweave.llm.common import Recent, crc_of, documents, segments, tidy
 
 ORDER = 5
 SAMPLE = 2000  # training texts of a language, about; chosen by a hash over all of them
@@ -30,7 +30,7 @@ REJECTED = 0.999  # quantile of calibration texts that are accepted ...
 SPARE_BITS = 2.5  # ... and this many bits a character on top: only text unlike any language goes
 SHARP = 40.0  # characters after which a posterior gets no sharper
 UNDECIDED = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}+")  # numerals and signs are no letters
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -218,7 +218,7 @@ def _words_table(sample: DataFrame) -> DataFrame:
                 word += found
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string())], ["lang", "word"])
 
-    return sample.mapInArrow(run, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return sample.mapInArrow(tidy(run), "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def train(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -258,7 +258,7 @@ def train(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
                 bits, n = model.text_entropies(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(bits.min(1)), pa.array(n)], ["bits", "n"])
 
-    held = chosen.where(hold).select("lang", "text").mapInArrow(measure, "bits double, n double").where("n > 0").toPandas()
+    held = chosen.where(hold).select("lang", "text").mapInArrow(tidy(measure), "bits double, n double").where("n > 0").toPandas()
     if len(held):
         mean = float(np.average(held.bits, weights=held.n))
         spread = float(np.quantile((held.bits - mean) * np.sqrt(held.n), REJECTED))
@@ -283,7 +283,7 @@ def predictions(df: DataFrame, model: Model, text_col: str = "text", keep: tuple
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*keep, "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -206,14 +206,11 @@ class Mix:
     def mixed_documents(self) -> DataFrame:
         """Documents as often as drawn, shard by shard, shuffled inside a shard (needs ``keep_text``).
 
-        A document taken in part keeps its first words, joined by single spaces.
+        Documents are taken whole: the one that a source's target cuts is there if half of it or more was to be taken.
         """
         t, r = self.table, self.rows.select(F.col("row").alias("r"), "shard", "place", "words")
-        cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("words").cast("int")), " ")
-        text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
-        n_chars = F.when(F.col("words") < F.col("size"), F.length("cut").cast("long")).otherwise(F.col("n_chars"))
-        out = t.join(r, t.row == r.r).withColumn("cut", text).repartition("shard").sortWithinPartitions("shard", "place", "row")
-        return out.select("doc_id", F.col("cut").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+        out = t.join(r, t.row == r.r).where(F.col("words") * 2 >= F.col("size"))
+        return out.repartition("shard").sortWithinPartitions("shard", "place", "row").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringweave.llm.bpe import groups
-from ringweave.llm.common import components, documents
+from ringweave.llm.common import components, documents, tidy
 from ringweave.session import stage
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -57,7 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (and the columns of ``keep``); ``fp`` is the fingerprint as a signed long.
 
     Texts that are null, empty or white space have fingerprint 0. Rows with
@@ -72,14 +72,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t) for some in groups(batch.column(1).to_pylist()) for t in some]
+            found = [fingerprint(t, shingle) for some in groups(batch.column(1).to_pylist()) for t in some]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
             if keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, "fp"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def golay_words() -> np.ndarray:
@@ -142,7 +142,7 @@ def fuzzy_rows(fps: DataFrame, every: bool, table: np.ndarray) -> DataFrame:
                 at = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fp[at]), pa.array(root[at])], ["key", "fp", "root"])
 
-    return fps.select("fp", "root").mapInArrow(run, "key bigint, fp bigint, root bigint")
+    return fps.select("fp", "root").mapInArrow(tidy(run), "key bigint, fp bigint, root bigint")
 
 
 def _near(a: Column, b: Column, most: int = MOST_BITS) -> Column:
@@ -190,10 +190,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame) -> DataFrame:
-    """Documents without their near copies: of each group the row of the smallest id stays, and of rows with that id one."""
+def one_of_each(df: DataFrame, shingle: int = 5) -> DataFrame:
+    """Documents without their near copies: of each group the row of the smallest id stays, and of rows with that id one.
+
+    Copies are fingerprints of ``shingle``-word shingles that link as in ``near_duplicates``.
+    """
     words = F.xxhash64(F.col("text").cast("string"))
-    prints = stage(fingerprints(df.withColumn("_words", words), keep=("_words",)).select("doc_id", "fp", "_words"), "prints")
+    prints = stage(fingerprints(df.withColumn("_words", words), keep=("_words",), shingle=shingle).select("doc_id", "fp", "_words"), "prints")
     found = grouped(prints)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_words")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best._words").alias("keep_words"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 import corpus_pipeline
@@ -144,16 +145,43 @@ def test_blocks_are_drawn_once_a_pass(docs):
     assert sorted(rows) == sorted(rows_of(mixing.Mix(docs, shards=3).rows.select("row", "pass", "shard")))
 
 
-def test_mixed_texts_have_the_words_taken(docs):
+JUNK = [
+    'div class="comments"', 'div class="user-comments"', 'ol class="comment-list"', 'section id="comments"', 'div class="ad-slot"', 'div class="advert"', "div hidden", 'div style="display:none"',
+    'div aria-hidden="true"', "aside", "nav", "footer", "form", 'div class="share-buttons"', 'div class="newsletter-signup"', 'div id="cookie-notice"',
+]
+REAL = [
+    "The council met on Tuesday to hear the plans for the old harbour, which has stood empty since the last ferry left.",
+    "Residents asked how long the works would take and who would pay for them; the answers came slowly.",
+    "A second meeting is planned for the spring, when the first drawings should be ready.",
+]
+NOISE = ["I was there and it was nothing like this, the whole thing took ten minutes.", "Great read, thank you for sharing this with all of us here today.", "Why does nobody ever ask the people who live on the quay about it?"]
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", '<div class="post-content">{}</div>', "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_hand_written_pages_lose_their_junk(frame, inside):
+    """Layouts that the generator does not make: three lines of junk between real paragraphs or after the article."""
+    field, kept = html_extract.trained(), []
+    for junk in JUNK:
+        tag = junk.split()[0]
+        lines = "".join(f"<li>{x}</li>" if tag == "ol" else f"<p>{x}</p>" for x in NOISE)
+        block, real = f"<{junk}>{lines}</{tag}>", [f"<p>{x}</p>" for x in REAL]
+        body = frame.format(f"<h1>The old harbour</h1>{real[0]}{real[1]}{block}{real[2]}") if inside else frame.format("<h1>The old harbour</h1>" + "".join(real)) + block
+        page = f'<html><head><title>t</title></head><body><header><a href="/">Daily</a></header>{body}<footer>&copy; 2026 Daily</footer></body></html>'
+        if html_extract.main_texts(field, [page])[0] != "\n".join(["The old harbour", *REAL]):
+            kept.append(junk)
+    assert kept == []
+
+
+def test_mixed_texts_are_whole(docs):
     mix = mixing.Mix(docs, shards=3, keep_text=True)
+    texts = {r.doc_id: r.text for r in docs.collect()}
     want = Counter()
     for r in mix.rows.collect():
-        want[r.doc_id] += r.words
-    got = Counter()
-    for r in mix.mixed_documents().collect():
-        got[r.doc_id] += len(WORD.findall(r.text))
-        assert r.n_chars == len(r.text)
-    assert got == want
+        want[r.doc_id] += 2 * r.words >= len(WORD.findall(texts[r.doc_id]))
+    found = mix.mixed_documents().collect()
+    assert Counter(r.doc_id for r in found) == +want
+    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in found)
 
 
 def test_mixing_odd_documents(odd_docs, no_docs):
@@ -228,11 +256,11 @@ def test_languages_of_few_texts_are_learned(spark):
 # near copies
 
 
-def brute_print(text):
+def brute_print(text, size=4):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
-    parts = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    parts = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(parts))
 
@@ -347,9 +375,9 @@ def test_pipeline_stages(spark, docs):
         assert out.columns == list(corpus_pipeline.COLUMNS), name
         before, after = kept.collect(), out.collect()
         if name == "language_id":
-            assert sorted(after) == sorted(r for r in before if re.search(r"[^\W\d_]", r.text or ""))
+            assert sorted(after) == sorted(r for r in before if regex.search(r"\p{L}", r.text or ""))
         if name == "simhash_near_dedup":
-            prints = {r.doc_id: brute_print(r.text) for r in before}
+            prints = {r.doc_id: brute_print(r.text, 5) for r in before}
             label = brute_groups(set(prints.values()))
             least = {}
             for i, p in prints.items():
@@ -362,20 +390,28 @@ def test_pipeline_stages(spark, docs):
             for r in after:
                 taken[r.source] += len(WORD.findall(r.text))
             goal = brute_targets(sums)
-            assert all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
+            most = {s: max(len(WORD.findall(r.text or "")) for r in before if r.source == s) for s in goal}  # the last one is there or not
+            assert all(abs(taken[s] - goal[s]) <= most[s] / 2 + 0.5 for s in goal)
         kept = spark.createDataFrame(after, out.schema)
     ids = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert sorted((r.doc_id, r.decoded_sha256) for r in ids) == sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept.collect())
 
 
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)], "doc_id long, text string, lang string, source string")
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² 123", "①②", "Ⅷ ⅷ", "́", "_ 7_7", "the cat"])], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in langid.predictions(odd, langid.train(docs)).collect()}
+    assert {found[i] for i in range(5)} == {("und", 0.0, True)} and found[5][0] == "en"
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op4_embedding_near_dedup", "op10_nearest_neighbours"])
+@pytest.mark.parametrize("name", ["op4_embedding_near_dedup", "op10_nearest_neighbours", "op11_pii_disclosure", "op12_conversation_trie"])
 def test_queries_with_sql(spark, name):
     import __spark_entry__ as entry
     from tests.compare import connect, run_pair

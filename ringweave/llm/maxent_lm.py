@@ -9,7 +9,9 @@ are clustered.
 
 Counts, co-occurrences and gradients are gathered over all training texts. Each
 task makes adaptive gradient updates on the texts of its partition, in numpy
-batches; the weights of all tasks are averaged by their tokens.
+batches; the weights of all tasks are averaged by their tokens, in a tree of bounded fan-in.
+The table of hashed features grows with the training tokens, from MIN_ROWS up to
+MAX_ROWS rows, which is what a task can hold (32 MB of weights); the counts grow without limit.
 
 The most frequent words (at most FREQUENT) travel with the job; all others are
 joined to the table of counts, so every count is exact.
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,11 +35,13 @@ from ringweave.session import stage
 
 FREQUENT = 150_000
 BUCKETS, CONTEXTS, CLASSES = 2048, 128, 32  # class 0 is the end
-ROWS = 1 << 15  # weights of hashed features
+MIN_ROWS, MAX_ROWS, TOKENS_A_ROW = 1 << 15, 1 << 18, 512  # of the weights of hashed features
 BATCH = 1 << 12
+LAYERS = 16
 RATE = 0.6
 GROUP_CHARS = 1 << 22
-CHUNKS = 64  # the weights travel in so many pieces
+PIECE = 512  # rows of the weights that travel together
+FAN_IN = 64  # tasks whose pieces are averaged in one group
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -49,6 +54,22 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What ``tokens_of`` gives for many texts: the distinct words, the number of each word in them, and words a text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.string()), "")))
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(full).dictionary_encode()
+    sizes = np.bincount(text[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), sizes
+
+
+def rows_for(tokens: int) -> int:
+    """Rows of the table of hashed features: a power of two that grows with the training tokens."""
+    return min(MAX_ROWS, max(MIN_ROWS, 1 << (max(tokens // TOKENS_A_ROW, 1).bit_length() - 1)))
+
+
 def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
@@ -61,18 +82,14 @@ def count_rows(docs: DataFrame, text_col: str) -> DataFrame:
             words: dict[bytes, int] = {}
             cells = np.zeros(BUCKETS * CONTEXTS, np.int64)
             for texts in groups(batch.column(0).to_pylist(), GROUP_CHARS):
-                split = [tokens_of(t) for t in texts]
-                flat = [w for s in split for w in s]
-                if not flat:
+                own, at, sizes = words_of(texts)
+                if not own:
                     continue
-                own = list(set(flat))
-                index = dict(zip(own, range(len(own)), strict=True))
-                at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
                 bucket = np.array([bucket_of(w) for w in own])[at]
                 context = np.array([zlib.crc32(w) % CONTEXTS for w in own])[at]
-                inside = np.ones(len(flat), bool)
-                ends = np.cumsum([len(s) for s in split])
-                inside[ends[ends < len(flat)]] = False
+                inside = np.ones(len(at), bool)
+                ends = np.cumsum(sizes)
+                inside[ends[ends < len(at)]] = False
                 inside[0] = False
                 cells += np.bincount(bucket[inside] * CONTEXTS + context[np.flatnonzero(inside) - 1], minlength=len(cells))
                 for w, n in zip(own, np.bincount(at).tolist(), strict=True):
@@ -120,11 +137,12 @@ class Language:
     n: int
     v: int
     documents: int
-    weights: np.ndarray | None = None  # [ROWS, CLASSES]
+    rows: int  # of the weights
+    weights: np.ndarray | None = None  # [rows, CLASSES]
     bias: np.ndarray | None = None
 
     def zero(self) -> None:
-        self.weights, self.bias = np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+        self.weights, self.bias = np.zeros((self.rows, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
 
     def features(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """``[4, tokens]`` rows of the weights; ``place`` counts the tokens before one in its text."""
@@ -135,16 +153,13 @@ class Language:
         one, two, three = before
         with np.errstate(over="ignore"):
             keys = [one * PRIMES[0], (one * PRIMES[1]) ^ (two * PRIMES[2]), two * PRIMES[3], three * PRIMES[2] + PRIMES[0]]
-            return np.stack([((k ^ (k >> np.uint64(29))) * PRIMES[1] >> np.uint64(49)).astype(np.uint16) for k in keys])
+            spare = np.uint64(65 - self.rows.bit_length())  # bits of a hash that a row's number does not need
+            return np.stack([((k ^ (k >> np.uint64(29))) * PRIMES[1] >> spare).astype(np.int64) for k in keys])
 
     def tokens(self, texts: list[str | None]):
         """Hashes, classes and places of all tokens, each text closed by its end; also words and sizes."""
-        split = [tokens_of(t) for t in texts]
-        sizes = np.array([len(s) + 1 for s in split])
-        flat = [w for s in split for w in s]
-        own = list(set(flat))
-        index = dict(zip(own, range(len(own)), strict=True))
-        at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        own, at, sizes = words_of(texts)
+        sizes = sizes + 1
         ends = np.cumsum(sizes) - 1
         is_word = np.ones(int(sizes.sum()), bool)
         is_word[ends] = False
@@ -156,8 +171,11 @@ class Language:
         return hashes, classes, place, ends, sizes, is_word, own, at
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
-        w = self.weights
-        return w[rows[0]] + w[rows[1]] + w[rows[2]] + w[rows[3]] + self.bias
+        out = self.weights.take(rows[0], axis=0)
+        for r in rows[1:]:
+            out += self.weights.take(r, axis=0)
+        out += self.bias
+        return out
 
     def class_scores(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of each token's class given what comes before."""
@@ -169,13 +187,35 @@ class Language:
         return out / np.log(10)
 
 
+def sums_by_row(rows: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``rows`` (``[families, tokens]``) and, for each, the sum of its tokens' slopes.
+
+    Tokens are sorted by row. The first LAYERS tokens of all rows are added together,
+    the rest of the few rows that have more on their own.
+    """
+    key = np.sort((rows * BATCH + np.arange(rows.shape[1])).ravel())
+    row, token = key // BATCH, key % BATCH
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    sizes = np.diff(first, append=len(row))
+    falling = np.argsort(-sizes, kind="stable")
+    first, sizes = first[falling], sizes[falling]
+    sums = slope.take(token[first], axis=0)
+    more = np.searchsorted(-sizes, -np.arange(1, LAYERS + 1))  # rows with over 1, 2, ... tokens
+    for k in range(1, LAYERS):
+        n = more[k - 1]
+        sums[:n] += slope.take(token[first[:n] + k], axis=0)
+    for i in range(more[-1]):
+        sums[i] += slope.take(token[first[i] + LAYERS : first[i] + sizes[i]], axis=0).sum(0)
+    return row[first], sums
+
+
 class Learner:
     """Adaptive gradient ascent on the log-likelihood of classes."""
 
     def __init__(self, language: Language) -> None:
         self.m = language
         language.zero()
-        self.seen = np.full(ROWS, 1e-3, np.float32)  # squared gradients of a row of weights
+        self.seen = np.full(language.rows, 1e-3, np.float32)  # squared gradients of a row of weights
         self.seen_bias = np.full(CLASSES, 1e-3, np.float32)
         self.tokens = 0
 
@@ -185,17 +225,15 @@ class Learner:
             z = self.m.logits(part)
             z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
-            slope = -z / z.sum(1, keepdims=True)
-            slope[np.arange(len(own)), own] += 1
-            for r in part:
-                order = np.argsort(r, kind="stable")
-                first = np.flatnonzero(np.diff(r[order], prepend=-1))
-                which, sums = r[order][first], np.add.reduceat(slope[order], first, axis=0)
-                seen = self.seen[which] + np.einsum("ij,ij->i", sums, sums)
-                self.seen[which] = seen
-                sums *= (RATE / np.sqrt(seen))[:, None]
-                self.m.weights[which] += sums
-            sums = slope.sum(0)
+            z /= -z.sum(1, keepdims=True)
+            z[np.arange(len(own)), own] += 1  # the slopes
+            which, sums = sums_by_row(part, z)
+            seen = self.seen[which] + np.einsum("ij,ij->i", sums, sums)
+            self.seen[which] = seen
+            sums *= (RATE / np.sqrt(seen))[:, None]
+            sums += self.m.weights.take(which, axis=0)
+            self.m.weights[which] = sums
+            sums = z.sum(0)
             self.seen_bias += sums * sums
             self.m.bias += RATE * sums / np.sqrt(self.seen_bias)
             self.tokens += len(own)
@@ -203,7 +241,8 @@ class Learner:
 
 def fit_weights(docs: DataFrame, language: Language, text_col: str) -> None:
     """One pass of gradient updates over all of ``docs``, task by task, then the mean of the tasks' weights."""
-    size = ROWS // CHUNKS * CLASSES
+    size = PIECE * CLASSES
+    n = language.rows // PIECE
 
     def run(batches):
         learner = Learner(Language(**vars(language)))
@@ -212,31 +251,32 @@ def fit_weights(docs: DataFrame, language: Language, text_col: str) -> None:
                 hashes, classes, place, *_ = learner.m.tokens(texts)
                 learner.learn(learner.m.features(hashes, place), classes)
         if learner.tokens:
-            pieces = [*learner.m.weights.reshape(CHUNKS, size), learner.m.bias]
+            pieces = [*learner.m.weights.reshape(n, size), learner.m.bias]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(CHUNKS + 1), pa.int64()), pa.array([learner.tokens] * (CHUNKS + 1), pa.int64()), pa.array([p.astype("<f4").tobytes() for p in pieces], pa.binary())],
+                [pa.array(range(n + 1), pa.int64()), pa.array([learner.tokens] * (n + 1), pa.int64()), pa.array([p.astype("<f4").tobytes() for p in pieces], pa.binary())],
                 ["piece", "tokens", "data"],
             )
 
-    def mean_of(found):
+    def mean_of(key, found):
         tokens = found.column("tokens").to_numpy().astype(np.float64)
         data = np.stack([np.frombuffer(d, "<f4") for d in found.column("data").to_pylist()])
         out = (data * tokens[:, None]).sum(0) / tokens.sum()
-        return pa.table({"piece": [found.column("piece")[0].as_py()], "tokens": [int(tokens.sum())], "data": pa.array([out.astype("<f4").tobytes()], pa.binary())})
-
-    schema = "piece bigint, tokens bigint, data binary"
-    rows = stage(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema), "weights")
-    # two steps, so that no task holds the weights of many tasks
-    spread = rows.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(64)))
-    first = spread.groupBy("piece", "part").applyInArrow(lambda found: mean_of(found), schema)
-    found = first.groupBy("piece").applyInArrow(lambda found: mean_of(found), schema).collect()  # one model, CHUNKS pieces
+        return pa.table({"piece": [key[0].as_py()], "task": [key[1].as_py()], "tokens": [int(tokens.sum())], "data": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "piece bigint, tokens bigint, data binary")
+    found = stage(found.select("piece", F.spark_partition_id().cast("long").alias("task"), "tokens", "data"), "weights")
+    last = found.agg(F.max("task")).first()[0]
+    while last:  # as many steps as the number of tasks has digits in base FAN_IN
+        last //= FAN_IN
+        nearer = found.withColumn("task", F.expr(f"task div {FAN_IN}"))
+        found = nearer.groupBy("piece", "task").applyInArrow(lambda key, rows: mean_of(key, rows), "piece bigint, task bigint, tokens bigint, data binary")
     language.zero()
-    for r in found:
+    for r in found.collect():  # one model: at most MAX_ROWS rows
         data = np.frombuffer(bytes(r["data"]), "<f4")
-        if r["piece"] == CHUNKS:
+        if r["piece"] == n:
             language.bias[:] = data
         else:
-            language.weights.reshape(CHUNKS, size)[r["piece"]] = data
+            language.weights.reshape(n, size)[r["piece"]] = data
 
 
 def learn(df: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> tuple[Language, DataFrame]:
@@ -263,7 +303,7 @@ def learn(df: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> tu
     edge = levels.where(F.col("above") <= frequent).agg(F.min("c")).first()[0]
     top = [] if edge is None else counts.where(F.col("c") >= edge).collect()
     known = {bytes(r["word"]): float(np.log10(r["c"] + 0.5)) for r in top}
-    language = Language(classes, np.log10(n + 0.5 * (v + 1)), known, int(n.sum()), int(v.sum()), docs)
+    language = Language(classes, np.log10(n + 0.5 * (v + 1)), known, int(n.sum()), int(v.sum()), docs, rows_for(int(n.sum())))
     fit_weights(df, language, text_col)
     return language, counts
 

@@ -354,6 +354,39 @@ def test_scores_against_brute_force(docs, monkeypatch):
     assert all(m + 0.5 / 10 ** language.class_log[k] == pytest.approx(1) for k, m in mass.items())
 
 
+def test_words_of_many_texts():
+    texts = [None, "", " \t", " a  B\x0b\x0cc\x85d\u00a0e\x1cf ", "x\x00y a", "É é \n a", "w " * 5000]
+    own, at, sizes = maxent_lm.words_of(texts)
+    want = [maxent_lm.tokens_of(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and [own[i] for i in at] == [w for s in want for w in s]
+    assert len(set(own)) == len(own) and maxent_lm.words_of([])[2].tolist() == []
+
+
+def test_slopes_by_row():
+    random = np.random.default_rng(8)
+    rows = np.minimum(random.zipf(1.3, (4, 3000)), 40_000).astype(np.int64)  # one row holds about a quarter
+    slope = random.normal(size=(3000, 5)).astype(np.float32)
+    want = np.zeros((40_001, 5))
+    for r in rows:
+        np.add.at(want, r, slope)
+    which, sums = maxent_lm.sums_by_row(rows, slope)
+    assert sorted(which) == sorted(set(rows.ravel().tolist())) and np.allclose(want[which], sums, atol=1e-3)
+
+
+def test_features_grow_with_the_corpus(docs, monkeypatch):
+    assert [maxent_lm.rows_for(n) for n in (0, 10**6, 10**8, 10**12)] == [1 << 15, 1 << 15, 1 << 17, 1 << 18]
+    monkeypatch.setattr(maxent_lm, "MIN_ROWS", 1 << 10)
+    few, many = docs.repartition(5, "doc_id"), {}
+    for tokens_a_row, fan_in in ((1 << 40, 64), (4, 64), (4, 2)):
+        monkeypatch.setattr(maxent_lm, "TOKENS_A_ROW", tokens_a_row)
+        monkeypatch.setattr(maxent_lm, "FAN_IN", fan_in)
+        language, _ = maxent_lm.learn(few)
+        many[tokens_a_row, fan_in] = language.weights
+        assert len(language.weights) == maxent_lm.rows_for(language.n)
+    assert len(many[1 << 40, 64]) == 1 << 10 < len(many[4, 64])
+    assert np.allclose(many[4, 64], many[4, 2], atol=1e-4)  # the tree of averages is the average
+
+
 def test_scores_of_odd_documents(odd_docs, no_docs):
     language, table = maxent_lm.learn(odd_docs)
     found = rows_of(maxent_lm.scores(odd_docs, language, table))

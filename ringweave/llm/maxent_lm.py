@@ -41,7 +41,7 @@ LAYERS = 16
 RATE = 0.6
 GROUP_CHARS = 1 << 22
 PIECE = 512  # rows of the weights that travel together
-FAN_IN = 64  # tasks whose pieces are averaged in one group
+FAN_IN, LEVELS = 256, 3  # tasks whose pieces are averaged in one group; three levels are 16 M tasks
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -253,23 +253,25 @@ def fit_weights(docs: DataFrame, language: Language, text_col: str) -> None:
         if learner.tokens:
             pieces = [*learner.m.weights.reshape(n, size), learner.m.bias]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n + 1), pa.int64()), pa.array([learner.tokens] * (n + 1), pa.int64()), pa.array([p.astype("<f4").tobytes() for p in pieces], pa.binary())],
+                [pa.array(range(n + 1), pa.int64()), pa.array([learner.tokens] * (n + 1), pa.int64()), pa.array([p.astype("<f2").tobytes() for p in pieces], pa.binary())],
                 ["piece", "tokens", "data"],
             )
 
-    def mean_of(key, found):
-        tokens = found.column("tokens").to_numpy().astype(np.float64)
-        data = np.stack([np.frombuffer(d, "<f4") for d in found.column("data").to_pylist()])
-        out = (data * tokens[:, None]).sum(0) / tokens.sum()
-        return pa.table({"piece": [key[0].as_py()], "task": [key[1].as_py()], "tokens": [int(tokens.sum())], "data": pa.array([out.astype("<f4").tobytes()], pa.binary())})
-
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "piece bigint, tokens bigint, data binary")
-    found = stage(found.select("piece", F.spark_partition_id().cast("long").alias("task"), "tokens", "data"), "weights")
-    last = found.agg(F.max("task")).first()[0]
-    while last:  # as many steps as the number of tasks has digits in base FAN_IN
-        last //= FAN_IN
+    def mean_of(kind):
+        def run(key, found):
+            tokens = found.column("tokens").to_numpy().astype(np.float64)
+            data = np.stack([np.frombuffer(d, kind) for d in found.column("data").to_pylist()])
+            out = (tokens @ data / tokens.sum()).astype("<f4")
+            return pa.table({"piece": [key[0].as_py()], "task": [key[1].as_py()], "tokens": [int(tokens.sum())], "data": pa.array([out.tobytes()], pa.binary())})
+
+        return run
+
+    # a task's weights travel once, as halves: rounding is far below what tasks differ by
+    trained = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "piece bigint, tokens bigint, data binary")
+    found = trained.select("piece", F.spark_partition_id().cast("long").alias("task"), "tokens", "data")
+    for level in range(LEVELS):
         nearer = found.withColumn("task", F.expr(f"task div {FAN_IN}"))
-        found = nearer.groupBy("piece", "task").applyInArrow(lambda key, rows: mean_of(key, rows), "piece bigint, task bigint, tokens bigint, data binary")
+        found = nearer.groupBy("piece", "task").applyInArrow(mean_of("<f4" if level else "<f2"), "piece bigint, task bigint, tokens bigint, data binary")
     language.zero()
     for r in found.collect():  # one model: at most MAX_ROWS rows
         data = np.frombuffer(bytes(r["data"]), "<f4")

@@ -377,14 +377,14 @@ def test_features_grow_with_the_corpus(docs, monkeypatch):
     assert [maxent_lm.rows_for(n) for n in (0, 10**6, 10**8, 10**12)] == [1 << 15, 1 << 15, 1 << 17, 1 << 18]
     monkeypatch.setattr(maxent_lm, "MIN_ROWS", 1 << 10)
     few, many = docs.repartition(5, "doc_id"), {}
-    for tokens_a_row, fan_in in ((1 << 40, 64), (4, 64), (4, 2)):
+    for tokens_a_row, fan_in in ((1 << 40, 256), (4, 256), (4, 2)):
         monkeypatch.setattr(maxent_lm, "TOKENS_A_ROW", tokens_a_row)
         monkeypatch.setattr(maxent_lm, "FAN_IN", fan_in)
         language, _ = maxent_lm.learn(few)
         many[tokens_a_row, fan_in] = language.weights
         assert len(language.weights) == maxent_lm.rows_for(language.n)
-    assert len(many[1 << 40, 64]) == 1 << 10 < len(many[4, 64])
-    assert np.allclose(many[4, 64], many[4, 2], atol=1e-4)  # the tree of averages is the average
+    assert len(many[1 << 40, 256]) == 1 << 10 < len(many[4, 256])
+    assert np.allclose(many[4, 256], many[4, 2], atol=1e-4)  # the tree of averages is the average
 
 
 def test_scores_of_odd_documents(odd_docs, no_docs):

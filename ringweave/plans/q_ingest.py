@@ -12,6 +12,7 @@ from ringweave.functions.scoring import weight_problems
 from ringweave.operators import graph as G
 from ringweave.operators import links as L
 from ringweave.operators import ops_metrics as O
+from ringweave.operators import reports as R
 from ringweave.operators import splits as SP
 from ringweave.operators.features import normalize_features
 from ringweave.plans import ctes as X
@@ -433,6 +434,47 @@ def _(ws):
     )
 
 
+# --- opinions of the shadow model in the log ------------------------------------------
+
+
+def fixed_opinions(ws: Workspace) -> DataFrame:
+    """An opinion for four payments in five, by their order number; one in seven is said twice."""
+    p = (K() % 101) / 100
+    rows = ws.payments.where(K() % 5 != 0).select("event_id", (K() % 101).cast("long").alias("score"), p.alias("probability"), (p >= C.CHALLENGER_THRESHOLD).alias("flag"), K().alias("k"))
+    return rows.union(rows.where(F.col("k") % 7 == 0)).drop("k")
+
+
+OPINIONS = {
+    "opinions": f"select event_id, k % 101 points, (k % 101) / 100 >= {C.CHALLENGER_THRESHOLD} flag from pay where k % 5 <> 0",
+    "opined": "select s.event_id, s.score, s.verdict, o.points, o.flag from scored s left join opinions o on o.event_id = s.event_id",
+}
+
+
+@query(
+    "verdict_challenger",
+    """select event_id, verdict, case when points is not null then '{"score":' || points || ',"probability":' || ((points / 100)::double)::varchar
+         || ',"flag":' || flag::varchar || '}' end challenger from opined""",
+    OPINIONS,
+)
+def _(ws):
+    """The log with an opinion beside each verdict that has one."""
+    return store.store_opinions(ws.log, fixed_opinions(ws)).select("event_id", "verdict", "challenger")
+
+
+@query(
+    "stored_agreement",
+    f"""select count(*) events, count(*) filter (score >= {C.DEFAULT_THRESHOLDS["block"]} and flag) both_flag,
+         count(*) filter (score >= {C.DEFAULT_THRESHOLDS["block"]} and not flag) champion_only, count(*) filter (score < {C.DEFAULT_THRESHOLDS["block"]} and flag) challenger_only,
+         count(*) filter (score < {C.DEFAULT_THRESHOLDS["block"]} and not flag) neither,
+         round_even(count(*) filter ((score >= {C.DEFAULT_THRESHOLDS["block"]}) = flag) / count(*)::double, 4) agreement_rate from opined where points is not null""",
+    OPINIONS,
+)
+def _(ws):
+    """Champion against the opinions read back from the log."""
+    log = store.store_opinions(ws.log, fixed_opinions(ws))
+    return R.champion_challenger_agreement(log.select("event_id", "score"), store.stored_opinions(log), C.DEFAULT_THRESHOLDS["block"])
+
+
 # --- narratives and model calls -----------------------------------------------------
 
 

@@ -206,6 +206,25 @@ def verdict_payload(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def store_opinions(log: DataFrame, opinions: DataFrame) -> DataFrame:
+    """Log with the shadow model's opinion (event_id, score, probability, flag) as JSON in ``challenger``.
+
+    Degraded verdicts and events without an opinion keep what the log holds. An event has
+    one opinion; of several the smallest JSON counts. The log is not rewritten.
+    """
+    said = F.to_json(F.struct("score", "probability", "flag"))
+    one = opinions.groupBy("event_id").agg(F.min(said).alias("_said"))
+    usable = ~F.array_contains("reason_codes", C.DEGRADED_CODE)
+    joined = log.join(one, "event_id", "left")
+    return joined.withColumn("challenger", F.when(usable, F.coalesce("_said", "challenger")).otherwise(F.col("challenger"))).select(log.columns)
+
+
+def stored_opinions(log: DataFrame) -> DataFrame:
+    """The opinions (event_id, score, probability, flag) that a log holds."""
+    said = F.from_json("challenger", "score bigint, probability double, flag boolean")
+    return log.where(F.col("challenger").isNotNull()).select("event_id", said.alias("_said")).select("event_id", "_said.*")
+
+
 def append_verdicts(new: DataFrame, log: DataFrame) -> DataFrame:
     """Rows to append: one immutable verdict per event."""
     return new.join(log.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"])

@@ -8,6 +8,7 @@ from ringweave.operators import ops_metrics as O
 from ringweave.operators import queue as Q
 from ringweave.operators import reports as R
 from ringweave.session import stage
+from ringweave.sources import store
 
 OUT = "event_id string, score long, is_fraud boolean, ring_id string, ring_strategy string"
 
@@ -113,3 +114,21 @@ def test_promotion_needs_more_than_one_seed(spark):
     one = [(1, 0.8, 0.9, 0.8, 0.8, 0.97)]
     assert not R.promotion_gate(spark.createDataFrame(one, schema)).first().measurable_criteria_hold
     assert R.promotion_gate(spark.createDataFrame([*one, (2, 0.7, 0.8, 0.8, 0.79, 0.96)], schema)).first().measurable_criteria_hold
+
+
+def test_opinions_beside_verdicts(spark):
+    log = spark.createDataFrame(
+        [("a", 80, ["TAINT"], None), ("b", 0, [C.DEGRADED_CODE], None), ("c", 10, [], None), ("d", 10, [], '{"score":1,"probability":0.01,"flag":false}')],
+        "event_id string, score long, reason_codes array<string>, challenger string",
+    )
+    said = [("a", 90, 0.9, True), ("a", 90, 0.9, True), ("b", 99, 0.99, True), ("c", 70, 0.7, True), ("c", 60, 0.6, True), ("gone", 5, 0.05, False)]
+    opinions = spark.createDataFrame(said, "event_id string, score long, probability double, flag boolean")
+    full = store.store_opinions(log, opinions)
+    assert full.columns == log.columns
+    got = {r.event_id: tuple(r)[1:] for r in store.stored_opinions(full).collect()}
+    assert got == {"a": (90, 0.9, True), "c": (60, 0.6, True), "d": (1, 0.01, False)} and full.count() == 4
+    again = {(r.event_id, r.challenger) for r in store.store_opinions(full, opinions).collect()}
+    assert again == {(r.event_id, r.challenger) for r in full.collect()}  # safe to repeat
+    assert store.stored_opinions(store.store_opinions(log.limit(0), opinions)).count() == 0
+    row = R.champion_challenger_agreement(full.select("event_id", "score"), store.stored_opinions(full), 70).first()
+    assert (row.events, row.both_flag, row.challenger_only, row.neither) == (3, 1, 1, 1)

@@ -28,6 +28,7 @@ MOST = 3  # a source is repeated at most so often
 BLOCK_WORDS = 4096
 MOST_BLOCKS = 65_536  # of one source; larger sources get larger blocks
 SHARD_WORDS = 1 << 27
+RUNS = 16  # of a shard, a power of two
 SEED = 20
 
 
@@ -206,11 +207,13 @@ class Mix:
     def mixed_documents(self) -> DataFrame:
         """Documents as often as drawn, shard by shard, shuffled inside a shard (needs ``keep_text``).
 
+        A shard is written in RUNS runs of its order, each by one task, so tasks and files stay even with few shards.
         Documents are taken whole: the one that a source's target cuts is there if half of it or more was to be taken.
         """
         t, r = self.table, self.rows.select(F.col("row").alias("r"), "shard", "place", "words")
         out = t.join(r, t.row == r.r).where(F.col("words") * 2 >= F.col("size"))
-        return out.repartition("shard").sortWithinPartitions("shard", "place", "row").select("doc_id", "text", "lang", "source", "n_chars")
+        run = F.shiftright("place", 64 - RUNS.bit_length() + 1)  # the highest bits: runs follow each other in the order
+        return out.repartition("shard", run).sortWithinPartitions("shard", "place", "row").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,20 +105,20 @@ def _(ws):
     return ws.spark.createDataFrame([(round(value, 6),)], "cv_f1 double")
 
 
-@query(
-    "lock_thresholds",
-    """select coalesce((select min(threshold) from hitt where p >= 0.8 and r >= 0.7), (select threshold from hitt order by f desc, threshold limit 1)) block_at,
+LOCK = {
+    "cal": "select s.score, l.is_fraud from scored s join splitlab l using (event_id) where l.split = 'calibration'",
+    "hitt": """select *, round(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 12) f from (
+      select t.score threshold, count(*) filter (o.score >= t.score and is_fraud) / count(*) filter (o.score >= t.score) p,
+        coalesce(count(*) filter (o.score >= t.score and is_fraud) / nullif(count(*) filter (is_fraud), 0), 0) r
+      from cal o, (select distinct score from cal) t group by t.score)""",
+    "locked": """select coalesce((select min(threshold) from hitt where p >= 0.8 and r >= 0.7), (select threshold from hitt order by f desc, threshold limit 1)) block_at,
          least(coalesce((select min(threshold) from hitt where p >= 0.25), 101),
            coalesce((select min(threshold) from hitt where p >= 0.8 and r >= 0.7), (select threshold from hitt order by f desc, threshold limit 1))) review_at,
          exists (select 1 from hitt where p >= 0.8 and r >= 0.7) design_point_hit""",
-    {
-        "cal": "select s.score, l.is_fraud from scored s join splitlab l using (event_id) where l.split = 'calibration'",
-        "hitt": """select *, round(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 12) f from (
-          select t.score threshold, count(*) filter (o.score >= t.score and is_fraud) / count(*) filter (o.score >= t.score) p,
-            coalesce(count(*) filter (o.score >= t.score and is_fraud) / nullif(count(*) filter (is_fraud), 0), 0) r
-          from cal o, (select distinct score from cal) t group by t.score)""",
-    },
-)
+}
+
+
+@query("lock_thresholds", "select * from locked", LOCK)
 def _(ws):
     thresholds, quality = CA.lock_thresholds(ws.model_rows.where("split = 'calibration'"))
     row = (thresholds["block"], thresholds["review"], quality["design_point_hit"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ringweave import config as C
 from ringweave.functions import narrative as N
+from ringweave.operators import calibrate as CA
 from ringweave.operators import graph as G
 from ringweave.operators import lookups as LK
 from ringweave.operators import ops_metrics as O
@@ -14,6 +15,7 @@ from ringweave.operators import reports as R
 from ringweave.operators.asof import asof_edge_last_use, first_nodes
 from ringweave.operators.scan import global_index
 from ringweave.plans import ctes as X
+from ringweave.plans.q_models import LOCK
 from ringweave.plans.q_ingest import FEEDX, K, copied_feed, model_responses
 from ringweave.plans.registry import query
 from ringweave.session import stage
@@ -118,15 +120,16 @@ def _(ws):
     return R.threshold_sensitivity(ws.outcomes, D["block"])
 
 
-@query(
-    "calibration_deciles",
-    """select b bucket, min(score) || '-' || max(score) score_range, cast(sum(events) as bigint) events, cast(sum(fraud) as bigint) fraud,
-         round_even(sum(fraud) / sum(events), 4)::double fraud_rate from (
-         select h.*, (select min(b) from range(1, 11) r(b) where b <= least(10, h.n)
-            and h.i <= least(h.n, greatest(b, cast(round_even(b * (h.n / least(10, h.n)), 0) as bigint)))) b
-         from (select score, count(*) events, count(*) filter (is_fraud) fraud, row_number() over (order by score) i, count(*) over () n from outc group by 1) h)
-       group by 1""",
-)
+DECILES = """
+  select b bucket, min(score) lo, max(score) hi, cast(sum(events) as bigint) events, cast(sum(fraud) as bigint) fraud, round_even(sum(fraud) / sum(events), 4)::double fraud_rate from (
+    select h.*, (select min(b) from range(1, 11) r(b) where b <= least(10, h.n)
+       and h.i <= least(h.n, greatest(b, cast(round_even(b * (h.n / least(10, h.n)), 0) as bigint)))) b
+    from (select score, count(*) events, count(*) filter (is_fraud) fraud, row_number() over (order by score) i, count(*) over () n from outc group by 1) h)
+  group by 1
+"""
+
+
+@query("calibration_deciles", "select bucket, lo || '-' || hi score_range, events, fraud, fraud_rate from deci", {"deci": DECILES})
 def _(ws):
     return R.calibration_deciles(ws.outcomes)
 
@@ -163,39 +166,55 @@ def _(ws):
     return R.evasion_residual_signals(evasion_rows(ws))
 
 
+# the report: held-out payments under the thresholds locked on the calibration split
 REPORT = {
-    "cnt": CNT,
-    "ring": RING,
+    **LOCK,
+    "outc": f"select * from ({X.CTES['outc']}) where event_id in (select event_id from splitlab where split = 'test')",
+    "banded": "select *, case when score >= block_at then 'BLOCK_REC' when score >= review_at then 'REVIEW' else 'ALLOW' end band from outc join locked on true",
+    "cnt": """select count(*) filter (band = 'BLOCK_REC' and is_fraud) tp, count(*) filter (band = 'BLOCK_REC' and not is_fraud) fp,
+        count(*) filter (band <> 'BLOCK_REC' and is_fraud) fn, count(*) filter (band = 'REVIEW' and is_fraud) review_fraud,
+        count(*) filter (band = 'REVIEW' and not is_fraud) review_clean, count(*) n_events from banded""",
+    "ring": """select ring_id, count(*) filter (band = 'BLOCK_REC') * 2 >= count(*) caught, max(ring_strategy) strategy,
+        round_even(count(*) filter (band = 'BLOCK_REC') / count(*), 4)::double event_recall from banded where is_fraud and ring_id is not null group by 1""",
     "rr": "select count(*) rings_total, count(*) filter (caught) rings_caught, count(*) filter (not caught) rings_missed, count(*) filter (strategy = 'sophisticated') sophisticated, count(*) filter (strategy = 'sophisticated' and caught) sophisticated_caught from ring",
     "cost": COST,
     "q": f"select *, round_even({P}, 4)::double p, round_even({RC}, 4)::double r, round_even({F1}, 4)::double f from cnt",
+    "sens": f"""select threshold, tp, fp, fn, round_even({P}, 4)::double p, round_even({RC}, 4)::double r, round_even({F1}, 4)::double f from (
+        select block_at + d threshold, count(*) filter (score >= block_at + d and is_fraud) tp, count(*) filter (score >= block_at + d and not is_fraud) fp,
+          count(*) filter (score < block_at + d and is_fraud) fn from banded, (values (-10), (0), (10)) v(d) group by 1)""",
+    "deci": DECILES,
 }
 
 
 def _report_sql() -> str:
-    rows = [("events", m, f"{e} from q") for m, e in (
+    rows = [("events", f"'{m}'", f"{e} from q") for m, e in (
         ("n_events", "n_events"), ("tp", "tp"), ("fp", "fp"), ("fn", "fn"), ("review_fraud", "review_fraud"), ("review_clean", "review_clean"),
         ("precision", "p"), ("recall", "r"), ("f1", "f"), ("precision_low", PL), ("precision_high", PH), ("recall_low", RL), ("recall_high", RH),
         ("design_point", "(p >= 0.8 and r >= 0.7)::int"))]
-    rows += [("rings", m, f"{m} from rr") for m in ("rings_total", "rings_caught", "rings_missed", "sophisticated", "sophisticated_caught")]
-    rows += [("cost_per_1000", m, f"{m} from cost") for m in ("gross_saved_inr", "fp_cost_inr", "review_cost_inr", "net_saved_inr")]
-    rows += [("confusion", f"{band.lower()}_{kind}", f"count(*) filter (verdict = '{band}' and {'not ' * (kind == 'clean')}is_fraud) from outc")
+    rows += [("confusion", f"'{band.lower()}_{kind}'", f"count(*) filter (band = '{band}' and {'not ' * (kind == 'clean')}is_fraud) from banded")
              for band in ("ALLOW", "REVIEW", "BLOCK_REC") for kind in ("clean", "fraud")]
+    rows += [("rings", f"'{m}'", f"{m} from rr") for m in ("rings_total", "rings_caught", "rings_missed", "sophisticated", "sophisticated_caught")]
+    rows += [("missed_rings", "ring_id", "event_recall from ring where not caught")]
+    rows += [("cost_per_1000", f"'{m}'", f"{m} from cost") for m in ("gross_saved_inr", "fp_cost_inr", "review_cost_inr", "net_saved_inr")]
+    rows += [("sensitivity", f"'at_' || threshold || '_{m}'", f"{e} from sens") for m, e in (("tp", "tp"), ("fp", "fp"), ("fn", "fn"), ("precision", "p"), ("recall", "r"), ("f1", "f"))]
+    rows += [("deciles", f"bucket || '_{m}'", f"{m} from deci") for m in ("lo", "hi", "events", "fraud", "fraud_rate")]
+    rows += [("thresholds", f"'{m}'", f"{m}_at from locked") for m in ("review", "block")]
     parts = []
     for section, metric, source in rows:
         expression, table = source.rsplit(" from ", 1)
-        parts.append(f"select '{section}' section, '{metric}' metric, cast({expression} as double) \"value\" from {table}")
+        parts.append(f"select '{section}' section, {metric} metric, cast({expression} as double) \"value\" from {table}")
     return " union all ".join(parts)
 
 
-HELD_OUT = {"outc": f"select * from ({X.CTES['outc']}) where event_id in (select event_id from splitlab where split = 'test')"}
-
-
-@query("evaluation_report", _report_sql(), {**REPORT, **HELD_OUT})
+@query("evaluation_report", _report_sql(), REPORT)
 def _(ws):
-    """The held-out split only."""
+    """The held-out split under a locked configuration, which has to be there."""
+    path = ws.folder("evaluated-config")
+    thresholds, _quality = CA.lock_thresholds(ws.model_rows.where("split = 'calibration'"))
+    store.save_model_config(ws.spark, {"weights": C.DEFAULT_WEIGHTS, "thresholds": thresholds, "model_version": C.MODEL_VERSION}, path)
+    locked = store.load_model_config(ws.spark, path, required=True)
     held = ws.split_labels.where("split = 'test'").select("event_id")
-    return R.evaluation_report(ws.outcomes.join(held, "event_id", "left_semi"), D)
+    return R.evaluation_report(ws.outcomes.join(held, "event_id", "left_semi"), locked["thresholds"], stage)
 
 
 @query(

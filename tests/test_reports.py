@@ -132,3 +132,56 @@ def test_opinions_beside_verdicts(spark):
     assert store.stored_opinions(store.store_opinions(log.limit(0), opinions)).count() == 0
     row = R.champion_challenger_agreement(full.select("event_id", "score"), store.stored_opinions(full), 70).first()
     assert (row.events, row.both_flag, row.challenger_only, row.neither) == (3, 1, 1, 1)
+
+
+HAND = [
+    (90, True, "r1", "standard"), (40, True, "r1", "standard"), (80, True, "r2", "sophisticated"), (10, True, "r2", "sophisticated"),
+    (20, True, "r2", "sophisticated"), (75, False, None, None), (5, False, None, None), (70, True, None, None), (60, False, "r1", None),
+]
+
+
+def report(spark, rows, thresholds=C.DEFAULT_THRESHOLDS):
+    out = R.evaluation_report(outcomes(spark, rows), thresholds, stage).collect()
+    assert len({(r.section, r.metric) for r in out}) == len(out)
+    return {(r.section, r.metric): r.value for r in out}
+
+
+def test_report_sections(spark):
+    got = report(spark, HAND)
+    assert [got["events", m] for m in ("n_events", "tp", "fp", "fn", "review_fraud", "review_clean")] == [9, 3, 1, 3, 1, 1]
+    assert [got["confusion", m] for m in ("allow_clean", "allow_fraud", "review_clean", "review_fraud", "block_rec_clean", "block_rec_fraud")] == [1, 2, 1, 1, 1, 3]
+    assert [got["rings", m] for m in ("rings_total", "rings_caught", "rings_missed", "sophisticated", "sophisticated_caught")] == [2, 1, 1, 1, 0]
+    assert {k[1]: v for k, v in got.items() if k[0] == "missed_rings"} == {"r2": 0.3333}
+    assert [got["sensitivity", f"at_{t}_tp"] for t in (60, 70, 80)] == [3, 3, 2] and got["sensitivity", "at_60_fp"] == 2
+    assert sum(v for k, v in got.items() if k[0] == "deciles" and k[1].endswith("_events")) == 9
+    assert (got["thresholds", "review"], got["thresholds", "block"]) == (C.DEFAULT_THRESHOLDS["review"], C.DEFAULT_THRESHOLDS["block"])
+
+
+def test_report_agrees_with_its_single_parts(spark):
+    rows = [(i * 37 % 101, i % 3 == 0, f"r{i % 7}" if i % 3 == 0 else None, "sophisticated" if i % 7 == 2 else None) for i in range(400)]
+    bars = {"review": 30, "block": 55}
+    got, given = report(spark, rows, bars), outcomes(spark, rows)
+    whole = R.outcome_counts(given, bars).first().asDict()
+    assert {m: got["events", m] for m in whole} == whole
+    for r in R.confusion_3x2(given, bars).collect():
+        assert (got["confusion", f"{r.band.lower()}_clean"], got["confusion", f"{r.band.lower()}_fraud"]) == (r.clean, r.fraud)
+    missed = {r.ring_id: r.event_recall for r in R.per_ring_recall(given, 55).where("NOT caught").collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "missed_rings"} == missed
+    for r in R.calibration_deciles(given).collect():
+        assert f"{got['deciles', f'{r.bucket}_lo']:.0f}-{got['deciles', f'{r.bucket}_hi']:.0f}" == r.score_range
+
+
+def test_report_without_outcomes(spark):
+    got = report(spark, [])
+    assert (got["events", "n_events"], got["events", "tp"], got["rings", "rings_total"], got["cost_per_1000", "net_saved_inr"]) == (0, 0, 0, 0)
+    assert not [k for k in got if k[0] in ("missed_rings", "deciles")]
+
+
+def test_report_reads_outcomes_once(spark):
+    plan = R.outcome_cube(outcomes(spark, HAND), 70)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Scan ExistingRDD") == 1
+
+
+def test_evaluation_needs_a_locked_configuration(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        store.load_model_config(spark, str(tmp_path / "none"), required=True)

@@ -6,6 +6,8 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from ringweave.operators import cluster as CL
+from ringweave.operators import links as L
 from ringweave.operators import lookups as LK
 from ringweave.operators import snapshots as SN
 from ringweave.operators import taint as T
@@ -228,3 +230,35 @@ def test_first_arrival_wins_even_when_most_rows_are_copies(spark):
     assert got.count() == 1000 and got.where("event_id = 'hot'").first().arrival == 0
     statuses = store.ingest_batch_status(feed, stored, spark.createDataFrame([("e2999", "REVIEW", 40)], "event_id string, verdict string, score long"))
     assert {r.status: r["count"] for r in statuses.groupBy("status").count().collect()} == {"accepted": 1000, "duplicate": 2000}
+
+
+def ring_stream(spark, n=120):
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        c = r.randrange(12)
+        shared = {"device": f"d{c // 3}", "upi": f"u{c}@ybl", "email": f"c{c}@x.com"} if c < 6 else {"device": f"own{c}"}
+        rows.append((i * 3, f"c{c}", f"m{r.randrange(9)}", {**shared, "amount": r.choice((30_000, 90_000, 400_000)), "outcome": r.choice((None,) * 9 + ("chargeback",))}))
+    return events(spark, rows)
+
+
+def test_customer_buckets_give_the_same_rows(spark):
+    """Tables kept by customer against the form that spreads hot customers."""
+    kept, spread = LinkGraph(ring_stream(spark), bucket_events=20), LinkGraph(ring_stream(spark), hot_rows=4)
+    assert (kept._buckets, spread._buckets) == (6, 0)
+    for table in ("features", "snapshots", "members"):
+        names = [c for c in getattr(spread, table).columns if not c.endswith("ord")]
+        got, want = (sorted(map(str, getattr(g, table).select(*names).collect())) for g in (kept, spread))
+        assert got == want, table
+
+
+def test_tables_kept_by_customer_are_not_shuffled_again(spark):
+    graph = LinkGraph(ring_stream(spark), bucket_events=20)
+    steps = (
+        L.build_links(graph.timeline),
+        L.customer_stats(graph.timeline),
+        SN.event_progress(graph.timeline, graph.links, stage, graph._most_events),
+        CL.own_nodes(graph.links),
+    )
+    for df in steps:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

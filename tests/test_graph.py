@@ -262,3 +262,11 @@ def test_tables_kept_by_customer_are_not_shuffled_again(spark):
     )
     for df in steps:
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("form", [{}, {"hot_rows": 1}])
+def test_a_touch_without_a_time_comes_before_its_dated_link(spark, form):
+    rows = events(spark, [(0, "c", "m1", {"device": "d"}), (1, "c", "m2", {"device": "d"}), (2, "x", "m1", {"device": "e"})])
+    undated = rows.withColumn("ts", F.when(F.col("event_id") == "e001", F.col("ts")))
+    seen = {r.event_id: (r.merchant_count, r.linked_identity_count) for r in LinkGraph(undated, **form).snapshots.collect()}
+    assert seen["e000"][1] == 0 and seen["e001"][1] == 1 and seen["e002"] == (1, 1)

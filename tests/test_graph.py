@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringweave.operators import cluster as CL
+from ringweave.operators import features as FE
 from ringweave.operators import links as L
 from ringweave.operators import lookups as LK
 from ringweave.operators import snapshots as SN
 from ringweave.operators import taint as T
 from ringweave.operators.graph import LinkGraph, degraded_in_place, score_frame
 from ringweave.schema import PAYMENTS
-from ringweave.session import stage
+from ringweave.session import stage, stage_by
 from ringweave.sources import store
 from ringweave.sources.payments import padded
 
@@ -264,6 +265,36 @@ def test_tables_kept_by_customer_are_not_shuffled_again(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_private_entities_are_read_where_their_customer_lies(spark, monkeypatch):
+    """Only reads of other entities are sent, and touches of customers whom somebody else reaches."""
+    graph = LinkGraph(ring_stream(spark), bucket_events=20)
+    sent = []
+
+    def read(history, probes, *rest, **scan):
+        sent.extend((history.collect(), probes.collect()))
+        return read_snapshots(history, probes, *rest, **scan)
+
+    read_snapshots = SN.read_snapshots
+    monkeypatch.setattr(SN, "read_snapshots", read)
+    joined = graph.timeline.join(graph.entity_reads, ["customer_id", "event_id"])
+    history, probes = sent
+    assert {r.node for r in probes if r.customer_id >= "c6"} == set()  # c6 to c9 share nothing
+    assert not {r.node for r in history} & {f"device:own{c}" for c in range(6, 12)}
+    assert {"device:d0", "upi:u1@ybl"} <= {r.node for r in probes}
+    assert joined.count() == 120 and "Exchange hashpartitioning" not in joined.hint("merge")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_other_members_are_read_before_they_are_sent(spark):
+    wide = spark.range(50).selectExpr("cast(id % 5 as string) customer_id", "cast(id as string) member_id", "repeat('x', 999) days")
+    theirs = stage_by(spark.range(50).selectExpr("cast(id as string) member_id", "id n"), "theirs", "member_id", 3)
+    got = FE.of_members(wide, theirs, 3, lambda df: df.where("n > 4 and length(days) = 999").select("customer_id", "n"))
+    assert got.count() == 45
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    tops = [line for line in plan.splitlines() if "RepartitionByExpression [customer_id" in line]
+    below = [plan.splitlines()[i + 1] for i, line in enumerate(plan.splitlines()) if line in tops]
+    assert tops and all("Project [customer_id" in line and "days" not in line for line in below)
+
+
 @pytest.mark.parametrize("form", [{}, {"hot_rows": 1}])
 def test_a_touch_without_a_time_comes_before_its_dated_link(spark, form):
     rows = events(spark, [(0, "c", "m1", {"device": "d"}), (1, "c", "m2", {"device": "d"}), (2, "x", "m1", {"device": "e"})])

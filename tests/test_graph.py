@@ -295,6 +295,13 @@ def test_rows_of_other_members_are_read_before_they_are_sent(spark):
     assert tops and all("Project [customer_id" in line and "days" not in line for line in below)
 
 
+def test_customers_that_share_an_event_id_are_not_kept_apart(spark):
+    rows = ring_stream(spark, 20)
+    twice = rows.unionByName(rows.withColumn("event_id", F.lit("e003")).limit(4))
+    assert LinkGraph(rows)._buckets > 0 and LinkGraph(rows.unionByName(rows))._buckets > 0
+    assert LinkGraph(twice)._buckets == 0
+
+
 @pytest.mark.parametrize("form", [{}, {"hot_rows": 1}])
 def test_a_touch_without_a_time_comes_before_its_dated_link(spark, form):
     rows = events(spark, [(0, "c", "m1", {"device": "d"}), (1, "c", "m2", {"device": "d"}), (2, "x", "m1", {"device": "e"})])

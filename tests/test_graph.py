@@ -265,6 +265,14 @@ def test_tables_kept_by_customer_are_not_shuffled_again(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_own_nodes_are_numbered_once_and_scoring_counts_handles_only(spark):
+    graph = LinkGraph(ring_stream(spark), bucket_events=20)
+    own = CL.own_nodes(graph._numbered_links, 3)
+    assert "Window" not in own._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, own.collect())) == sorted(map(str, CL.own_nodes(graph.links, 3).collect()))
+    assert graph.features.count() == 120 and "entities" not in graph.__dict__ and "hop1_idx" not in graph.links.columns
+
+
 def test_private_entities_are_read_where_their_customer_lies(spark, monkeypatch):
     """Only reads of other entities are sent, and touches of customers whom somebody else reaches."""
     graph = LinkGraph(ring_stream(spark), bucket_events=20)

@@ -9,8 +9,12 @@ from ringweave import config as C
 from ringweave.operators import calibrate as CA
 from ringweave.operators import models as M
 from ringweave.operators import splits as SP
+from ringweave.operators.graph import LinkGraph
+from ringweave.plans.q_models import train_rows
+from ringweave.plans.workspace import Workspace
 from ringweave.session import stage
 from ringweave.sources import store
+from tests.test_graph import ring_stream
 
 
 def one_by_one(histogram, targets):
@@ -182,3 +186,46 @@ def test_models_learn_a_separable_set(spark, tmp_path, monkeypatch):
     assert opinions.join(frame, "event_id").where("flag = is_fraud").count() == 80
     monkeypatch.setattr(C, "CHALLENGER_VERSION", "newer")
     assert M.load_challenger(spark, folder) is None and M.challenger_status(spark, folder) == "stale"
+
+
+def odd_workspace(spark, **form):
+    """Rows and labels that come twice, events without a time, a customer or a label."""
+    number = F.expr("cast(substring(event_id, 2) as int)")
+    rows = ring_stream(spark).withColumn("ts", F.when(number % 17 != 5, F.col("ts")))
+    rows = rows.withColumn("customer_id", F.when(number % 19 != 7, F.col("customer_id"))).localCheckpoint()
+    again = rows.where(number % 10 == 0).withColumn("ts", F.when(number % 20 == 0, F.col("ts")))
+    ring = F.when(F.col("customer_id") < "c3", F.concat(F.lit("r"), number % 2))
+    labels = rows.where(number % 23 != 3).select("event_id", ring.isNotNull().alias("is_fraud"), ring.alias("ring_id"), F.lit("standard").alias("ring_strategy"))
+    ws = Workspace(spark, "odd rows")
+    ws.payments = rows.unionByName(again).unionByName(rows.where(number % 30 == 0))
+    ws.labels = labels.unionByName(labels.where(number % 15 == 0))
+    ws.graph = LinkGraph(ws.payments, **form)
+    return ws
+
+
+def scored(ws):
+    """With scores that are not at issue."""
+    ws.scored = ws.graph.timeline.select("event_id", "customer_id", *[F.lit(0.0).alias(n) for n in CA.NORMALIZED], F.lit(0).alias("score"))
+    return ws
+
+
+def test_model_rows_by_customer_equal_those_by_event(spark):
+    kept, spread = scored(odd_workspace(spark, bucket_events=20)), scored(odd_workspace(spark, hot_rows=4))
+    columns = ["event_id", "customer_id", "is_fraud", "ring_id", "split", "cv_group", "fold", "score"]
+    for read in (lambda ws: ws.model_rows, train_rows, lambda ws: ws.with_folds(ws.model_rows.drop("fold"), 3)):
+        got, want = (sorted(map(str, read(ws).select(columns).collect())) for ws in (kept, spread))
+        assert got == want and len(want) > 60
+    assert kept.graph.placed and not spread.graph.placed
+    got, want = (sorted(map(str, ws.split_labels.collect())) for ws in (kept, spread))
+    assert got == want
+    alone = odd_workspace(spark, bucket_events=20)  # splits without scoring
+    assert sorted(map(str, alone.split_labels.collect())) == want and "timeline" not in alone.graph.__dict__
+
+
+def test_model_rows_and_identities_meet_their_customer_without_a_shuffle(spark):
+    ws = scored(odd_workspace(spark, bucket_events=20))
+    assert ws.model_rows.count() > 60
+    keys = SP.identity_keys(ws.graph.timeline.select("event_id", "customer_id", "raw.*"))
+    rows = ws.scored.join(ws._customer_labels.hint("merge"), ["customer_id", "event_id"])
+    for df in (rows, keys.select("customer_id", "key").distinct(), ws.model_rows.select("customer_id", "cv_group").distinct()):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()

@@ -409,9 +409,10 @@ def _(ws):
 
 def narrated_log(ws):
     """Verdict log after a narrative run over the flagged verdicts."""
-    responses = N.validate_narratives(model_responses(ws))
     flagged = ws.log.where("verdict <> 'ALLOW'").select("event_id")
-    narratives = responses.join(flagged, "event_id", "left_semi").select(
+    told = model_responses(ws).join(flagged, "event_id", "left_semi")
+    # staged: validation is read twice below and must not move ahead of the join
+    narratives = N.validate_narratives(stage(told, "flagged_responses")).select(
         "event_id", F.to_json("narrative").alias("narrative"), N.narrative_status(F.col("parse_status")).alias("status")
     )
     latest = narratives.withColumn("created_at", F.lit(2))

@@ -1,5 +1,7 @@
 """Reports and operational metrics against known numbers."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from ringweave import config as C
 from ringweave.operators import ops_metrics as O
 from ringweave.operators import queue as Q
 from ringweave.operators import reports as R
+from ringweave.plans import q_reports
 from ringweave.session import stage
 from ringweave.sources import store
 
@@ -185,3 +188,22 @@ def test_report_reads_outcomes_once(spark):
 def test_evaluation_needs_a_locked_configuration(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         store.load_model_config(spark, str(tmp_path / "none"), required=True)
+
+
+def test_only_responses_of_flagged_verdicts_are_validated(spark, monkeypatch):
+    ids = [f"evt_{i:09d}" for i in range(21)]
+    log = [(e, ("ALLOW", "REVIEW", "BLOCK_REC")[i % 3], None, "PENDING") for i, e in enumerate(ids)]
+    ws = SimpleNamespace(
+        log=spark.createDataFrame(log, "event_id string, verdict string, explanation string, explanation_status string"),
+        payments=spark.createDataFrame([(e,) for e in ids + ids[:3]], "event_id string"),
+    )
+    read, validate = [], q_reports.N.validate_narratives
+
+    def counted(responses):
+        read.extend(r.event_id for r in responses.collect())
+        return validate(responses)
+
+    monkeypatch.setattr(q_reports.N, "validate_narratives", counted)
+    got = {r.event_id: r.explanation_status for r in q_reports.narrated_log(ws).collect()}
+    assert sorted(read) == sorted(e for e in ids + ids[:3] if int(e[4:]) % 3)
+    assert got == {e: "PENDING" if i % 3 == 0 else "DONE" if i % 7 in (0, 1, 2, 6) else "SKIPPED" for i, e in enumerate(ids)}

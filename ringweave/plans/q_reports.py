@@ -305,8 +305,18 @@ def _(ws):
        where t.ntype = 'device' group by 1 having count(*) >= 2""",
 )
 def _(ws):
-    rows = ws.graph.timeline.select("event_id", "device", "ord").join(ws.scored.select("event_id", "score"), "event_id")
-    return R.identity_score_jump(rows, "device", "ord")
+    scored = ws.scored.select("event_id", "customer_id", "score")
+    uses = ws.graph.timeline.where("device is not null").select("event_id", "customer_id", "device", "ord")
+    return R.identity_score_jump(scored_uses(uses, scored, ws.graph.placed), "device", "ord")
+
+
+def scored_uses(uses, scored, placed):
+    """Events with their scores; where both are ``placed`` in customer buckets they meet there."""
+    if not placed:
+        return uses.join(scored.drop("customer_id"), "event_id")
+    nobody = F.col("customer_id").isNull()  # no event id has two customers
+    rest = uses.where(nobody).join(scored.where(nobody).drop("customer_id"), "event_id")
+    return uses.join(scored, ["customer_id", "event_id"]).unionByName(rest)
 
 
 @query(

@@ -13,6 +13,7 @@ from ringweave.operators import lookups as LK
 from ringweave.operators import snapshots as SN
 from ringweave.operators import taint as T
 from ringweave.operators.graph import LinkGraph, degraded_in_place, score_frame
+from ringweave.plans.q_reports import scored_uses
 from ringweave.schema import PAYMENTS
 from ringweave.session import stage, stage_by
 from ringweave.sources import store
@@ -316,3 +317,13 @@ def test_a_touch_without_a_time_comes_before_its_dated_link(spark, form):
     undated = rows.withColumn("ts", F.when(F.col("event_id") == "e001", F.col("ts")))
     seen = {r.event_id: (r.merchant_count, r.linked_identity_count) for r in LinkGraph(undated, **form).snapshots.collect()}
     assert seen["e000"][1] == 0 and seen["e001"][1] == 1 and seen["e002"] == (1, 1)
+
+
+def test_scores_meet_the_uses_of_a_device_at_their_customer(spark):
+    graph = LinkGraph(ring_stream(spark).withColumn("customer_id", F.when(F.col("event_id") != "e007", F.col("customer_id"))), bucket_events=20)
+    uses = graph.timeline.where("device is not null").select("event_id", "customer_id", "device", "ord")
+    scores = stage_by(graph.timeline.select("event_id", "customer_id", F.lit(1).alias("score")), "scores", "customer_id", graph.placed)
+    got, want = (sorted(map(str, scored_uses(uses, scores, placed).select("event_id", "device", "ord", "score").collect())) for placed in (graph.placed, 0))
+    assert got == want and len(want) == uses.count()
+    plan = scored_uses(uses, scores.hint("merge"), graph.placed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [customer_id") == 1 and "Exchange hashpartitioning(customer_id" not in plan

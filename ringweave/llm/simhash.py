@@ -150,8 +150,12 @@ def _near(a: Column, b: Column, most: int = MOST_BITS) -> Column:
 
 
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Verified links between different groups."""
-    a, b = left.alias("l"), right.alias("r")
+    """Verified links between different groups.
+
+    Spark sizes both sides by the fingerprints, without the keys that each gets (six
+    exact, about seventy fuzzy), and would broadcast hundreds of MB: they are sorted.
+    """
+    a, b = left.hint("merge").alias("l"), right.alias("r")
     near = _near(F.col("l.fp"), F.col("r.fp")) & (F.col("l.root") != F.col("r.root"))
     return a.join(b, (F.col("l.key") == F.col("r.key")) & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ringweave.llm import html_extract, langid, maxent_lm, mixing, simhash
@@ -302,6 +303,15 @@ def test_every_link_has_a_key(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    """A table below the broadcast limit gives many times as many keys, which Spark does not foresee."""
+    first = spark.range(3000).select(F.col("id").alias("fp"), F.col("id").alias("root"))
+    exact = first.select("fp", "root", F.explode(simhash.exact_keys(F.col("fp"))).alias("key"))
+    table = simhash.golay_keys()
+    for left, right in ((exact, exact), (simhash.fuzzy_rows(first, False, table), simhash.fuzzy_rows(first, True, table))):
+        assert "Broadcast" not in simhash._across(left, right)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_copies_of_odd_documents(odd_docs, no_docs):
     rows = odd_docs.collect()
     prints = [brute_print(r.text) for r in rows]

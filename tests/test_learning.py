@@ -188,6 +188,34 @@ def test_models_learn_a_separable_set(spark, tmp_path, monkeypatch):
     assert M.load_challenger(spark, folder) is None and M.challenger_status(spark, folder) == "stale"
 
 
+def repeated_rows(spark):
+    r = random.Random(5)
+    kinds = [tuple(round(r.random(), 2) for _ in range(7)) for _ in range(40)]
+    rows = [(r.random() < k[0], i % 3, *k) for i, k in enumerate(r.choices(kinds, k=900))]
+    return rows, spark.createDataFrame(rows, ROW).coalesce(1)
+
+
+def learnt_from(monkeypatch, learner):
+    """(rows, their weight) that each fit of ``learner`` is given from now on."""
+    seen, learn = [], learner._fit
+    monkeypatch.setattr(learner, "_fit", lambda self, df: seen.append(df.agg(F.count("*"), F.sum("weight")).first()[:]) or learn(self, df))
+    return seen
+
+
+def alike(model, other, vectors):
+    pairs = zip(*([x.p_fraud for x in M._probability(m, vectors).orderBy(*CA.NORMALIZED, "is_fraud").collect()] for m in (model, other)), strict=True)
+    return all(abs(a - b) < 1e-4 for a, b in pairs)
+
+
+def test_trees_learn_from_distinct_rows_as_from_all(spark, monkeypatch):
+    rows, frame = repeated_rows(spark)
+    vectors = M._vectors(frame)
+    plain = M.GBTClassifier(featuresCol="vector", labelCol="label", maxDepth=3, maxIter=100, stepSize=0.1, seed=42).fit(vectors)
+    seen = learnt_from(monkeypatch, M.GBTClassifier)
+    assert alike(M.fit_gbt(frame), plain, vectors)
+    assert seen == [(len({(x[0], *x[2:]) for x in rows}), 900.0)]
+
+
 def odd_workspace(spark, **form):
     """Rows and labels that come twice, events without a time, a customer or a label."""
     number = F.expr("cast(substring(event_id, 2) as int)")

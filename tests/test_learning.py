@@ -216,6 +216,15 @@ def test_trees_learn_from_distinct_rows_as_from_all(spark, monkeypatch):
     assert seen == [(len({(x[0], *x[2:]) for x in rows}), 900.0)]
 
 
+def test_logistic_learns_from_distinct_rows_as_from_all(spark, monkeypatch):
+    rows, frame = repeated_rows(spark)
+    vectors = M._vectors(frame).withColumn("weight", F.lit(1.0))
+    seen = learnt_from(monkeypatch, M.LogisticRegression)
+    model, best = M.fit_logistic(frame)
+    assert seen[-1] == (len(set(rows)), 900.0)
+    assert alike(model, M._logistic(best, 900).fit(vectors), vectors)
+
+
 def odd_workspace(spark, **form):
     """Rows and labels that come twice, events without a time, a customer or a label."""
     number = F.expr("cast(substring(event_id, 2) as int)")
